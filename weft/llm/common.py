@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: ASCII white space, as the contracts define it.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -38,7 +40,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound what one Arrow batch holds, for texts may be long."""
+    """Before Python runs: bound what one Arrow batch holds, for texts may be long, and bring the package along."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
@@ -60,5 +63,23 @@ def with_ids(docs: DataFrame, ids: DataFrame, keep: bool) -> DataFrame:
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) if not keep else F.col("doc_id") == F.col("__id"), "left_semi" if keep else "left_anti")
 
 
+#: A group may be hot if it has so many rows and more than one in HOT_GROUPS of all: fewer than HOT_GROUPS groups do.
+HOT_ROWS, HOT_GROUPS = 10_000, 1_000
+
+
+def lookup(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined by key with groups, which has one row for each key and, as n, the number of rows with it; total: of rows.
+
+    The rows of a group would meet in one task of a join by key. The few groups that hold many of the rows are broadcast
+    instead, which moves none of their rows; the join by key has the rest.
+    """
+    groups = groups.withColumnRenamed(key, "__key")
+    if total < HOT_ROWS:
+        return rows.join(groups, F.col(key) == F.col("__key")).drop("__key", "n")
+    hot = F.broadcast(groups.where(F.col("n") >= max(HOT_ROWS, total // HOT_GROUPS)))
+    cold = rows.join(hot.select("__key"), F.col(key) == F.col("__key"), "left_anti").join(groups.hint("merge"), F.col(key) == F.col("__key"))
+    return cold.unionByName(rows.join(hot, F.col(key) == F.col("__key"))).drop("__key", "n")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

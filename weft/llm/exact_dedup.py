@@ -16,12 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WHITE, read, scratch, texts, with_ids, written
-
-#: Groups at least this large may be hot; see _hot_from.
-HOT_ROWS = 10_000
-#: At most this many hot groups can exist: they are broadcast.
-HOT_GROUPS = 1_000
+from .common import WHITE, lookup, read, scratch, texts, with_ids, written
 
 
 def normalised(text):
@@ -67,18 +62,14 @@ class DigestIndex:
         found = written(groups.select("digest", F.col("keep_id").alias("own_id"), "n").hint("merge").join(known, "digest"), "found")
         self.spark.sql(f"DROP TABLE IF EXISTS {stage}")  # the files stay; found has what is needed of them
 
-        # A group that holds many of the rows would make one task of a join by digest. Of groups with more than a
-        # thousandth of all rows there are fewer than a thousand, so those are broadcast.
-        hot = found.where(F.col("n") >= max(HOT_ROWS, batch.count() // HOT_GROUPS))
-        cold = batch.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(found, "digest")
-        both = cold.unionByName(batch.join(F.broadcast(hot), "digest"))
+        both = lookup(batch, found.withColumn("group_size", F.col("n")), "digest", batch.count())
         first = F.col("keep_id").eqNullSafe(F.col("own_id")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
         if batch.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
             # Only rows that repeat an id need a number within it.
             w = Window.partitionBy("digest", "doc_id").orderBy(F.lit(1))
             both = both.withColumn("nth", F.row_number().over(w))
             first = first & (F.col("nth") == 1)
-        return both.select("doc_id", "keep_id", F.col("n").alias("group_size"), first.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        return both.select("doc_id", "keep_id", "group_size", first.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

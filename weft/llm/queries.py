@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, id_files, lm_score, packing, simhash
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+    return {
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_lm_score": lm_score.op2_lm_score,
+        "op4_simhash": simhash.op4_simhash,
+        "op5_packing": packing.op5_packing,
+        "op9_id_files": id_files.op9_id_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
