@@ -6,7 +6,7 @@ multiplies batches of context vectors with all output vectors, so each symbol's
 without a symbol of its own then has its share (c + 1) / sum(c + 1) of its class, with one more place in each class for
 words never seen. So the probabilities over all words sum to one.
 
-Training is data-parallel. One task fits a start on START_DOCS documents; then every partition runs over all its training
+Training is data-parallel. One task fits a start by START_PASSES over START_DOCS documents; then every partition runs over all its training
 documents from the same start, and the parameters are averaged by tokens (in rounds of AVERAGED at a time).
 
 Counts of the KNOWN most frequent words (no longer than LONGEST bytes) are broadcast, at most 16 MB; the counts of
@@ -34,9 +34,11 @@ KNOWN, LONGEST = 200_000, 64
 TOP, CLASSES = 384, 128
 OUTPUTS = TOP + CLASSES
 CONTEXT, WIDTH = 3, 24
-NOISE, BATCH, RATE, START_DOCS, AVERAGED = 64, 4096, 0.1, 1000, 64
+NOISE, BATCH, RATE, START_DOCS, START_PASSES, AVERAGED = 64, 4096, 0.5, 1000, 6, 64
 END = b""
 FLUSH = 300_000
+#: Contexts scored at a time: their products with all output vectors stay in the processor's cache.
+ROWS, ONES = 512, np.ones(OUTPUTS, np.float32)
 LN10 = float(np.log(10))
 
 
@@ -101,14 +103,16 @@ class Model:
 
     def log10(self, before: np.ndarray, then: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of symbols after their contexts."""
-        out = np.empty(len(then))
-        for i in range(0, len(then), BATCH):
-            s = self.context(before[:, i : i + BATCH]) @ self.q.T
+        out, q = np.empty(len(then)), self.q.T.copy()
+        largest = np.sqrt((self.q * self.q).sum(1).max())
+        for i in range(0, len(then), ROWS):
+            h = self.context(before[:, i : i + ROWS])
+            s = h @ q
             s += self.b
-            s -= s.max(1, keepdims=True)
-            own = s[np.arange(len(s)), then[i : i + BATCH]]
-            np.exp(s, out=s)
-            out[i : i + BATCH] = own - np.log(s.sum(1))
+            if np.sqrt((h * h).sum(1).max()) * largest + np.abs(self.b).max() > 80:  # else no power is too large
+                s -= s.max(1, keepdims=True)
+            own = s[np.arange(len(s)), then[i : i + ROWS]]
+            out[i : i + ROWS] = own - np.log(np.exp(s, out=s) @ ONES)
         return out / LN10
 
     def fit(self, chunks, noise: np.ndarray, seed: int) -> int:
@@ -217,19 +221,22 @@ class LanguageModel:
         model = cls(counts, known)
         shared = spark.sparkContext.broadcast((model.known, model.symbol, model.noise))
 
-        def fit(start):
+        def fit(start, passes):
             def run(batches):
                 known, symbol, noise = shared.value
                 m, part = Model(start.copy()), TaskContext.get().partitionId()
-                n = m.fit(symbols(known, symbol, batches, BATCH), noise, part)
+                chunks = symbols(known, symbol, batches, BATCH)
+                if passes > 1:
+                    chunks = [*chunks] * passes
+                n = m.fit(chunks, noise, part)
                 if n:
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([(m.flat.astype(np.float64) * n).tobytes()], pa.binary())], ["part", "n", "flat"])
 
             return run
 
         first = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS).select("text").coalesce(1)
-        for data in (first, only):
-            flat, n = average(data.mapInArrow(fit(model.flat), "part long, n long, flat binary"))
+        for data, passes in ((first, START_PASSES), (only, 1)):
+            flat, n = average(data.mapInArrow(fit(model.flat, passes), "part long, n long, flat binary"))
             model.flat = flat.astype(np.float32) if n else model.flat
         return model
 
