@@ -1,7 +1,8 @@
-"""Ids of whole texts by a public tokenizer file, with each distinct piece encoded once.
+"""Ids of whole texts by a public tokenizer file, with each distinct piece encoded once by the library.
 
-Both vocabularies split a text before merging, so a text's ids are those of its pieces in order. A text is cut where
-such a split is certain, a memory of bounded size maps each cut to its ids, and only unseen cuts reach the library.
+Both vocabularies split a text before merging, so a text's ids are those of its pieces in order. A text is cut at spaces
+where such a split is certain; what a cut becomes is remembered within bounds. Of an unseen cut, letters with ASCII marks
+after them are two pieces for certain: the library's model merges each. Anything else goes through the whole library.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from functools import cache
 
 import numpy as np
 
-#: A memory holds at most so many cuts, of at most so many bytes each.
-REMEMBERED, LONG = 400_000, 100
+#: How many cuts and pieces are remembered, of at most LONG bytes or characters each.
+CUTS, PIECES, LONG = 600_000, 800_000, 100
 #: Before one space between two characters that aren't white space, the byte-level rule always starts a piece.
 ONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
+#: All ASCII marks but the apostrophe, with which contractions begin.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 def path_of(name: str) -> str:
@@ -23,59 +26,85 @@ def path_of(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_characters() -> dict[int, str]:
+    """The byte-level alphabet: a printable byte stands for itself, the others for the characters from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class Remembered(dict):
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, x):
+        ids = self.make(x)
+        if len(x) <= LONG:
+            if len(self) >= self.most:
+                self.clear()
+            self[x] = ids
+        return ids
+
+
+class Spaced(Exception):
+    """A cut begins or ends with white space, so it isn't one."""
+
+
 class Encoder:
     """UTF-8 texts to ids, as little-endian unsigned 32-bit numbers. words: the word vocabulary, which drops white space."""
 
     def __init__(self, path: str, words: bool):
         from tokenizers import Tokenizer
 
-        self.words, self.first, self.rest = words, {}, {}
-        self.library = Tokenizer.from_file(path)
+        self.words, self.library, self.alphabet = words, Tokenizer.from_file(path), byte_characters()
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.before = self.library.model, "" if words else " "
+        self.first = Remembered(lambda x: self._cut(x, ""), CUTS // 5)
+        self.rest = Remembered(lambda x: self._cut(x, self.before), CUTS)
+        self.pieces = Remembered(self._piece, PIECES)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, text: str) -> bytes:
+        """A piece that the library wouldn't split: letters (with a space before) or marks."""
+        ids = self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))
+        return np.array([x.id for x in ids], "<u4").tobytes()
+
+    def _cut(self, cut: bytes, before: str) -> bytes:
+        text = cut.decode()
+        if not self.words and (before and not text or text[:1].isspace() or text[-1:].isspace()):
+            raise Spaced
+        if not self.words and len(parts := text.split("\n")) == 2 and not (parts[0][-1:].isspace() or parts[1][:1].isspace()):
+            # A single line feed between other characters is a piece, and what follows has no space before it.
+            a, b = (x.encode() for x in parts)
+            return (self.rest[a] if before else self.first[a]) + self.pieces["\n"] + self.first[b]
+        letters = text.rstrip(MARKS)
+        marks = text[len(letters) :]
+        if self.words:
+            letters = self.library.normalizer.normalize_str(letters) if not letters.isascii() else letters.lower()
+        if not letters.isalpha():
+            return self._whole(before + text)
+        return self.pieces[before + letters] + (self.pieces[marks] if marks else b"")
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 20_000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
-        return out
-
-    def _learn(self, memory: dict, cuts: set, before: str) -> None:
-        """Ids of cuts, each after a space or not. None: the cut has white space at an end, so it isn't one."""
-        texts = {x: x.decode() for x in cuts if x not in memory}
-        clean = [x for x, t in texts.items() if self.words or (t or not before) and not (t[:1].isspace() or t[-1:].isspace())]
-        memory.update(dict.fromkeys(texts))
-        memory.update(zip(clean, self._ids([before + texts[x] for x in clean])))
+    def _encode(self, text: bytes) -> bytes:
+        if self.words:
+            return b"".join(map(self.rest.__getitem__, text.split()))  # of bytes: at ASCII white space only
+        cuts = text.split(b" ")
+        try:
+            return self.first[cuts[0]] + b"".join(map(self.rest.__getitem__, cuts[1:])) if text else b""
+        except Spaced:
+            out = []
+            for x in ONE_SPACE.split(text.decode()):
+                plain = x[:1] == " " and x[1:2] and not x[1].isspace() and not x[-1].isspace()
+                out.append(self.rest[x[1:].encode()] if plain else self._whole(x))
+            return b"".join(out)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if self.words:
-            cuts = [([], t.split()) for t in texts]  # of bytes: at ASCII white space only
-        else:
-            cuts = [((p := t.split(b" "))[:1], p[1:]) for t in texts]
-        first, rest = {x for a, _ in cuts for x in a}, set()
-        for _, b in cuts:
-            rest.update(b)
-        if len(self.first) + len(self.rest) > REMEMBERED:
-            self.first.clear()
-            self.rest.clear()
-        self._learn(self.first, first, "")
-        self._learn(self.rest, rest, "" if self.words else " ")
-        out = []
-        for t, (a, b) in zip(texts, cuts):
-            ids = [*map(self.first.__getitem__, a), *map(self.rest.__getitem__, b)]
-            if None in ids:
-                ids = self._ids([x for x in ONE_SPACE.split(t.decode()) if x])
-            out.append(b"".join(ids))
-        for memory, seen in ((self.first, first), (self.rest, rest)):
-            for x in seen:
-                if len(x) > LONG:
-                    del memory[x]
-        return out
+        return [self._encode(t) for t in texts]
 
 
 @cache
 def encoder(path: str, words: bool) -> Encoder:
     """One for each Python worker, so that what it remembers serves all tasks there."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path, words)
