@@ -22,7 +22,7 @@ from .common import read, small_batches, with_ids, written
 from .labelled import Adam, folded, sample, sigmoid
 
 PASSAGE, SAMPLE, BAG = 64, 6000, 24
-WIDTH, GATE, EPOCHS, MINIBATCH, RATE, DECAY = 32, 16, 30, 64, 0.01, 1e-4
+WIDTH, GATE, EPOCHS, STEPS, MINIBATCH, RATE, DECAY = 32, 16, 30, 1500, 64, 0.01, 1e-4
 THRESHOLD = 0.3
 #: Which of the byte classes each byte is in: every ASCII mark alone, digits, capitals, small letters, controls, the rest.
 CLASS = np.zeros(256, np.int64)
@@ -104,8 +104,9 @@ class Attention:
         every = np.concatenate(bags)
         self.mean, self.scale = every.mean(0), every.std(0) + 0.05
         rng, adam = np.random.default_rng(2), Adam(self.p, RATE)
-        for epoch in range(EPOCHS):
-            adam.rate = RATE * (1 - epoch / EPOCHS)
+        epochs = max(EPOCHS, min(300, STEPS * MINIBATCH // len(bags)))
+        for epoch in range(epochs):
+            adam.rate = RATE * (1 - epoch / epochs)
             order = rng.permutation(len(bags))
             for i in range(0, len(order), MINIBATCH):
                 own = order[i : i + MINIBATCH]

@@ -31,7 +31,7 @@ from .labelled import Adam, cut_point, held_out, sample, sigmoid
 
 BUCKETS, WIDTH, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 6
 SAMPLE, LONGEST = 6000, 40_000
-EPOCHS, MINIBATCH, RATE, DECAY = 6, 32, 0.01, 1e-4
+EPOCHS, STEPS, MINIBATCH, RATE, DECAY = 6, 800, 32, 0.01, 1e-4
 THRESHOLD, LANGUAGES, LEAST = 0.5, 200, 40
 PAD, PARTS = BUCKETS, 3
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -165,8 +165,9 @@ class Convolution:
         own = np.flatnonzero(~fold)
         self.start([texts[k] for k in own], y[own])
         adam, grown = Adam(self.p, RATE), np.full(self.e.shape, 1e-4)
-        for epoch in range(EPOCHS):
-            adam.rate = RATE * (1 - epoch / EPOCHS)
+        epochs = max(EPOCHS, min(40, STEPS * MINIBATCH // len(own)))
+        for epoch in range(epochs):
+            adam.rate = RATE * (1 - epoch / epochs)
             order = rng.permutation(own)
             for i in range(0, len(order), MINIBATCH):
                 part = order[i : i + MINIBATCH]
