@@ -175,8 +175,8 @@ class Convolution:
         self.prepare()
         check = np.flatnonzero(fold) if fold.any() else own
         raw, labels = self.raw([texts[k] for k in check]), y[check]
-        # A score of 0.5 is the best cut; the scale is that of the best fit there.
-        cut = cut_point(sigmoid(raw), labels)
+        # A score of 0.5 is the best cut, if there are labels enough to tell; the scale is that of the best fit there.
+        cut = cut_point(sigmoid(raw), labels) if labels.sum() >= LEAST / 2 else 0.5
         cut = float(np.log(cut / (1 - cut))) if 0 < cut < 1 else 0.0
         scales = [0.25, 0.5, 1.0, 2.0]
         loss = [-np.mean(np.log(np.where(labels > 0, s, 1 - s) + 1e-9)) for k in scales if (s := sigmoid(k * (raw - cut))) is not None]
