@@ -93,9 +93,11 @@ class Convolution:
         rows = np.concatenate([ids, np.full((max(WIDTHS), PARTS), PAD, ids.dtype)])
         table, n = sum(self.tables[rows[:, k]] for k in range(PARTS)), len(ids)
         for w, own in self.columns.items():
-            r = table[:n, own[0]]
+            r = table[:n, own[0]].copy()
             for j in range(1, w):
                 r = r + table[j : j + n, own[j]]
+            for j in range(1, w):
+                r[begin + many - j] = 0  # these places reach into the next text
             out.append(np.maximum(np.maximum.reduceat(r, begin), 0))
         return np.concatenate(out, 1)
 
@@ -125,6 +127,8 @@ class Convolution:
         for w in WIDTHS:
             windows = np.concatenate([words[j : j + len(ids)] for j in range(w)], 1)
             r = windows @ self.p[f"f{w}"]
+            for j in range(1, w):
+                r[begin + many - j] = 0  # these places reach into the next text
             top = np.maximum.reduceat(r, begin)
             at = np.empty(top.shape, int)
             for f in range(FILTERS):
@@ -198,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Convoluti
             x = [hashed(t).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("label"), pa.array(x, pa.binary())], ["doc_id", "lang", "label", "x"])
 
-    rows = sample(docs, labels, label, SAMPLE).where(F.length("text") <= LONGEST).select("doc_id", "lang", "label", "text")
+    rows = sample(docs.select("doc_id", "text", "lang"), labels, label, SAMPLE).where(F.length("text") <= LONGEST).select("doc_id", "lang", "label", "text")
     rows = rows.mapInArrow(run, "doc_id long, lang string, label int, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     model = Convolution()

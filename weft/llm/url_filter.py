@@ -47,12 +47,13 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures: id, url, day. Each with its host, the deciding entry (key, since, action), and whether it is blocked."""
+    captures = captures.select("id", "url", F.col("day").cast("int").alias("day"))
     span = captures.agg(F.min("day").alias("first"), F.max("day").alias("last")).head()
     first, last = (span["first"] or 0), (span["last"] or 0)
     held = intervals(entries).where((F.col("begin") <= last) & (F.col("end") > first))
     period = lambda c: F.floor(c / PERIOD).cast("int")
     held = held.withColumn("period", F.explode(F.sequence(period(F.greatest("begin", F.lit(first))), period(F.least(F.col("end") - 1, F.lit(last))))))
-    asked = captures.select("id", "url", "day").distinct().withColumn("key", F.explode(keys(F.col("url")))).withColumn("period", period(F.col("day")))
+    asked = captures.distinct().withColumn("key", F.explode(keys(F.col("url")))).withColumn("period", period(F.col("day")))
     met = asked.join(held.hint("merge"), ["key", "period"]).where((F.col("begin") <= F.col("day")) & (F.col("day") < F.col("end")))
     deciding = met.groupBy("id", "url", "day").agg(F.max(F.struct(F.length("key").alias("size"), "key", "begin", "action")).alias("x"))
     deciding = deciding.select(F.col("id").alias("_id"), F.col("url").alias("_url"), F.col("day").alias("_day"), "x.key", F.col("x.begin").alias("since"), "x.action")
