@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC",
         "spark.checkpoint.dir": str(top / "shared"), "spark.sql.warehouse.dir": str(top / "warehouse"), "spark.driver.memory": "4g",
     }
-    s = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    s = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
