@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weft.llm import decontaminate, lm_score, quality, toxicity
-from weft.llm.labelled import cut_point, folded, held_out
+from weft.llm.labelled import cut_point, folded
 
 from .conftest import ODD
 
@@ -159,12 +159,12 @@ def test_quality_gradients():
 def test_toxicity(spark, docs_of, odd):
     bad = ["scumbag", "loserish", "vileness"]
     text = lambda k: labelled(3 * k + 1) + (f" {bad[k % 3]} and so {bad[k % 2]}" if k % 4 == 0 else "")
-    docs = docs_of([(k, text(k)) for k in range(800)]).withColumn("held_out", held_out())
+    docs = docs_of([(k, text(k)) for k in range(800)])
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(800)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     rows = [r for r in toxicity.score(docs, model).collect() if r["held_out"]]
     assert np.mean([r["predicted"] == (r["doc_id"] % 4 == 0) for r in rows]) > 0.95
-    got = toxicity.score(odd.withColumn("held_out", held_out()).withColumn("lang", F.when(F.col("doc_id") > 5, F.col("lang"))), model).collect()
+    got = toxicity.score(odd.withColumn("lang", F.when(F.col("doc_id") > 5, F.col("lang"))), model).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     assert toxicity.score(docs.limit(0), model).count() == 0
     assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()} == {0.5}

@@ -193,16 +193,23 @@ class Convolution:
                 self.thresholds[name] = cut_point(score[here], labels[here])
 
 
+def prepared(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), lang, held_out."""
+    text = F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text")
+    return docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), text, column(docs, "lang", "string").alias("lang")).withColumn("held_out", held_out())
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Convolution:
     """docs: doc_id, text, lang."""
     small_batches(docs.sparkSession)
+    docs = prepared(docs)
 
     def run(batches):
         for b in batches:
             x = [hashed(t).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("label"), pa.array(x, pa.binary())], ["doc_id", "lang", "label", "x"])
 
-    rows = sample(docs.select("doc_id", "text", "lang"), labels, label, SAMPLE).where(F.length("text") <= LONGEST).select("doc_id", "lang", "label", "text")
+    rows = sample(docs.drop("held_out"), labels, label, SAMPLE).where(F.length("text") <= LONGEST).select("doc_id", "lang", "label", "text")
     rows = rows.mapInArrow(run, "doc_id long, lang string, label int, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     model = Convolution()
@@ -211,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Convoluti
 
 
 def score(docs: DataFrame, model: Convolution) -> DataFrame:
-    """docs: doc_id, text, lang, held_out. doc_id, held_out, score, predicted, threshold (its language's), flagged (by that)."""
+    """docs: doc_id, text, lang. doc_id, held_out, score, predicted, threshold (its language's), flagged (by that)."""
     spark = docs.sparkSession
     small_batches(spark, 200)
     model.prepare()
@@ -229,11 +236,9 @@ def score(docs: DataFrame, model: Convolution) -> DataFrame:
                 ["doc_id", "held_out", "score", "predicted", "threshold", "flagged"],
             )
 
-    return docs.select("doc_id", "text", "lang", "held_out").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, threshold double, flagged boolean")
+    return prepared(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, threshold double, flagged boolean")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    docs = docs.select(column(docs, "doc_id", "bigint").alias("doc_id"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"), column(docs, "lang", "string").alias("lang"))
-    docs = docs.withColumn("held_out", held_out())
     return score(docs, train(docs, read(spark, sf_dir, "labels")))
