@@ -9,7 +9,7 @@ words never seen. So the probabilities over all words sum to one.
 Training is data-parallel. One task fits a start by START_PASSES over START_DOCS documents; then every partition runs over all its training
 documents from the same start, and the parameters are averaged by tokens (in rounds of AVERAGED at a time).
 
-Counts of the KNOWN most frequent words (no longer than LONGEST bytes) are broadcast, at most 16 MB; the counts of
+Counts of at most KNOWN words, the most frequent (no longer than LONGEST bytes), are broadcast, at most 16 MB; the counts of
 all others are joined by a shuffle, of words already counted within their document.
 
 Defined results: a null or empty text is one end token. A null doc_id counts as the empty id. Rows that repeat are
@@ -182,17 +182,28 @@ def average(df: DataFrame) -> tuple[np.ndarray, int]:
     return sum((np.frombuffer(r["flat"], np.float64) for r in rows), np.zeros(Model.SIZE)) / max(n, 1), n
 
 
+def known_above(counts: DataFrame) -> int:
+    """The least count that at most KNOWN words are above. Different counts are few: their sum is at most the tokens."""
+    table = counts.where(F.length("word") <= LONGEST).groupBy("n").count().toArrow()
+    words = 0
+    for n, many in sorted(zip(table.column("n").to_pylist(), table.column("count").to_pylist()), reverse=True):
+        words += many
+        if words > KNOWN:
+            return n
+    return 0
+
+
 class LanguageModel:
     """Counts, and the neural model's parameters."""
 
     def __init__(self, counts: DataFrame, known: DataFrame):
         self.counts = counts
-        rows = known.collect()
-        rows.sort(key=lambda r: (r["word"] != END, -r["n"], bytes(r["word"])))
-        if not rows or bytes(rows[0]["word"]) != END:
-            rows.insert(0, {"word": END, "n": 0})
-        self.known = Known((bytes(r["word"]), i) for i, r in enumerate(rows))
-        n = np.array([r["n"] for r in rows], np.float64)
+        table = known.toArrow()
+        rows = sorted(zip(table.column("word").to_pylist(), table.column("n").to_pylist()), key=lambda r: (r[0] != END, -r[1], r[0]))
+        if not rows or rows[0][0] != END:
+            rows.insert(0, (END, 0))
+        self.known = Known((w, i) for i, (w, _) in enumerate(rows))
+        n = np.array([k for _, k in rows], np.float64)
         ends = np.array([ending(w) for w in self.known])
         self.symbol = np.where(np.arange(len(n)) < TOP, np.arange(len(n)), TOP + ends)
         total = counts.groupBy("class").agg(F.sum(F.col("n") + 1).alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
@@ -217,7 +228,7 @@ class LanguageModel:
         small_batches(spark)
         only = docs.select("text")
         counts = written(only.mapInArrow(count_words, "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n")), "words")
-        known = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(KNOWN).select("word", "n")
+        known = counts.where((F.length("word") <= LONGEST) & ((F.col("n") > known_above(counts)) | (F.col("word") == F.lit(END)))).select("word", "n")
         model = cls(counts, known)
         shared = spark.sparkContext.broadcast((model.known, model.symbol, model.noise))
 
