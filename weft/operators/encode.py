@@ -1,4 +1,8 @@
-"""Encoding: each distinct word once, then joined back to where it stands."""
+"""Encoding of words and texts. A word's tokens are the same wherever it stands, so they are found once and remembered.
+
+encode_column does so within each task, and shuffles nothing. encode_words with encode_texts does so once for all tasks, at the
+price of a shuffle of every word's places: for words so long or rules so many that encoding costs more than that.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +11,23 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.words import UNKNOWN, WORD_END, characters, known_only, merged_all, segmented, unsegmented, words
 from ..ship import ship
 
 
+#: Words that a task remembers.
+REMEMBERED = 400_000
+
+
 class Model:
     """A tokenizer: rules in order, tokens, the word end and the unknown token. Of rules given twice the later rank holds."""
 
     def __init__(self, rules: list[tuple[str, str]], tokens: list[str], word_end: str = WORD_END, unknown: str = UNKNOWN):
         self.rules, self.tokens, self.word_end, self.unknown = [tuple(r) for r in rules], sorted(set(tokens)), word_end, unknown
         self.ranks = {r: k for k, r in enumerate(self.rules)}
+        self.known, self.memory = set(self.tokens), {}
 
     @classmethod
     def learned(cls, rules: list[tuple[str, str]], alphabet: list[str], word_end: str = WORD_END, unknown: str = UNKNOWN) -> Model:
@@ -26,9 +36,7 @@ class Model:
 
     def encode_word(self, word: str, drop: bool = False) -> list[str]:
         """The pair of the lowest rank is merged, leftmost first, until none is left; new pairs count at once."""
-        known = set(self.tokens) if not hasattr(self, "_known") else self._known
-        self._known = known
-        s = [c if c in known else self.unknown for c in word if c in known or not drop] + [self.word_end]
+        s = [c if c in self.known else self.unknown for c in word if c in self.known or not drop] + [self.word_end]
         never = len(self.rules)
         while len(s) > 1:
             rank, i = min((self.ranks.get(p, never), i) for i, p in enumerate(zip(s, s[1:])))
@@ -38,6 +46,16 @@ class Model:
         return s
 
 
+    def remembered(self, word: str, drop: bool = False) -> list[str]:
+        """encode_word, remembered within bounds. The list must not be changed."""
+        found = self.memory.get((word, drop))
+        if found is None:
+            if len(self.memory) >= REMEMBERED:
+                self.memory.clear()
+            found = self.memory[(word, drop)] = self.encode_word(word, drop)
+        return found
+
+
 @lru_cache(8)
 def _model(rules: tuple, tokens: tuple, word_end: str, unknown: str) -> Model:
     return Model(list(rules), list(tokens), word_end, unknown)
@@ -75,32 +93,31 @@ def encode_texts(texts: DataFrame, encoded: DataFrame, key: str = "doc_id", text
     return texts.select(key).join(placed, F.col(key) == F.col("__key"), "left").select(key, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
 
 
-def encode_batch(texts: DataFrame, model: Model, key: str = "doc_id", text: str = "text", workers: int = 0, drop: bool = False) -> DataFrame:
-    """Tokens of all texts; workers: tasks that encode words (0: as many as a shuffle has)."""
-    distinct = texts.select(F.explode(words(F.col(text))).alias("word")).distinct()
-    if workers > 0:
-        distinct = distinct.repartition(workers)
-    return encode_texts(texts, encode_words(distinct, model, drop), key, text)
-
-
 def encode_column(texts: DataFrame, model: Model, text: str = "text", to: str = "tokens", drop: bool = False) -> DataFrame:
-    """Adds tokens row by row, without a shuffle: for streams, and for texts whose words hardly repeat."""
+    """Adds tokens of every text, without a shuffle: each task remembers the words that it has encoded. Also for streams."""
     spark = texts.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((tuple(model.rules), tuple(model.tokens), model.word_end, model.unknown))
 
-    @F.pandas_udf("array<array<string>>")
-    def run(lists):
-        m, known = _model(*shared.value), {}
+    def run(batches):
+        m = _model(*shared.value)
+        for b in batches:
+            tokens, ends = [], [0]
+            for ws in b.column(b.num_columns - 1).to_pylist():
+                for w in ws:
+                    tokens += m.remembered(w, drop)
+                ends.append(len(tokens))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*b.schema.names[:-1], to])
 
-        def one(w):
-            if w not in known:
-                known[w] = m.encode_word(w, drop)
-            return known[w]
+    schema = T.StructType([*texts.schema.fields, T.StructField(to, T.ArrayType(T.StringType()))])
+    return texts.withColumn("__words", words(F.col(text))).mapInArrow(run, schema)
 
-        return lists.map(lambda ws: [one(w) for w in ws])
 
-    return texts.withColumn(to, F.flatten(run(words(F.col(text)))))
+def encode_batch(texts: DataFrame, model: Model, key: str = "doc_id", text: str = "text", workers: int = 0, drop: bool = False) -> DataFrame:
+    """key, tokens of all texts; workers: tasks among which the texts are dealt (0: as they come)."""
+    dealt = texts.repartition(workers) if workers > 0 else texts
+    return encode_column(dealt.select(key, text), model, text, drop=drop).select(key, "tokens")
 
 
 def uncached(distinct: DataFrame, cache: DataFrame) -> DataFrame:

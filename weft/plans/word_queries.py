@@ -99,17 +99,19 @@ def encode_words_rank(spark, sf_dir):
 
 
 def _encoded_texts(spark, sf_dir):
-    return encode.encode_texts(docs(spark, sf_dir), _encoded(spark, sf_dir, encode.encode_words))
+    return encode.encode_batch(docs(spark, sf_dir), model(written(counted(spark, sf_dir), "words")))
+
+
+def _sized(e: DataFrame) -> DataFrame:
+    return e.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(joined(F.col("tokens"))).alias("tokens_md5"))
 
 
 def encode_documents(spark, sf_dir):
-    return _encoded_texts(spark, sf_dir).select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(joined(F.col("tokens"))).alias("tokens_md5"))
+    return _sized(_encoded_texts(spark, sf_dir))
 
 
-def encode_documents_rowwise(spark, sf_dir):
-    words_ = written(counted(spark, sf_dir), "words")
-    e = encode.encode_column(docs(spark, sf_dir), model(words_))
-    return e.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(joined(F.col("tokens"))).alias("tokens_md5"))
+def encode_documents_join(spark, sf_dir):
+    return _sized(encode.encode_texts(docs(spark, sf_dir), _encoded(spark, sf_dir, encode.encode_words)))
 
 
 def token_freq(spark, sf_dir):
@@ -184,7 +186,7 @@ def encode_stream(spark, sf_dir):
     texts = spark.readStream.schema(docs(spark, sf_dir).schema).parquet(f"{sf_dir}/documents.parquet*")
     out = scratch(spark, "stream")
     run(texts.select("doc_id", "text"), model(words_), out, scratch(spark, "stream-state")).awaitTermination()
-    return spark.read.parquet(out).select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(joined(F.col("tokens"))).alias("tokens_md5"))
+    return _sized(spark.read.parquet(out))
 
 
 QUERIES = {
@@ -207,7 +209,7 @@ QUERIES = {
     "encode_words_sweep": encode_words_sweep,
     "encode_words_rank": encode_words_rank,
     "encode_documents": encode_documents,
-    "encode_documents_rowwise": encode_documents_rowwise,
+    "encode_documents_join": encode_documents_join,
     "encode_stream": encode_stream,
     "token_freq": token_freq,
     "encode_oov_replace": lambda s, d: _unseen(s, d, False),
@@ -319,7 +321,7 @@ SQL = {
     "encode_words_sweep": _ENCODED,
     "encode_words_rank": _ENCODED,
     "encode_documents": _TEXTS,
-    "encode_documents_rowwise": _TEXTS,
+    "encode_documents_join": _TEXTS,
     "encode_stream": _TEXTS,
     "token_freq": _sql("SELECT token, CAST(sum(freq) AS BIGINT) AS n FROM (SELECT w.freq, unnest(e.tokens) AS token FROM e JOIN w ON e.word = w.word) GROUP BY token", more=_ALL),
     "encode_oov_replace": _sql(_OOV, "WHERE lang = 'en'", _FR + _fold(f"list_concat([CASE WHEN {_KNOWN} THEN c ELSE '{UNKNOWN}' END for c in {_CHARS}], ['{WORD_END}'])", "fr")),
