@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from ..store import scratch, written
 
 #: ASCII white space, as the contracts define it.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -17,28 +15,6 @@ WHITE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made for a local session."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="weft-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Before Python runs: bound what one Arrow batch holds, for texts may be long, and bring the package along."""
     ship(spark)
@@ -83,3 +59,6 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFram
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+__all__ = ["BROADCAST_ROWS", "WHITE", "column", "lookup", "read", "scratch", "small_batches", "texts", "with_ids", "written"]
