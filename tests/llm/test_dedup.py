@@ -7,7 +7,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weft.llm import common, components, exact_dedup, simhash
+from weft.llm import common, components, exact_dedup, near_copies, simhash
 from weft.store import scratch
 
 from .conftest import ODD
@@ -111,8 +111,8 @@ def test_forest_connects_what_is_near(spec):
         fp.append(x)
     fp = sorted(set(fp))
     u, v = simhash.forest(np.array(fp, np.uint64))
-    at = {x: i for i, x in enumerate(fp)}
-    pairs = {frozenset((at[int(a)], at[int(b)])) for a, b in zip(u, v)}
+    pairs = {frozenset((int(a), int(b))) for a, b in zip(u, v)}
+    assert all((fp[a] ^ fp[b]).bit_count() <= 4 for a, b in zip(u, v))
     want = roots(fp, lambda a, b: (a ^ b).bit_count() <= 4)
     assert roots(range(len(fp)), lambda i, j: frozenset((i, j)) in pairs) == want and len(u) == len(fp) - len(set(want))
 
@@ -157,8 +157,48 @@ def test_near_dedup_on_odd_rows(spark, odd, docs_of):
     assert simhash.near_dedup(docs_of([])).count() == 0
 
 
+def jaccard(a, b):
+    s, t = (set(near_copies.hashes(x.encode())[1].tolist()) for x in (a, b))
+    return len(s & t) / len(s | t)
+
+
+def edited(rng, w, share):
+    return " ".join(f"z{rng.integers(10**6)}" if rng.random() < share else x for x in w)
+
+
+def test_near_copies_are_those_of_similarity(spark, docs_of):
+    rng = np.random.default_rng(0)
+    pairs = []
+    for k in range(120):
+        w = [f"w{rng.integers(3000)}" for _ in range(int(rng.integers(60, 400)))]
+        pairs.append((" ".join(w), edited(rng, w, [0.004, 0.01, 0.02, 0.06, 0.2][k % 5])))
+    docs = docs_of([(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)])
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    found = [got[2 * k + 1] == 2 * k for k in range(120)]
+    j = np.array([jaccard(*p) for p in pairs])
+    assert not any(f for f, x in zip(found, j) if x < 0.8)
+    assert np.mean([f for f, x in zip(found, j) if x >= 0.9]) > 0.95 and np.mean([f for f, x in zip(found, j) if x >= 0.8]) > 0.85
+    assert all(c in (i, i - i % 2) for i, c in got.items())
+
+
+@pytest.mark.parametrize("cell", [4096, 20])
+def test_a_large_group_of_near_copies_is_one(spark, docs_of, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = np.random.default_rng(0)
+    w = [f"w{k}" for k in range(300)]
+    docs = docs_of([(k, edited(rng, w, 0.003)) for k in range(150)] + [(1000 + k, f"alone {k} " * 30) for k in range(20)])
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    assert all(got[k] == 0 for k in range(150)) and all(got[1000 + k] == 1000 + k for k in range(20))
+
+
+def test_near_copies_on_odd_rows(spark, odd, docs_of):
+    got = {(r["doc_id"], r["component_id"]) for r in near_copies.near_copies(odd).collect()}
+    assert {(1, 1), (2, 1), (None, 1), (3, 3), (4, 3), (5, 3), (6, 3), (7, 7), (8, 8)} <= got
+    assert near_copies.near_copies(docs_of([])).count() == 0
+
+
 def test_near_stage_keeps_one(spark, docs_of):
     long = " ".join(f"w{k % 97}x{k % 31}" for k in range(800))
     docs = docs_of([(4, long), (2, long + " more"), (9, "something else entirely here now"), (5, None), (6, "")])
-    left = simhash.stage(spark, docs, "")
+    left = near_copies.stage(spark, docs, "")
     assert sorted(r["doc_id"] for r in left.collect()) == [2, 5, 9] and left.columns == docs.columns

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, lookup, read, small_batches, texts, with_ids, written
+from .common import BROADCAST_ROWS, lookup, read, small_batches, texts, written
 from .components import components
 
 WORDS, SEED, MOST = 4, 42, 4
@@ -39,6 +39,13 @@ ODD = np.uint64(0x5555555555555555)
 RUN = 1 << 16
 
 
+def bits_set(h: np.ndarray) -> np.ndarray:
+    """How many of h have each of the 64 bits set."""
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+    whole = len(bits) // 255 * 255  # sums of 255 fit a byte
+    return bits[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
+
+
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     w = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
     if not w:
@@ -50,7 +57,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     begins, ends, counts = begins[: len(w) - k + 1].tolist(), ends[k - 1 :].tolist(), np.zeros(64, np.int64)
     for i in range(0, len(begins), RUN):
         h = np.array([xxh(whole[a:b], SEED) for a, b in zip(begins[i : i + RUN], ends[i : i + RUN])], "<u8")
-        counts += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+        counts += bits_set(h)
     return int(np.packbits(2 * counts > len(begins), bitorder="little").view("<u8")[0])
 
 
@@ -94,27 +101,30 @@ def _embedded(fp: np.ndarray) -> np.ndarray:
 
 
 def forest(fp: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is within most bits of each other, directly or by others of fp."""
+    """Places of links that connect what is within most bits of each other: each place but a tree's first, with the one that found it."""
     left, right = [], []
     point, rest = _embedded(fp), np.arange(len(fp))
     while len(rest):
-        root, rest, edge = rest[0], rest[1:], [rest[0]]
+        rest, edge = rest[1:], [rest[0]]
         while edge and len(rest):
             x = edge.pop()
             near = np.flatnonzero(np.bitwise_count(point[rest] ^ point[x]) <= most)
             near = near[np.bitwise_count(fp[rest[near]] ^ fp[x]) <= most]
             found = rest[near]
             edge += found.tolist()
-            left.append(np.full(len(found), fp[root]))
-            right.append(fp[found])
+            left.append(np.full(len(found), x))
+            right.append(found)
             rest = np.delete(rest, near)
-    return (np.concatenate(left), np.concatenate(right)) if left else (fp[:0], fp[:0])
+    return (np.concatenate(left), np.concatenate(right)) if left else (rest[:0], rest[:0])
+
 
+def cell_links(batches, most: int = MOST, named: bool = False):
+    """Links within each run of equal (space, cell, a, b); rows come sorted by those, then have fp, and a name if named.
 
-def cell_links(batches, most: int = MOST):
-    """Links within each run of equal (space, cell, a, b); rows come sorted by those."""
+    A link is two fingerprints, or two names.
+    """
 
-    def found(keys, fp):
+    def found(keys, fp, name):
         change = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
         begin = np.concatenate([[0], change])
         many = np.diff(np.concatenate([begin, [len(fp)]]))
@@ -126,55 +136,62 @@ def cell_links(batches, most: int = MOST):
             i = np.flatnonzero((run[d:] == run[:-d]) & small[d:])
             i = i[np.bitwise_count(point[i] ^ point[i + d]) <= most]
             i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= most]
-            left.append(fp[i])
-            right.append(fp[i + d])
+            left.append(i)
+            right.append(i + d)
         for k in np.flatnonzero(many > FEW):
             a, b = forest(fp[begin[k] : begin[k] + many[k]], most)
-            left.append(a)
-            right.append(b)
-        u, v = np.concatenate(left), np.concatenate(right)
+            left.append(a + begin[k])
+            right.append(b + begin[k])
+        u, v = name[np.concatenate(left)], name[np.concatenate(right)]
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    held_keys, held_fp = np.empty((0, 4), np.int64), np.empty(0, np.uint64)
+    held_keys, held_fp, held_name = np.empty((0, 4), np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     for b in batches:
         if not b.num_rows:
             continue
         held_keys = np.concatenate([held_keys, np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)])
         held_fp = np.concatenate([held_fp, b.column(4).to_numpy().view(np.uint64)])
+        held_name = np.concatenate([held_name, b.column(5).to_numpy().view(np.uint64)]) if named else held_fp
         if len(held_fp) < RUN:
             continue
         whole = np.flatnonzero((held_keys != held_keys[-1]).any(1))
         cut = int(whole[-1]) + 1 if len(whole) else 0  # the last run may go on
         if cut:
-            yield found(held_keys[:cut], held_fp[:cut])
-            held_keys, held_fp = held_keys[cut:], held_fp[cut:]
+            yield found(held_keys[:cut], held_fp[:cut], held_name[:cut])
+            held_keys, held_fp, held_name = held_keys[cut:], held_fp[cut:], held_name[cut:]
     if len(held_fp):
-        yield found(held_keys, held_fp)
+        yield found(held_keys, held_fp, held_name)
 
 
-def links(points: DataFrame, most: int = MOST) -> DataFrame:
-    """points: distinct fp. Links (u, v) that connect all fingerprints within most bits of each other."""
-    spark = points.sparkSession
-    masks = subspaces(groups_for(points.count(), most), most)
-    of = F.array([F.lit(m).cast("bigint") for m in masks])
-    cells = points.select("fp", embedded(F.col("fp")).alias("p"), F.posexplode(of).alias("space", "mask"))
-    cells = cells.select("space", F.col("p").bitwiseAND(F.col("mask")).alias("cell"), "fp")
+def blocked(cells: DataFrame, *columns: str) -> DataFrame:
+    """cells: space, cell, and columns, the last of which tells points apart. Rows with the same (space, cell, a, b) together.
+
+    A cell of more than CELL points is dealt into blocks, and every two of them make a run of their own.
+    """
     large = written(cells.groupBy("space", "cell").count().where(F.col("count") > CELL).withColumnRenamed("count", "n"), "cells")
-    one = [F.lit(0).alias("a"), F.lit(0).alias("b"), "fp"]
     n_large = large.count()
     if n_large:
         of_large = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
         block = cells.join(of_large, ["space", "cell"]).withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int"))
-        block = block.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        block = block.withColumn("own", F.pmod(F.xxhash64(columns[-1]), F.col("blocks")).cast("int"))
         block = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        block = block.select("space", "cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
-        cells = cells.join(of_large, ["space", "cell"], "left_anti").select("space", "cell", *one).unionByName(block)
+        block = block.select("space", "cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *columns)
+        cells = cells.join(of_large, ["space", "cell"], "left_anti").select("space", "cell", F.lit(0).alias("a"), F.lit(0).alias("b"), *columns).unionByName(block)
     else:
-        cells = cells.select("space", "cell", *one)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
+        cells = cells.select("space", "cell", F.lit(0).alias("a"), F.lit(0).alias("b"), *columns)
     key = ["space", "cell", "a", "b"]
-    found = cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: cell_links(batches, most), "u long, v long")
-    return written(found, "near")
+    return cells.repartition(*key).sortWithinPartitions(*key)
+
+
+def links(points: DataFrame, most: int = MOST) -> DataFrame:
+    """points: distinct fp. Links (u, v) that connect all fingerprints within most bits of each other."""
+    spark = points.sparkSession
+    masks = subspaces(groups_for(points.count(), most), most)
+    of = F.array([F.lit(m).cast("bigint") for m in masks])
+    cells = points.select("fp", embedded(F.col("fp")).alias("p"), F.posexplode(of).alias("space", "mask"))
+    cells = blocked(cells.select("space", F.col("p").bitwiseAND(F.col("mask")).alias("cell"), "fp"), "fp")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
+    return written(cells.mapInArrow(lambda batches: cell_links(batches, most), "u long, v long"), "near")
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, most: int = MOST) -> DataFrame:
@@ -192,10 +209,3 @@ def near_dedup(docs: DataFrame, words: int = WORDS, most: int = MOST) -> DataFra
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"))
-
-
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays, that with the smallest doc_id."""
-    found = near_dedup(docs).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    dropped = written(found.groupBy("doc_id").agg(F.max("stays").alias("stays")).where("NOT stays"), "dropped")
-    return with_ids(docs, dropped, keep=False)
