@@ -100,8 +100,11 @@ def _embedded(fp: np.ndarray) -> np.ndarray:
     return ((fp | near) & ODD) | ((fp & near & ODD) << np.uint64(1))
 
 
-def forest(fp: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """Places of links that connect what is within most bits of each other: each place but a tree's first, with the one that found it."""
+def forest(fp: np.ndarray, most: int = MOST, more: np.ndarray | None = None, both: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that connect what is within most bits of each other: each place but a tree's first, with the one that found it.
+
+    more: second fingerprints; then the bits of both that differ must be at most both.
+    """
     left, right = [], []
     point, rest = _embedded(fp), np.arange(len(fp))
     while len(rest):
@@ -109,7 +112,10 @@ def forest(fp: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
         while edge and len(rest):
             x = edge.pop()
             near = np.flatnonzero(np.bitwise_count(point[rest] ^ point[x]) <= most)
-            near = near[np.bitwise_count(fp[rest[near]] ^ fp[x]) <= most]
+            apart = np.bitwise_count(fp[rest[near]] ^ fp[x])
+            near, apart = near[apart <= most], apart[apart <= most]
+            if more is not None:
+                near = near[apart + np.bitwise_count(more[rest[near]] ^ more[x]) <= both]
             found = rest[near]
             edge += found.tolist()
             left.append(np.full(len(found), x))
@@ -118,13 +124,14 @@ def forest(fp: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (rest[:0], rest[:0])
 
 
-def cell_links(batches, most: int = MOST, named: bool = False):
-    """Links within each run of equal (space, cell, a, b); rows come sorted by those, then have fp, and a name if named.
+def cell_links(batches, most: int = MOST, both: int = 0):
+    """Links within each run of equal (space, cell, a, b); rows come sorted by those, then have fp.
 
-    A link is two fingerprints, or two names.
+    A link is two fingerprints. both: rows also have a second fingerprint and a name; the bits of both fingerprints that
+    differ must be at most both, and a link is two names.
     """
 
-    def found(keys, fp, name):
+    def found(keys, fp, more, name):
         change = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
         begin = np.concatenate([[0], change])
         many = np.diff(np.concatenate([begin, [len(fp)]]))
@@ -136,31 +143,34 @@ def cell_links(batches, most: int = MOST, named: bool = False):
             i = np.flatnonzero((run[d:] == run[:-d]) & small[d:])
             i = i[np.bitwise_count(point[i] ^ point[i + d]) <= most]
             i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= most]
+            if both:
+                i = i[np.bitwise_count(fp[i] ^ fp[i + d]) + np.bitwise_count(more[i] ^ more[i + d]) <= both]
             left.append(i)
             right.append(i + d)
         for k in np.flatnonzero(many > FEW):
-            a, b = forest(fp[begin[k] : begin[k] + many[k]], most)
+            run_of = slice(begin[k], begin[k] + many[k])
+            a, b = forest(fp[run_of], most, more[run_of] if both else None, both)
             left.append(a + begin[k])
             right.append(b + begin[k])
         u, v = name[np.concatenate(left)], name[np.concatenate(right)]
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    held_keys, held_fp, held_name = np.empty((0, 4), np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    held = [np.empty((0, 4), np.int64), *[np.empty(0, np.uint64)] * 3]
     for b in batches:
         if not b.num_rows:
             continue
-        held_keys = np.concatenate([held_keys, np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)])
-        held_fp = np.concatenate([held_fp, b.column(4).to_numpy().view(np.uint64)])
-        held_name = np.concatenate([held_name, b.column(5).to_numpy().view(np.uint64)]) if named else held_fp
-        if len(held_fp) < RUN:
+        columns = [b.column(i).to_numpy().view(np.uint64) for i in ((4, 5, 6) if both else (4, 4, 4))]
+        new = [np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4)], 1), *columns]
+        held = [np.concatenate(x) for x in zip(held, new)]
+        if len(held[1]) < RUN:
             continue
-        whole = np.flatnonzero((held_keys != held_keys[-1]).any(1))
+        whole = np.flatnonzero((held[0] != held[0][-1]).any(1))
         cut = int(whole[-1]) + 1 if len(whole) else 0  # the last run may go on
         if cut:
-            yield found(held_keys[:cut], held_fp[:cut], held_name[:cut])
-            held_keys, held_fp, held_name = held_keys[cut:], held_fp[cut:], held_name[cut:]
-    if len(held_fp):
-        yield found(held_keys, held_fp, held_name)
+            yield found(*[x[:cut] for x in held])
+            held = [x[cut:] for x in held]
+    if len(held[1]):
+        yield found(*held)
 
 
 def blocked(cells: DataFrame, *columns: str) -> DataFrame:
