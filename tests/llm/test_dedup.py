@@ -191,6 +191,28 @@ def test_a_large_group_of_near_copies_is_one(spark, docs_of, monkeypatch, cell):
     assert all(got[k] == 0 for k in range(150)) and all(got[1000 + k] == 1000 + k for k in range(20))
 
 
+@pytest.mark.parametrize("cell", [4096, 20])
+def test_near_copies_inside_a_family_are_found(spark, docs_of, monkeypatch, cell):
+    """Texts of about 0.7 share most shingles, and each has a copy of a little over 0.8."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = np.random.default_rng(1)
+    w = [f"w{k}" for k in range(300)]
+    family = [edited(rng, w, 0.018).split() for _ in range(60)]
+    rows = [t for f in family for t in (" ".join(f), edited(rng, f, 0.018))]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs_of(list(enumerate(rows)))).collect()}
+    want = roots(rows, lambda a, b: jaccard(a, b) >= 0.8)
+    assert 20 < len(set(want)) < 110 and [got[k] for k in range(len(rows))] == want
+
+
+def test_short_near_copies_are_found(spark, docs_of):
+    """Of n words and one word more: n - 4 of n - 3 shingles are shared."""
+    words = [f"{k}-{j}" for k in range(120) for j in range(8 + k % 3)]
+    lines = [" ".join(x for x in words if x.startswith(f"{k}-")) for k in range(120)]
+    docs = docs_of([(2 * k + j, t) for k, x in enumerate(lines) for j, t in enumerate((x, x + " more"))])
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    assert all(c == i - i % 2 for i, c in got.items())
+
+
 def test_near_copies_on_odd_rows(spark, odd, docs_of):
     got = {(r["doc_id"], r["component_id"]) for r in near_copies.near_copies(odd).collect()}
     assert {(1, 1), (2, 1), (None, 1), (3, 3), (4, 3), (5, 3), (6, 3), (7, 7), (8, 8)} <= got

@@ -1,4 +1,4 @@
-"""Near copies by similarity of word shingles: SimHash candidates, exact verification.
+"""Near copies by similarity of word shingles: SimHash candidates, then an exact join for the rest.
 
 The contract of op4 links fingerprints; the corpus pipeline asks for similarity (Jaccard) of the sets of five-word shingles. At
 0.8 two 64-bit fingerprints differ in about nine bits, too many for cells that must miss none. So a text gets COPIES fingerprints
@@ -7,8 +7,12 @@ two-bit segments. Points of one cell are candidates within Manhattan, then Hammi
 next copy's fingerprint, so that chance candidates are a handful however large the table is. All COPIES fingerprints together estimate the angle between two texts to about a hundredth: candidates beyond WIDE are left, those below SURE are
 taken, and between the two the shingle sets themselves decide.
 
-Expected recall, by the share of equal bits alone: 0.8 of pairs at similarity 0.8, 0.93 at 0.85, 0.99 at 0.9. No pair below the
-similarity is linked but by an estimate five standard deviations off.
+That finds most, and joins large groups with few comparisons, but it may miss pairs. So an exact join follows, by prefixes: all
+shingles have one order, and two texts that are similar enough share one of the first of each (of n, all but similarity * n, and one
+more). Texts that share such a shingle, and have enough left from there on, are compared as sets, unless they are in one large
+group already or were compared before. Every pair of the similarity is found, in whatever order the shingles are; the order only
+saves work: shingles that are frequent in one of SAMPLE texts come last, so a passage that many texts share is seldom among the
+first. No pair below the similarity is linked but by an estimate five standard deviations off.
 
 Texts that are equal but for ASCII case and white space are one class, compared once. Within a cell of more than a few points, each
 point is linked to the one that found it, so a group of copies makes few links, not all pairs; large cells are split into blocks.
@@ -25,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import lookup, small_batches, texts, with_ids, written
 from .components import components
 from .simhash import RUN, SEED, bits_set, blocked, cell_links, embedded
@@ -32,6 +37,10 @@ from .simhash import RUN, SEED, bits_set, blocked, cell_links, embedded
 WORDS, SIMILARITY = 5, 0.8
 COPIES, SPACES, SPAN, NEAR, BOTH = 16, 3, 10, 12, 24
 SURE, WIDE = 0.10, 0.19
+#: Only work depends on these: frequent shingles are those met OFTEN times in one of SAMPLE texts, FREQUENT of them at most; a group of
+#: LARGE texts or more isn't compared within itself again, if the members of all such are MEMBERS at most (else of larger ones only).
+SAMPLE, OFTEN, FREQUENT, LARGE, MEMBERS = 8, 3, 500_000, 8, 1_000_000
+LITTLE = 1e-6
 
 
 def hashes(text: bytes, words: int = WORDS) -> tuple[int, np.ndarray]:
@@ -93,6 +102,183 @@ def shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return texts(docs).select("text").mapInArrow(run, "c long, s array<long>")
 
 
+def least_of(sizes: DataFrame, most: int, least: int) -> int:
+    """sizes: n, times. The smallest n, at least `least`, so that at most `most` are of that n or more."""
+    total = 0
+    for n, many in sorted(((r["n"], r["times"]) for r in sizes.where(F.col("n") >= least).collect()), reverse=True):
+        total += many
+        if total > most:
+            return n + 1
+    return least
+
+
+def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of frequent shingles, and how often each was met in the sample."""
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(hashes(t, words)[1]) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["s"])
+
+    some = texts(docs).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
+    met = written(some.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN), "frequent")
+    table = met.where(F.col("n") >= least_of(met.groupBy("n").agg(F.count(F.lit(1)).alias("times")), FREQUENT, OFTEN)).toArrow()
+    s, n = table.column("s").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def prefix(h: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of distinct sorted hashes, the first in the common order that a similar set must share one of."""
+    long = len(h) - int(np.ceil(similarity * len(h) - LITTLE)) + 1
+    s, n = frequent
+    if not len(h) or not len(s):
+        return h[:long]
+    at = np.minimum(np.searchsorted(s, h), len(s) - 1)
+    met = np.where(s[at] == h, n[at], 0)
+    return h[np.argsort(met, kind="stable")[:long]]
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """cell (a shingle), c, size (of its set), left (so many of them from this shingle on)."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                c, h = hashes(t, words)
+                h = np.unique(h)
+                first = prefix(h, similarity, shared.value)
+                k = len(first)
+                rows.append((first, np.full(k, c, np.uint64), np.full(k, len(h), np.int32), len(h) - np.arange(k, dtype=np.int32)))
+            if rows:
+                cell, c, size, left = (np.concatenate(x) for x in zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(c.view(np.int64)), pa.array(size), pa.array(left)], ["cell", "c", "size", "left"])
+
+    return texts(docs).select("text").mapInArrow(run, "cell long, c long, size int, left int")
+
+
+def enough(size, left, i, j, similarity: float):
+    """Whether i and j can still share as many as the similarity needs, if theirs is the first shingle they share."""
+    return np.minimum(left[i], left[j]) * (1 + similarity) >= similarity * (size[i].astype(np.int64) + size[j]) - LITTLE
+
+
+def pairs_of(run: np.ndarray, c: np.ndarray, size: np.ndarray, left: np.ndarray, group: np.ndarray, similarity: float):
+    """Places (i, j) of texts to compare within each run of equal numbers."""
+    begin = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1])
+    many = np.diff(np.concatenate([begin, [len(run)]]))
+    ok = lambda i, j: (c[i] != c[j]) & (group[i] != group[j]) & enough(size, left, i, j, similarity)
+    few = np.flatnonzero(np.repeat((many > 1) & (many <= simhash.FEW), many))
+    for d in range(1, simhash.FEW):
+        i = few[few + d < len(run)]
+        i = i[run[i] == run[i + d]]
+        i = i[ok(i, i + d)]
+        yield i, i + d
+    for k in np.flatnonzero(many > simhash.FEW):
+        at = np.arange(begin[k], begin[k] + many[k])
+        at = at[np.argsort(group[at], kind="stable")]
+        ends = np.concatenate([np.flatnonzero(np.diff(group[at])) + 1, [len(at)]])
+        # Each text against all that come after its own group.
+        for x, after in zip(at[: ends[-2]] if len(ends) > 1 else [], np.repeat(ends, np.diff(np.concatenate([[0], ends])))):
+            j = at[after:]
+            j = j[ok(np.full(len(j), x), j)]
+            yield np.full(len(j), x), j
+
+
+def cell_pairs(cells: DataFrame, keys: list[str], similarity: float, groups) -> DataFrame:
+    """u, v to compare, of rows sorted by keys. The rows of a run of more than CELL come back instead, with v null, if keys are cells."""
+    most, kind = simhash.CELL, "u long, v long, cell long, size int, left int"
+    names = ["u", "v", "cell", "size", "left"]
+
+    def found(key, cell, c, size, left):
+        change = (key[1:] != key[:-1]).any(1)
+        run = np.concatenate([[0], np.cumsum(change)])
+        many = np.bincount(run)
+        if len(keys) == 1:
+            own = (many > most)[run]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[own]), pa.nulls(int(own.sum()), pa.int64()), pa.array(cell[own]), pa.array(size[own]), pa.array(left[own])], names)
+        keep = np.flatnonzero((many > 1)[run] & ((many <= most)[run] | (len(keys) > 1)))
+        run, c, size, left = run[keep], c[keep], size[keep], left[keep]
+        if not len(c):
+            return
+        members, roots = groups.value
+        group = c.copy()
+        if len(members):
+            at = np.minimum(np.searchsorted(members, c), len(members) - 1)
+            group = np.where(members[at] == c, roots[at], c)
+        ready, have = [], 0
+        for i, j in pairs_of(run, c, size, left, group, similarity):
+            ready.append((c[i], c[j]))
+            have += len(i)
+            if have > RUN:
+                yield linked(ready)
+                ready, have = [], 0
+        if have:
+            yield linked(ready)
+
+    def linked(ready):
+        u, v = (np.concatenate(x) for x in zip(*ready))
+        both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+        none = [pa.nulls(len(both), t) for t in (pa.int64(), pa.int32(), pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), *none], names)
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(k).to_numpy().astype(np.int64) for k in keys], 1)
+            held.append((key, *(b.column(k).to_numpy() for k in ("cell", "c", "size", "left"))))
+            n += b.num_rows
+            if n < RUN or (held[0][0][0] == key[-1]).all():
+                continue
+            whole = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.flatnonzero((whole[0] != whole[0][-1]).any(1))[-1]) + 1  # the last run may go on
+            yield from found(*[x[:cut] for x in whole])
+            held, n = [tuple(x[cut:] for x in whole)], len(whole[1]) - cut
+        if held:
+            yield from found(*[np.concatenate(x) for x in zip(*held)])
+
+    cells.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
+    return cells.mapInArrow(run, kind)
+
+
+def exact_candidates(docs: DataFrame, rooted: DataFrame, words: int, similarity: float) -> DataFrame:
+    """rooted: c, root. Distinct pairs (u, v) that hold all of the similarity but those within a large group."""
+    spark = docs.sparkSession
+    per_root = written(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LARGE), "groups")
+    least = least_of(per_root.groupBy("n").agg(F.sum("n").alias("times")), MEMBERS, LARGE)
+    table = rooted.join(per_root.where(F.col("n") >= least).select("root"), "root").select("c", "root").toArrow()
+    c, root = (table.column(k).to_numpy() for k in ("c", "root"))
+    order = np.argsort(c)
+    groups = spark.sparkContext.broadcast((c[order], root[order]))
+    cells = prefixes(docs, words, similarity).repartition("cell").sortWithinPartitions("cell")
+    first = written(cell_pairs(cells, ["cell"], similarity, groups), "prefix-pairs")
+    pairs = first.where("v IS NOT NULL").select("u", "v")
+    large = first.where("v IS NULL").select(F.lit(0).alias("space"), "cell", "size", "left", F.col("u").alias("c"))
+    if large.limit(1).count():
+        dealt = blocked(large.distinct(), "size", "left", "c")
+        pairs = pairs.unionByName(written(cell_pairs(dealt, ["space", "cell", "a", "b"], similarity, groups), "prefix-pairs").select("u", "v"))
+    return pairs.distinct()
+
+
+def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets of shingles are of the similarity."""
+    asked = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct().join(classes.select("c", "doc_id"), "c")
+    of_asked = docs.join(asked.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    sets = written(shingles(of_asked, words).dropDuplicates(["c"]), "shingles")
+    side = lambda k, f: sets.select(F.col("c").alias(k), F.col("s").alias(f))
+    both = pairs.join(side("u", "x").hint("merge"), "u").join(side("v", "y").hint("merge"), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("u", "v")
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Per row: doc_id, component_id (the smallest doc_id that links of that similarity reach)."""
     spark = docs.sparkSession
@@ -115,17 +301,13 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     apart = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, b: s + b) / (64 * COPIES)
     told = written(told.select("u", "v", apart.alias("apart")).where(F.col("apart") <= WIDE), "told")
 
-    open_ = told.where(F.col("apart") > SURE)
-    asked = open_.select(F.col("u").alias("c")).union(open_.select("v")).distinct().join(classes.select("c", "doc_id"), "c")
-    of_asked = docs.join(asked.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = written(shingles(of_asked, words).dropDuplicates(["c"]), "shingles")
-    side = lambda k, f: sets.select(F.col("c").alias(k), F.col("s").alias(f))
-    both = open_.join(side("u", "x").hint("merge"), "u").join(side("v", "y").hint("merge"), "v")
-    shared = F.size(F.array_intersect("x", "y"))
-    close = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("u", "v")
-
+    close = similar(docs, classes, told.where(F.col("apart") > SURE).select("u", "v"), words, similarity)
+    of_root = lambda root: written(classes.select("c", "doc_id", "n").join(root, F.col("c") == F.col("u"), "left").select("c", "doc_id", "n", F.coalesce("root", "c").alias("root")), "rooted")
     root = written(components(told.where(F.col("apart") <= SURE).select("u", "v").unionByName(close)), "roots")
-    rooted = written(classes.select("c", "doc_id", "n").join(root, F.col("c") == F.col("u"), "left").select("c", "doc_id", "n", F.coalesce("root", "c").alias("root")), "rooted")
+
+    missed = exact_candidates(docs, of_root(root), words, similarity).join(told.select("u", "v"), ["u", "v"], "left_anti")
+    more = similar(docs, classes, written(missed, "missed"), words, similarity)
+    rooted = of_root(written(components(root.select("u", F.col("root").alias("v")).unionByName(more)), "roots"))
     per_root = written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
     of_class = lookup(rooted.select("c", "root", F.col("n").alias("rows")), per_root, "root", classes.count())
     of_class = written(of_class.select("c", F.col("rows").alias("n"), "component_id"), "of-classes")
