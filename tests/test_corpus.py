@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.schedule import early_stopping, minutes, teacher_forcing
 from weft.operators import dataset, seq2seq
+from weft.plans import corpus_queries
 from weft.sources import model_files, pairs
 
 
@@ -125,6 +126,18 @@ def test_training_lowers_the_loss():
     assert seq2seq.fit(m, data, [], epochs=1)[0]["val_loss"] is None
 
 
+def test_forward_covers_whole_texts(spark, tmp_path):
+    texts = [("user", "ab" * 20), ("assistant", "cd" * 30), ("user", "b"), ("assistant", "a d")]
+    spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    ids = {c: k + 4 for k, c in enumerate(sorted(set("".join(t for _, t in texts))))}
+    of = lambda role: [[ids[c] for c in t] for r, t in texts if r == role]
+    src, tgt = seq2seq.matrix([[*x, 2] for x in of("user")]), seq2seq.matrix([[1, *x, 2] for x in of("assistant")])
+    m = seq2seq.Seq2Seq(len(ids) + 4, len(ids) + 4, hidden=8, layers=2, embedding=6)
+    want = m.loss(m.forward(src, tgt, 0.0), tgt[:, 1:])[0]
+    got = corpus_queries.seq2seq_forward(spark, str(tmp_path)).collect()
+    assert len(got) == 1 and abs(got[0]["loss"] - want) < 1e-5 and (got[0]["n_labels"], got[0]["n_greedy"]) == (61 + 4, 2 * 61)
+
+
 def test_weights(spark, tmp_path):
     m = seq2seq.Seq2Seq(5, 5, hidden=2, layers=1, embedding=3)
     model_files.save_weights(spark, m.p, str(tmp_path / "w"))
