@@ -13,6 +13,7 @@ ODD = [
     (1, "alpha beta gamma delta epsilon"), (2, "alpha\tbeta \n gamma delta epsilon"), (3, None), (4, ""), (5, " "), (6, "\t\n"), (None, "no id here at all"),
     (None, "alpha beta gamma delta epsilon"), (7, "seven times seven"), (7, "seven times seven"), (8, "word " * 30_000 + "end"), (9, "x" * 200_000),
     (10, "Été ½ 日本 　 ok\x1cok"), (11, "| *** ###"), (12, "a"), (13, "<|endoftext|> it's 's"), (14, "a  b \n c"),
+    (15, "a <|endoftext|> b<|startoftext|>c <|"), (16, "One line.\nTwo lines,\nthree: it's\n\nnot"),
 ]
 
 

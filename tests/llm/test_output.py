@@ -1,7 +1,9 @@
 import re
 import zlib
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,30 +19,44 @@ from .conftest import ODD
 FILES = {"word_bpe_49k.json": True, "byte_bpe_50k.json": False}
 
 
-def library(name):
+@cache
+def library(name, special_as_text=False):
     t = Tokenizer.from_file(tokens.path_of(name))
-    t.encode_special_tokens = True
+    if special_as_text:
+        t.encode_special_tokens = True
     return t
 
 
-TEXT = st.text(st.sampled_from("ab Z'.,\n\t 1é́日　\x1c\x85s½_|"), max_size=30) | st.text(max_size=20)
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>"]
+WORDS = st.lists(st.sampled_from(["it's", "end.", "a", "ab", " ", "  ", "\n", "\n\n", ",\nThen", "x\ty", "(b)", "été,", "99.", "'s", "don't,", *SPECIAL]), max_size=12).map(" ".join)
+TEXT = st.text(st.sampled_from("ab Z'.,\n\t 1é́日　\x1c\x85s½_|\x01"), max_size=30) | st.text(max_size=20) | WORDS
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(TEXT.filter(lambda t: t.encode("utf-8", "ignore").decode() == t), max_size=4))
 def test_encoder_is_the_library(texts):
     for name, words in FILES.items():
-        got = tokens.encoder(tokens.path_of(name), words).encode([t.encode() for t in texts])
-        want = [np.array(e.ids, "<u4").tobytes() for e in library(name).encode_batch(texts, add_special_tokens=False)]
-        assert got == want
+        for as_text in (False, True):
+            ids, many = tokens.encoder(tokens.path_of(name), words, as_text).encode(pa.array(texts, pa.string()))
+            want = [e.ids for e in library(name, as_text).encode_batch(texts, add_special_tokens=False)]
+            assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == want if texts else not len(ids)
 
 
-def test_memory_stays_bounded(monkeypatch):
-    e = tokens.Encoder(tokens.path_of("byte_bpe_50k.json"), False)
-    e.rest.most = e.pieces.most = 5
-    text = " ".join(f"abc{k} xyz{chr(97 + k % 26)}." for k in range(50)).encode()
-    assert e.encode([text]) == [np.array(library("byte_bpe_50k.json").encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()]
-    assert len(e.rest) <= 5 and len(e.pieces) <= 5
+def test_special_strings_are_special_tokens():
+    for name, own in (("byte_bpe_50k.json", 50256), ("word_bpe_49k.json", 49407)):
+        ids, _ = tokens.encoder(tokens.path_of(name), name.startswith("word")).encode(pa.array(["a <|endoftext|> b"]))
+        assert own in ids.tolist()
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_memory_stays_bounded(monkeypatch, name):
+    monkeypatch.setattr(tokens, "REMEMBERED", 4000)
+    e, want = tokens.Encoder(tokens.path_of(name), FILES[name]), library(name)
+    for k in range(40):
+        text = " ".join(f"abc{j} xyz{chr(97 + j % 26)}{k}.\nnext{j}" for j in range(k, k + 20))
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == want.encode(text, add_special_tokens=False).ids
+        assert e.rest.size() < 4000 + 20 * 400
 
 
 @settings(max_examples=100, deadline=None)
@@ -110,7 +126,7 @@ def test_file(monkeypatch):
     w, parts = simple8b.Writer(f), []
     for k in range(40):
         x = rng.integers(0, [2, 60_000, 2**63][k % 3], rng.integers(0, 700)).astype(np.uint64)
-        w.add(k if k else None, x)
+        w.add([(k if k else None, len(x))], x)
         parts.append(x)
     w.close()
     r, every = simple8b.Reader(type("F", (), {"size": lambda s: len(f.data), "read_at": lambda s, n, at: BufferReader(f.data).read_at(n, at)})()), np.concatenate(parts)
@@ -125,7 +141,8 @@ def test_id_files(spark, odd, docs_of, monkeypatch):
     path = tokens.path_of("byte_bpe_50k.json")
     assert id_files.read_back(id_files.write(docs_of([]), scratch(spark, "f"), path)).count() == 0
     rows = id_files.read_back(id_files.write(odd, scratch(spark, "f"), path)).orderBy("start", "n_tokens").collect()
-    order = sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    hashed = {(r["doc_id"], r["text"]): r["h"] for r in odd.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0, hashed[x]))
     at = 0
     for r, (i, t) in zip(rows, order, strict=True):
         ids = np.array(library("byte_bpe_50k.json").encode(t or "", add_special_tokens=False).ids + [0], "<u4")

@@ -15,10 +15,14 @@ WHITE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Before Python runs: bound what one Arrow batch holds, for texts may be long, and bring the package along."""
+#: What one Arrow batch holds at most, unless a single row is larger. One value for all operators, so no call changes another's batches.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Before Python runs: bound the bytes of Arrow batches, for texts may be long, and bring the package along."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def column(docs: DataFrame, name: str, kind: str):

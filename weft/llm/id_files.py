@@ -4,7 +4,9 @@ Documents are dealt by ranges of doc_id, so the files in the order of their name
 and writes as it goes. A file appears under its name only when whole, so a lost task is simply done again.
 
 Defined results: a null or empty text is the end id alone. A null doc_id comes first. Rows that repeat a doc_id are
-written each, by text. An empty table gives no rows. Columns other than doc_id and text are not read.
+written each, in the order of a hash of their texts (so that many such rows spread over files). A special token's string in a
+text becomes that token's id, as the library does by itself, unless special_as_text. An empty table gives no rows. Columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ from .simple8b import Reader, Writer
 from .tokens import encoder, path_of
 
 END_ID = 0
-#: A file ends with the document that brings it to so many ids; a reader decodes about so many at a time.
+#: A file ends with the batch that brings it to so many ids; a reader decodes about so many at a time.
 FILE_IDS, READ_IDS = 1 << 26, 1 << 20
 
 
-def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> DataFrame:
+def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, special_as_text: bool = False) -> DataFrame:
     """Write the files. Per file: part and nth (in order), file, n_docs, n_ids."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -36,9 +38,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> Data
 
     def run(batches):
         store, inside = fs.FileSystem.from_uri(folder)
-        task, e = TaskContext.get(), encoder(path, False)
+        task, e = TaskContext.get(), encoder(path, False, special_as_text)
         part, nth, out, made = task.partitionId(), 0, None, []
-        end = np.array([end_id], "<u4").tobytes()
 
         def close():
             out.close()
@@ -46,21 +47,28 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> Data
             made.append((part, nth, f"{folder}/{name}", len(out.docs), out.ids))
 
         for b in batches:
-            for i, ids in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text").cast(pa.binary()).to_pylist())):
-                if out is None:
-                    name = f"ids-{part:06d}-{nth:04d}.s8b"
-                    hidden = f"{inside}/_{name}.{task.taskAttemptId()}"
-                    out = Writer(store.open_output_stream(hidden))
-                out.add(i, np.frombuffer(ids + end, "<u4"))
-                if out.ids >= FILE_IDS:
-                    close()
-                    out, nth = None, nth + 1
+            ids, many = e.encode(b.column("text"))
+            ids = np.insert(ids, np.cumsum(many), end_id)
+            docs = list(zip(b.column("doc_id").to_pylist(), (many + 1).tolist()))
+            if not docs:
+                continue
+            if out is None:
+                name = f"ids-{part:06d}-{nth:04d}.s8b"
+                hidden = f"{inside}/_{name}.{task.taskAttemptId()}"
+                out = Writer(store.open_output_stream(hidden))
+            out.add(docs, ids)
+            if out.ids >= FILE_IDS:
+                close()
+                out, nth = None, nth + 1
         if out is not None:
             close()
         cols = list(zip(*made)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()])], ["part", "nth", "file", "n_docs", "n_ids"])
 
-    dealt = texts(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows that are equal in all go by where they were read, so no key holds many.
+    order = [F.col("doc_id").asc_nulls_first(), "hash", "row"]
+    dealt = texts(docs).withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(dealt.mapInArrow(run, "part long, nth long, file string, n_docs long, n_ids long"), "files")
 
 

@@ -245,7 +245,6 @@ def cell_pairs(cells: DataFrame, keys: list[str], similarity: float, groups) ->
         if held:
             yield from found(*[np.concatenate(x) for x in zip(*held)])
 
-    cells.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
     return cells.mapInArrow(run, kind)
 
 
@@ -292,7 +291,6 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     cells = cells.select("c", "copy", "fp", F.element_at("fps", F.pmod(F.col("copy") + 1, F.lit(COPIES)).cast("int") + 1).alias("more"), embedded(F.col("fp")).alias("p"), F.posexplode(of).alias("j", "mask"))
     cells = cells.select((F.col("copy") * SPACES + F.col("j")).alias("space"), F.col("p").bitwiseAND(F.col("mask")).alias("cell"), "fp", "more", "c")
     cells = blocked(cells, "fp", "more", "c")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
     pairs = cells.mapInArrow(lambda batches: cell_links(batches, NEAR, BOTH), "u long, v long")
     pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
 

@@ -5,7 +5,8 @@ end. The ends are dealt into random groups of about GROUP pieces, which are pack
 into the first bin with room, found by descending a tree whose nodes hold the largest capacity below.
 
 Defined results: a null or empty text is the end id alone. Rows that repeat are packed each. Equal lengths go by doc_id
-(null first), then start. An empty table gives no rows. Columns other than doc_id and text are not read.
+(null first), then start. A special token's string in a text becomes that token's id, as the library does by itself, unless
+special_as_text. An empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -43,26 +44,28 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, row (a number of its own); with_ids: and the ids."""
     small_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        e, row = encoder(path, True), TaskContext.get().partitionId() << 40
+        e, row = encoder(path, True, special_as_text), TaskContext.get().partitionId() << 40
         for b in batches:
-            rows = []
-            for i, ids in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text").cast(pa.binary()).to_pylist())):
-                ids += end
-                for at in range(0, len(ids), 4 * length):
-                    x = ids[at : at + 4 * length]
-                    rows.append((i, at // 4, len(x) // 4, zlib.crc32(x), len(ids) // 4, row, x))
-                    row += 1
-            names, kinds = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"], [pa.int64()] * 6
+            ids, many = e.encode(b.column("text"))
+            ids, many = np.insert(ids, np.cumsum(many), end_id).astype("<u4"), many + 1
+            if not len(many):
+                continue
+            n = -(-many // length)  # pieces of each document
+            of, nth = np.repeat(np.arange(len(many)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = nth * length
+            size, begin = np.minimum(many[of] - start, length), (np.cumsum(many) - many)[of] + start
+            data = [memoryview(ids[i : i + k]).cast("B") for i, k in zip(begin.tolist(), size.tolist())]
+            columns = [b.column("doc_id").take(pa.array(of)), pa.array(start), pa.array(size), pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array(many[of]), pa.array(row + np.arange(len(of)))]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"]
+            row += len(of)
             if with_ids:
-                names, kinds = [*names, "ids"], [*kinds, pa.binary()]
-            cols = list(zip(*rows)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+                names, columns = [*names, "ids"], [*columns, pa.array([bytes(x) for x in data], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return texts(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long" + ", ids binary" * with_ids)
 

@@ -195,12 +195,10 @@ def blocked(cells: DataFrame, *columns: str) -> DataFrame:
 
 def links(points: DataFrame, most: int = MOST) -> DataFrame:
     """points: distinct fp. Links (u, v) that connect all fingerprints within most bits of each other."""
-    spark = points.sparkSession
     masks = subspaces(groups_for(points.count(), most), most)
     of = F.array([F.lit(m).cast("bigint") for m in masks])
     cells = points.select("fp", embedded(F.col("fp")).alias("p"), F.posexplode(of).alias("space", "mask"))
     cells = blocked(cells.select("space", F.col("p").bitwiseAND(F.col("mask")).alias("cell"), "fp"), "fp")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
     return written(cells.mapInArrow(lambda batches: cell_links(batches, most), "u long, v long"), "near")
 
 

@@ -23,23 +23,23 @@ COUNT = np.array([1] + [n for n, _ in PLACES])
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids (unsigned 64-bit) as words, escapes, and the word number of each block."""
+    """ids (unsigned 32- or 64-bit) as words, escapes, and the word number of each block."""
     n = len(ids)
     if not n:
         return np.empty(0, "<u8"), np.empty(0, "<u8"), np.empty(0, np.int64)
     ends = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
     best, top = np.zeros(n, np.int8), int(ids.max())
-    # From the fullest selector down: positions from which all of its ids, or all to the block's end, are small enough.
+    # From the fullest selector up: positions from which all of its ids, or all to the block's end, are small enough.
     for selector in sorted(range(1, 16), key=lambda s: PLACES[s - 1][0]):
         count, bits = PLACES[selector - 1]
         if top >> bits == 0:
-            fits = np.ones(n, bool)
-        else:
-            over = np.concatenate([[0], np.cumsum(ids >= np.uint64(1 << bits))])
-            fits = over[np.minimum(np.arange(n) + count, ends)] == over[:-1]
-            if not fits.any():
-                continue
-        best[fits] = selector
+            best[:] = selector
+            continue
+        large = ids >= ids.dtype.type(1 << bits)
+        at = np.flatnonzero(~large)
+        if len(at):
+            over = np.cumsum(large, dtype=np.int32)
+            best[at[over[np.minimum(at + count, ends[at]) - 1] == over[at]]] = selector
     # All blocks step through their words together.
     at, stop, starts, blocks = np.arange(0, n, BLOCK), ends[::BLOCK], [], []
     number = np.arange(len(at))
@@ -100,8 +100,9 @@ class Writer:
         self.escapes, self.blocks, self.docs = [], [], []
         file.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
+    def add(self, docs: list[tuple[int | None, int]], ids: np.ndarray) -> None:
+        """docs: doc_ids and how many of ids are each one's."""
+        self.docs += docs
         self.held.append(ids)
         self.n_held += len(ids)
         if self.n_held >= self.RUN:
@@ -109,7 +110,7 @@ class Writer:
 
     def _flush(self, n: int) -> None:
         ids = np.concatenate(self.held) if self.held else np.empty(0, np.uint32)
-        words, escapes, blocks = encode(ids[:n].astype(np.uint64))
+        words, escapes, blocks = encode(ids[:n])
         if len(escapes):
             here = np.flatnonzero(words >> np.uint64(60) == 0)
             words[here] += np.uint64(sum(map(len, self.escapes)))
