@@ -91,22 +91,29 @@ class Table:
         """
         if self.size() > REMEMBERED:
             self._clear()
-        at = pc.index_in(cuts, value_set=self.cuts)
-        new, at = cuts.filter(at.is_null()), at.fill_null(-1).to_numpy().astype(np.int64)
-        if len(new):
-            heads = pc.ascii_rtrim(new, MARKS)
-            marked = pc.and_(pc.not_equal(heads, new), pc.match_substring_regex(heads, "[A-Za-z0-9]$"))
-            parts = pc.if_else(marked, heads, new).dictionary_encode()
-            own = self._known(parts.dictionary)[parts.indices.to_numpy()]
-            new, heads, marked = new.filter(marked), heads.filter(marked), marked.to_numpy(zero_copy_only=False)
-            if len(new):
+        # The known ones are hashed anew for each call, so all is asked at once.
+        heads = pc.ascii_rtrim(cuts, MARKS)
+        at = pc.index_in(pa.concat_arrays([cuts, heads]), value_set=self.cuts).fill_null(-1).to_numpy().astype(np.int64)
+        at, head_at = at[: len(cuts)], at[len(cuts) :]
+        is_new = at < 0
+        if is_new.any():
+            new, heads = cuts.filter(pa.array(is_new)), heads.filter(pa.array(is_new))
+            mask = pc.and_(pc.not_equal(heads, new), pc.match_substring_regex(heads, "[A-Za-z0-9]$"))
+            marked = mask.to_numpy(zero_copy_only=False)
+            own = np.where(marked, head_at[is_new], -1)
+            parts = pc.if_else(mask, heads, new).filter(pa.array(own < 0)).dictionary_encode()
+            own[own < 0] = len(self.cuts) + parts.indices.to_numpy()
+            if len(parts.dictionary):
+                self._add(parts.dictionary, *self.make(parts.dictionary))
+            if marked.any():
+                new, heads = new.filter(mask), heads.filter(mask)
                 tails = pa.array([x[len(y) :] for x, y in zip(new.to_pylist(), heads.to_pylist())], pa.string()).dictionary_encode()
                 head, tail = own[marked], self.tails._known(tails.dictionary)[tails.indices.to_numpy()]
                 begin = np.stack([self.begin[head], len(self.ids) + self.tails.begin[tail]], 1).ravel()
                 many = np.stack([self.many[head], self.tails.many[tail]], 1)
                 own[marked] = len(self.cuts) + np.arange(len(new))
                 self._add(new, gather(np.concatenate([self.ids, self.tails.ids]), begin, many.ravel()), many.sum(1))
-            at[at < 0] = own
+            at[is_new] = own
         return self.ids, self.begin[at], self.many[at]
 
 
