@@ -224,3 +224,35 @@ def test_near_stage_keeps_one(spark, docs_of):
     docs = docs_of([(4, long), (2, long + " more"), (9, "something else entirely here now"), (5, None), (6, "")])
     left = near_copies.stage(spark, docs, "")
     assert sorted(r["doc_id"] for r in left.collect()) == [2, 5, 9] and left.columns == docs.columns
+
+
+def test_near_copies_are_brute_force_on_a_table(spark):
+    """All pairs of 0.8 and more among the table's texts, by counting shared shingles of strings."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect())
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        sets.append(frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    having, shared = {}, {}
+    for k, s in enumerate(sets):
+        for x in s:
+            for j in having.setdefault(x, []):
+                shared[(j, k)] = shared.get((j, k), 0) + 1
+            having[x].append(k)
+    near = {p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    empty = [k for k, s in enumerate(sets) if not s]
+    near |= set(zip(empty, empty[1:]))
+    distinct = sum(sets[a] != sets[b] for a, b in near)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in near:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    assert got == {i: rows[find(k)][0] for k, (i, _) in enumerate(rows)} and len(near) > distinct > 0

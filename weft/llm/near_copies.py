@@ -2,17 +2,17 @@
 
 The contract of op4 links fingerprints; the corpus pipeline asks for similarity (Jaccard) of the sets of five-word shingles. At
 0.8 two 64-bit fingerprints differ in about nine bits, too many for cells that must miss none. So a text gets COPIES fingerprints
-(the same shingle hashes, mixed anew), and each is put, as in simhash, into the cells of SPACES disjoint subspaces of SPAN
-two-bit segments. Points of one cell are candidates within Manhattan, then Hamming distance NEAR, and BOTH together with the
-next copy's fingerprint, so that chance candidates are a handful however large the table is. All COPIES fingerprints together estimate the angle between two texts to about a hundredth: candidates beyond WIDE are left, those below SURE are
-taken, and between the two the shingle sets themselves decide.
+(the same shingle hashes, mixed anew), and each is put, as in simhash, into the cells of disjoint subspaces of its two-bit segments,
+as wide as keeps about MET points in a cell. Points of one cell are candidates within Manhattan, then Hamming distance NEAR, and
+BOTH together with the next copy's fingerprint, so that chance candidates are a handful however large the table is. The shingle
+sets of every candidate pair decide.
 
-That finds most, and joins large groups with few comparisons, but it may miss pairs. So an exact join follows, by prefixes: all
+That joins large groups with few comparisons, but it may miss pairs. So an exact join follows, by prefixes: all
 shingles have one order, and two texts that are similar enough share one of the first of each (of n, all but similarity * n, and one
 more). Texts that share such a shingle, and have enough left from there on, are compared as sets, unless they are in one large
 group already or were compared before. Every pair of the similarity is found, in whatever order the shingles are; the order only
 saves work: shingles that are frequent in one of SAMPLE texts come last, so a passage that many texts share is seldom among the
-first. No pair below the similarity is linked but by an estimate five standard deviations off.
+first. Every link of either part is one that the shingle sets have.
 
 Texts that are equal but for ASCII case and white space are one class, compared once. Within a cell of more than a few points, each
 point is linked to the one that found it, so a group of copies makes few links, not all pairs; large cells are split into blocks.
@@ -32,28 +32,35 @@ from pyspark.sql import functions as F
 from . import simhash
 from .common import lookup, small_batches, texts, with_ids, written
 from .components import components
-from .simhash import RUN, SEED, bits_set, blocked, cell_links, embedded
+from .simhash import RUN, SEGMENTS, bits_set, blocked, cell_links, embedded
 
 WORDS, SIMILARITY = 5, 0.8
-COPIES, SPACES, SPAN, NEAR, BOTH = 16, 3, 10, 12, 24
-SURE, WIDE = 0.10, 0.19
+COPIES, MET, NEAR, BOTH = 4, 64, 12, 24
 #: Only work depends on these: frequent shingles are those met OFTEN times in one of SAMPLE texts, FREQUENT of them at most; a group of
 #: LARGE texts or more isn't compared within itself again, if the members of all such are MEMBERS at most (else of larger ones only).
 SAMPLE, OFTEN, FREQUENT, LARGE, MEMBERS = 8, 3, 500_000, 8, 1_000_000
 LITTLE = 1e-6
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def hashes(text: bytes, words: int = WORDS) -> tuple[int, np.ndarray]:
-    """A hash of the lower-cased words, and those of all shingles (fewer words: of the whole; none: none)."""
+    """A hash of the lower-cased words, and those of all shingles (fewer words: of the whole; none: none), made of their words' hashes."""
     w = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
-    whole = b" ".join(w)
-    own = xxhash.xxh64_intdigest(whole, 1)
-    if not w:
+    own = xxhash.xxh64_intdigest(b" ".join(w), 1)
+    n, k = len(w), min(words, len(w))
+    if not n:
         return own, np.empty(0, np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-    begins = np.concatenate([[0], ends[:-1] + 1])
-    k, xxh = min(words, len(w)), xxhash.xxh64_intdigest
-    return own, np.array([xxh(whole[a:b], SEED) for a, b in zip(begins[: len(w) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+    x = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, n)
+    h = x[: n - k + 1].copy()
+    for j in range(1, k):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += x[j : n - k + 1 + j]
+    return own, mixed(h)
 
 
 def signature(h: np.ndarray) -> np.ndarray:
@@ -65,9 +72,7 @@ def signature(h: np.ndarray) -> np.ndarray:
         counts = np.zeros(64, np.int64)
         for i in range(0, len(h), RUN):
             x = h[i : i + RUN] ^ np.uint64(0x9E3779B97F4A7C15 * copy % 2**64)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            counts += bits_set(x ^ (x >> np.uint64(31)))
+            counts += bits_set(mixed(x))
         out[copy] = np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0]
     return out
 
@@ -278,6 +283,11 @@ def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, s
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("u", "v")
 
 
+def span_for(n: int) -> int:
+    """The fewest segments with which a random fingerprint meets at most MET of n others: two segments' counts agree by 3/8."""
+    return next(k for k in range(4, SEGMENTS + 1) if n * (3 / 8) ** k <= MET or k == SEGMENTS)
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Per row: doc_id, component_id (the smallest doc_id that links of that similarity reach)."""
     spark = docs.sparkSession
@@ -285,25 +295,20 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     classes = written(own.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.min_by("fps", "doc_id").alias("a"), F.max("fps").alias("b")), "classes")
     classes = classes.select("c", "doc_id", "n", F.coalesce("a", "b").alias("fps"))  # without a doc_id there is no least
 
-    masks = [sum(3 << 2 * k for k in range(j * SPAN, (j + 1) * SPAN)) for j in range(SPACES)]
-    of = F.array([F.lit(m).cast("bigint") for m in masks])
+    span = span_for(classes.count())
+    masks = [sum(3 << 2 * k for k in range(j, j + span)) for j in range(0, SEGMENTS - span + 1, span)]
+    of = F.array([F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks])
     cells = classes.select("c", F.posexplode("fps").alias("copy", "fp"), "fps")
     cells = cells.select("c", "copy", "fp", F.element_at("fps", F.pmod(F.col("copy") + 1, F.lit(COPIES)).cast("int") + 1).alias("more"), embedded(F.col("fp")).alias("p"), F.posexplode(of).alias("j", "mask"))
-    cells = cells.select((F.col("copy") * SPACES + F.col("j")).alias("space"), F.col("p").bitwiseAND(F.col("mask")).alias("cell"), "fp", "more", "c")
+    cells = cells.select((F.col("copy") * len(masks) + F.col("j")).alias("space"), F.col("p").bitwiseAND(F.col("mask")).alias("cell"), "fp", "more", "c")
     cells = blocked(cells, "fp", "more", "c")
     pairs = cells.mapInArrow(lambda batches: cell_links(batches, NEAR, BOTH), "u long, v long")
     pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
-
-    side = lambda k, f: classes.select(F.col("c").alias(k), F.col("fps").alias(f))
-    told = pairs.join(side("u", "x").hint("merge"), "u").join(side("v", "y").hint("merge"), "v")
-    apart = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, b: s + b) / (64 * COPIES)
-    told = written(told.select("u", "v", apart.alias("apart")).where(F.col("apart") <= WIDE), "told")
-
-    close = similar(docs, classes, told.where(F.col("apart") > SURE).select("u", "v"), words, similarity)
+    close = similar(docs, classes, pairs, words, similarity)
     of_root = lambda root: written(classes.select("c", "doc_id", "n").join(root, F.col("c") == F.col("u"), "left").select("c", "doc_id", "n", F.coalesce("root", "c").alias("root")), "rooted")
-    root = written(components(told.where(F.col("apart") <= SURE).select("u", "v").unionByName(close)), "roots")
+    root = written(components(close), "roots")
 
-    missed = exact_candidates(docs, of_root(root), words, similarity).join(told.select("u", "v"), ["u", "v"], "left_anti")
+    missed = exact_candidates(docs, of_root(root), words, similarity).join(pairs, ["u", "v"], "left_anti")
     more = similar(docs, classes, written(missed, "missed"), words, similarity)
     rooted = of_root(written(components(root.select("u", F.col("root").alias("v")).unionByName(more)), "roots"))
     per_root = written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
