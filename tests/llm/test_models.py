@@ -43,19 +43,62 @@ def test_lm_without_training_documents(spark, docs_of):
 
 
 def test_lm_is_normalised(spark, docs_of):
-    """Over all known words and one unseen in each class, a document of one word then its end: probabilities sum to one."""
+    """Over all symbols, probabilities sum to one; a class's shares are those of its words and one unseen."""
     docs = lm_score.split(docs_of([(k, f"aa bb{k % 5} cc aa dd{k % 3}") for k in range(40)]))
     model = lm_score.LanguageModel.train(docs.where("NOT held_out"))
-    m = lm_score.Model(model.flat)
-    before = np.tile(np.array([[3], [1], [2]]), lm_score.OUTPUTS)
-    assert abs((10 ** m.log10(before, np.arange(lm_score.OUTPUTS))).sum() - 1) < 1e-4
+    m, n = lm_score.Model(model.noise, model.flat), len(model.noise)
+    assert m.groups * m.size >= n > (m.groups - 1) * m.size
+    before = np.tile(np.array([[3], [1], [2]]), n)
+    assert abs((10 ** m.log10(before, np.arange(n))).sum() - 1) < 1e-4
     ends = np.array([lm_score.ending(w) for w in model.known])
-    top = np.arange(len(ends)) < lm_score.TOP
+    top = np.arange(len(ends)) < model.own
     left = np.zeros(lm_score.CLASSES)
     np.add.at(left, ends[~top], 10 ** model.log_n[~top])
     assert np.allclose(10**model.log_share, left + 1)
 
 
+def test_lm_score_is_brute_force(spark, docs_of, monkeypatch):
+    """Every token's probability by plain loops over the parameters: group, symbol in the group, share of the class."""
+    monkeypatch.setattr(lm_score, "KNOWN", 12)
+    monkeypatch.setattr(lm_score, "LEAST", 8)
+    monkeypatch.setattr(lm_score, "HOT_WORDS", 50)
+    long = "y" * 100
+    pairs = [(k, " ".join(["aa", f"bb{k % 5}", "cc", f"d{k % 7}", long, "é" * 50 + str(k), "aa"][: 1 + k % 7])) for k in range(60)] + [(90, None), (91, "never seen"), (None, long)]
+    docs = lm_score.split(docs_of(pairs))
+    model = lm_score.LanguageModel.train(docs.where("NOT held_out"))
+    assert len(model.long) == 1 and model.own == 8
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    c = Counter(w.encode() for i, t in pairs if not held(i) for w in words(t))
+    m = lm_score.Model(model.noise, model.flat)
+    own = list(model.known)[: model.own]
+    symbol = lambda w: own.index(w) if w in own else model.own + lm_score.ending(w)
+    share = Counter()
+    for w, n in c.items():
+        if w not in own:
+            share[lm_score.ending(w)] += n + 1
+
+    def lp(before, w):
+        h = [sum(float(m.r[before[j]][x]) * float(m.c[j][x]) for j in range(lm_score.CONTEXT)) for x in range(lm_score.WIDTH)]
+        dot = lambda v: sum(a * float(b) for a, b in zip(h, v))
+        s, out = symbol(w), 0.0
+        g, i = divmod(s, m.size)
+        of_group = [dot(m.top[k]) + float(m.top_b[k]) for k in range(m.groups)]
+        of_place = [dot(m.q[g][k]) + float(m.b[g][k]) for k in range(m.size) if g * m.size + k < len(model.noise)]
+        for scores, k in ((of_group, g), (of_place, i)):
+            out += math.log10(math.exp(scores[k]) / sum(map(math.exp, scores)))
+        return out if w in own else out + math.log10((c[w] + 1) / (share[lm_score.ending(w)] + 1))
+
+    want = []
+    for i, t in pairs:
+        before, total = [0] * lm_score.CONTEXT, 0.0
+        for w in [x.encode() for x in words(t)]:
+            total += lp(before, w)
+            before = [symbol(w), *before[:-1]]
+        want.append((i, total))
+    got = {r["doc_id"]: r["score"] for r in model.score(docs).collect()}
+    assert all(abs(got[i] - x) < 1e-3 * max(1, abs(x)) for i, x in want)
+
+
 def test_lm_learns(spark, docs_of):
     rng = np.random.default_rng(0)
     docs = lm_score.split(docs_of([(k, " ".join(["tick tock"] * int(rng.integers(20, 200)) if k % 2 else ["la di da"] * int(rng.integers(20, 200)))) for k in range(300)]))
@@ -64,14 +107,35 @@ def test_lm_learns(spark, docs_of):
 
 
 def test_nce_gradient_matches_its_loss():
-    """A step against the gradient lowers the loss of the same batch with the same noise."""
+    """The gradient that one small step follows is the expected loss's, by differences; many steps raise the likelihood."""
     rng = np.random.default_rng(0)
-    noise = np.full(lm_score.OUTPUTS, 1 / lm_score.OUTPUTS)
-    before, then = rng.integers(0, 4, (lm_score.CONTEXT, 500)), rng.integers(0, 4, 500)
-    m = lm_score.Model.start(noise)
-    first = m.log10(before, then).mean()
-    m.fit([(before, then)] * 60, noise, 0)
-    assert m.log10(before, then).mean() > first + 0.5
+    noise = rng.random(30) + 0.1
+    noise /= noise.sum()
+    before, then = rng.integers(0, 30, (lm_score.CONTEXT, 200)), rng.integers(0, 30, 200)
+    m = lm_score.Model(noise)
+
+    def loss(flat):
+        x = lm_score.Model(noise, flat.astype(np.float64))
+        h, total = x.context(before), 0.0
+        for s, which, p in [(h @ x.top.T + x.top_b, then // x.size, np.tile(x.p1, (200, 1))), (np.einsum("nw,npw->np", h, x.q[then // x.size]) + x.b[then // x.size], then % x.size, x.p2[then // x.size])]:
+            w = lm_score.NOISE * p.astype(np.float64)
+            z = s - np.log(np.maximum(w, 1e-30))
+            total += np.log1p(np.exp(-z[np.arange(200), which])).sum() + np.where(w > 0, w * np.log1p(np.exp(z)), 0).sum()
+        return total / 200
+
+    start = m.flat.copy()
+    m.fit([(before, then)])
+    step = (start - m.flat).astype(np.float64)
+    d = step / lm_score.RATE * 0.1  # the first step divides by about a tenth where gradients are small
+    for k in np.flatnonzero(np.abs(step) > 1e-4)[:: max(1, (np.abs(step) > 1e-4).sum() // 25)]:
+        e = np.zeros(len(start))
+        e[k] = 1e-4
+        g = (loss(start + e) - loss(start - e)) / 2e-4
+        assert abs(g / np.sqrt(1e-2 + g * g) - d[k] * 10) < 0.02
+    first = lm_score.Model(noise, start).log10(before % 4, then % 4).mean()
+    m = lm_score.Model(noise, start.copy())
+    m.fit([(before % 4, then % 4)] * 60)
+    assert m.log10(before % 4, then % 4).mean() > first + 0.5
 
 
 def edits(item, text):

@@ -1,16 +1,24 @@
 """LM scoring: a log-bilinear neural model, trained in numpy by noise-contrastive estimation.
 
-Words are counted over all training documents. The model predicts one of OUTPUTS symbols from the CONTEXT symbols
-before: the most frequent words have a symbol each, every other word has the symbol of its ending's class. Scoring
-multiplies batches of context vectors with all output vectors, so each symbol's probability is normalised exactly; a word
-without a symbol of its own then has its share (c + 1) / sum(c + 1) of its class, with one more place in each class for
+Words are counted over all training documents. The model predicts a symbol from the CONTEXT symbols before. The most frequent
+words have a symbol each, the square root of the number of distinct training words of them (LEAST at least), so more text has
+a larger model; every other word has the symbol of its ending's class. Symbols are dealt by frequency into about as many
+groups as a group has symbols, and the model predicts the group, then the symbol in it. Scoring multiplies batches of
+context vectors with all groups' vectors and with those of the own group, so each symbol's probability is normalised exactly;
+a word without a symbol of its own then has its share (c + 1) / sum(c + 1) of its class, with one more place in each class for
 words never seen. So the probabilities over all words sum to one.
 
-Training is data-parallel. One task fits a start by START_PASSES over START_DOCS documents; then every partition runs over all its training
-documents from the same start, and the parameters are averaged by tokens (in rounds of AVERAGED at a time).
+The noise of a prediction is the frequency of groups, or of the symbols in the group. Both are short lists, so the expected
+loss over NOISE draws is taken, which needs no draws.
 
-Counts of at most KNOWN words, the most frequent (no longer than LONGEST bytes), are broadcast, at most 16 MB; the counts of
-all others are joined by a shuffle, of words already counted within their document.
+Training is data-parallel. One task fits a start by START_PASSES over the first START_TOKENS tokens of about START_DOCS
+documents, which a cut of their ids' hashes chooses; then every partition runs over all its training documents from the same
+start, and the parameters are averaged by tokens (in rounds of AVERAGED at a time). Partitions follow the files, so other files
+of the same rows give slightly other parameters; counts and base scores don't depend on them.
+
+Counts of at most KNOWN words, the most frequent (no longer than LONGEST bytes), are broadcast, at most 16 MB; so are those of
+longer words that are more than one in HOT_WORDS of all tokens, by their digests; the counts of all others are joined by a shuffle,
+of words already counted within their document.
 
 Defined results: a null or empty text is one end token. A null doc_id counts as the empty id. Rows that repeat are
 scored each. With no training documents all counts are 0 and the model is uniform but for its start. An empty table
@@ -19,8 +27,10 @@ gives no rows. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +40,13 @@ from pyspark.sql import functions as F
 
 from .common import read, small_batches, texts, written
 
-KNOWN, LONGEST = 200_000, 64
-TOP, CLASSES = 384, 128
-OUTPUTS = TOP + CLASSES
+KNOWN, LONGEST, HOT_WORDS = 200_000, 64, 1000
+LEAST, CLASSES = 256, 128
 CONTEXT, WIDTH = 3, 24
-NOISE, BATCH, RATE, START_DOCS, START_PASSES, AVERAGED = 64, 4096, 0.5, 1000, 6, 64
+NOISE, BATCH, RATE = 64, 8192, 0.5
+START_DOCS, START_TOKENS, START_PASSES, AVERAGED = 1000, 1 << 20, 6, 16
 END = b""
 FLUSH = 300_000
-#: Contexts scored at a time: their products with all output vectors stay in the processor's cache.
-ROWS, ONES = 512, np.ones(OUTPUTS, np.float32)
 LN10 = float(np.log(10))
 
 
@@ -76,24 +84,50 @@ class Known(dict):
         return -1 - ending(word)
 
 
-class Model:
-    """Parameters as one float32 vector: input and output vectors, a diagonal matrix per context place, biases."""
+def digest(word: bytes) -> bytes:
+    return hashlib.md5(word).digest()
 
-    SIZE = OUTPUTS * WIDTH * 2 + CONTEXT * WIDTH + OUTPUTS
 
-    def __init__(self, flat: np.ndarray):
-        self.flat = flat
-        cut = np.split(flat, np.cumsum([OUTPUTS * WIDTH, OUTPUTS * WIDTH, CONTEXT * WIDTH]))
-        self.r, self.q, self.c = (x.reshape(-1, WIDTH) for x in cut[:3])
-        self.b = cut[3]
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
 
-    @classmethod
-    def start(cls, noise: np.ndarray) -> Model:
-        flat = np.random.default_rng(1).normal(0, 0.1, cls.SIZE).astype(np.float32)
-        m = cls(flat)
-        m.c[:] = 1.0 / CONTEXT
-        m.b[:] = np.log(noise)
-        return m
+
+def runs(groups: np.ndarray):
+    """The places of each group that occurs."""
+    order = np.argsort(groups, kind="stable")
+    cuts = np.flatnonzero(np.diff(groups[order])) + 1
+    for at in np.split(order, cuts):
+        if len(at):
+            yield int(groups[at[0]]), at
+
+
+class Model:
+    """Symbol s is place s % SIZE of group s // SIZE; parameters are one float32 vector: input vectors, output vectors and biases
+    of symbols and of groups, and a diagonal matrix for each context place."""
+
+    def __init__(self, noise: np.ndarray, flat: np.ndarray | None = None):
+        """noise: the share of each symbol."""
+        n = len(noise)
+        self.groups = isqrt(max(n - 1, 0)) + 1
+        self.size = -(-n // self.groups)
+        self.groups = -(-n // self.size)
+        places = self.groups * self.size
+        share = np.zeros(places)
+        share[:n] = noise
+        share = share.reshape(self.groups, self.size)
+        of_group = share.sum(1)
+        self.p1, self.p2 = of_group.astype(np.float32), (share / of_group[:, None]).astype(np.float32)
+        cut = np.cumsum([places * WIDTH, places * WIDTH, places, self.groups * WIDTH, self.groups])
+        if flat is None:
+            flat = np.random.default_rng(1).normal(0, 0.1, int(cut[-1]) + CONTEXT * WIDTH).astype(np.float32)
+            parts = np.split(flat, cut)
+            parts[2][:] = np.log(np.maximum(self.p2, 1e-30)).ravel()
+            parts[4][:] = np.log(self.p1)
+            parts[5][:] = 1.0 / CONTEXT
+        self.flat, parts = flat, np.split(flat, cut)
+        self.r, self.top, self.c = (parts[k].reshape(-1, WIDTH) for k in (0, 3, 5))
+        self.q, self.b, self.top_b = parts[1].reshape(self.groups, self.size, WIDTH), parts[2].reshape(self.groups, self.size), parts[4]
+        self.none = self.p2 == 0  # places without a symbol
 
     def context(self, before: np.ndarray) -> np.ndarray:
         h = self.r[before[0]] * self.c[0]
@@ -103,58 +137,65 @@ class Model:
 
     def log10(self, before: np.ndarray, then: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of symbols after their contexts."""
-        out, q = np.empty(len(then)), self.q.T.copy()
-        largest = np.sqrt((self.q * self.q).sum(1).max())
-        for i in range(0, len(then), ROWS):
-            h = self.context(before[:, i : i + ROWS])
-            s = h @ q
-            s += self.b
-            if np.sqrt((h * h).sum(1).max()) * largest + np.abs(self.b).max() > 80:  # else no power is too large
-                s -= s.max(1, keepdims=True)
-            own = s[np.arange(len(s)), then[i : i + ROWS]]
-            out[i : i + ROWS] = own - np.log(np.exp(s, out=s) @ ONES)
+        out = np.empty(len(then))
+        b = np.where(self.none, np.float32(-1e30), self.b)
+        for i in range(0, len(then), BATCH):
+            h, group, place = self.context(before[:, i : i + BATCH]), then[i : i + BATCH] // self.size, then[i : i + BATCH] % self.size
+            lp = self._own(h @ self.top.T + self.top_b, group)
+            for g, at in runs(group):
+                lp[at] += self._own(h[at] @ self.q[g].T + b[g], place[at])
+            out[i : i + BATCH] = lp
         return out / LN10
 
-    def fit(self, chunks, noise: np.ndarray, seed: int) -> int:
-        """NCE with noise shared in a batch, AdaGrad steps; the number of symbols seen."""
-        rng, n, lnk = np.random.default_rng(seed), 0, np.log(NOISE * noise).astype(np.float32)
-        grown = np.full(self.SIZE, 1e-2, np.float32)
-        cum, at = np.cumsum(noise), np.arange(WIDTH)
-
-        def gather(where, what):
-            return np.bincount((where[:, None] * WIDTH + at).ravel(), what.ravel(), OUTPUTS * WIDTH)
-
+    @staticmethod
+    def _own(s: np.ndarray, which: np.ndarray) -> np.ndarray:
+        s -= s.max(1, keepdims=True)
+        own = s[np.arange(len(s)), which]
+        return own - np.log(np.exp(s, out=s).sum(1))
+
+    @staticmethod
+    def _slope(s: np.ndarray, which: np.ndarray, noise: np.ndarray) -> np.ndarray:
+        """Of the loss by s: of the true one against NOISE draws of noise, in expectation."""
+        weight = NOISE * noise
+        x = sigmoid(s - np.log(np.maximum(weight, 1e-30)))
+        d = x * weight
+        rows = np.arange(len(s))
+        d[rows, which] += x[rows, which] - 1
+        return d
+
+    def fit(self, chunks) -> int:
+        """AdaGrad steps on the expected NCE loss of groups and of symbols in them; the number of symbols seen."""
+        n, grown, at = 0, np.full(len(self.flat), 1e-2, np.float32), np.arange(WIDTH)
         for before, then in chunks:
             n += len(then)
-            h = self.context(before)
-            other = np.minimum(np.searchsorted(cum, rng.random(NOISE)), OUTPUTS - 1)
-            own = -1 / (1 + np.exp(np.clip((h * self.q[then]).sum(1) + self.b[then] - lnk[then], -30, 30)))
-            s = h @ self.q[other].T + (self.b[other] - lnk[other])
-            g = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            dh = own[:, None] * self.q[then] + g @ self.q[other]
-            dq = gather(then, own[:, None] * h).reshape(-1, WIDTH)
-            np.add.at(dq, other, g.T @ h)
-            db = np.bincount(then, own, OUTPUTS)
-            np.add.at(db, other, g.sum(0))
-            dr, dc = np.zeros(OUTPUTS * WIDTH), np.empty((CONTEXT, WIDTH))
+            h, group, place = self.context(before), then // self.size, then % self.size
+            d = self._slope(h @ self.top.T + self.top_b, group, self.p1)
+            dtop, dtop_b, dh = d.T @ h, d.sum(0), d @ self.top
+            dq, db = np.zeros_like(self.q), np.zeros_like(self.b)
+            for g, own in runs(group):
+                x = h[own]
+                d = self._slope(x @ self.q[g].T + self.b[g], place[own], self.p2[g])
+                dq[g], db[g] = d.T @ x, d.sum(0)
+                dh[own] += d @ self.q[g]
+            dr, dc = np.zeros(self.r.size), np.empty((CONTEXT, WIDTH))
             for j in range(CONTEXT):
-                dr += gather(before[j], self.c[j] * dh)
+                dr += np.bincount((before[j][:, None] * WIDTH + at).ravel(), (self.c[j] * dh).ravel(), self.r.size)
                 dc[j] = (dh * self.r[before[j]]).sum(0)
-            d = np.concatenate([dr, dq.ravel(), dc.ravel(), db]).astype(np.float32) / len(then)
+            d = np.concatenate([dr.astype(np.float32), dq.ravel(), db.ravel(), dtop.ravel(), dtop_b, dc.ravel().astype(np.float32)]) / np.float32(len(then))
             grown += d * d
-            self.flat -= RATE * d / np.sqrt(grown)
+            self.flat -= np.float32(RATE) * d / np.sqrt(grown)
         return n
 
 
-def symbols(known: Known, symbol: np.ndarray, batches, chunk: int):
-    """Contexts and next symbols of the texts; in batches of about chunk."""
+def symbols(known: Known, symbol: np.ndarray, other: int, batches, chunk: int):
+    """Contexts and next symbols of the texts, in batches of about chunk; other: the symbol of the first class."""
     before, then, have = [], [], 0
     for b in batches:
         for t in b.column("text").cast(pa.binary()).to_pylist():
             w = tokens(t)
             ids = np.fromiter(map(known.__getitem__, w), np.int32, len(w))
-            s = np.zeros(len(w) + CONTEXT + 1, np.int64)  # the end token is known word 0 and symbol 0
-            s[CONTEXT:-1] = np.where(ids < 0, TOP - 1 - ids, symbol[np.maximum(ids, 0)])
+            s = np.zeros(len(w) + CONTEXT + 1, np.int32)  # the end token is known word 0 and symbol 0
+            s[CONTEXT:-1] = np.where(ids < 0, other - 1 - ids, symbol[np.maximum(ids, 0)])
             for i in range(0, len(w) + 1, chunk):
                 k = min(chunk, len(w) + 1 - i)
                 before.append(np.stack([s[i + CONTEXT - 1 - j : i + CONTEXT - 1 - j + k] for j in range(CONTEXT)]))
@@ -167,19 +208,31 @@ def symbols(known: Known, symbol: np.ndarray, batches, chunk: int):
         yield np.concatenate(before, 1), np.concatenate(then)
 
 
-def average(df: DataFrame) -> tuple[np.ndarray, int]:
+def first_of(chunks, most: int):
+    """Chunks until they have most tokens."""
+    for before, then in chunks:
+        yield before, then
+        most -= len(then)
+        if most <= 0:
+            return
+
+
+def average(df: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """The mean of the parameters (part, n, flat), by n; the driver gets AVERAGED rows at most."""
 
     def add(pdf):
-        flat = sum(np.frombuffer(f, np.float64) for f in pdf["flat"])
-        return pdf.iloc[:1].assign(n=pdf["n"].sum(), flat=[flat.tobytes()])
+        total = np.zeros(size)
+        for n, f in zip(pdf["n"], pdf["flat"]):
+            total += n * np.frombuffer(f, np.float32).astype(np.float64)
+        n = int(pdf["n"].sum())
+        return pdf.iloc[:1].assign(n=n, flat=[(total / n).astype(np.float32).tobytes()])
 
     df = written(df, "fits")
     while df.count() > AVERAGED:
         df = written(df.withColumn("part", F.floor(F.col("part") / AVERAGED)).groupBy("part").applyInPandas(add, df.schema), "fits")
     rows = df.collect()
     n = sum(r["n"] for r in rows)
-    return sum((np.frombuffer(r["flat"], np.float64) for r in rows), np.zeros(Model.SIZE)) / max(n, 1), n
+    return sum((r["n"] * np.frombuffer(r["flat"], np.float32).astype(np.float64) for r in rows), np.zeros(size)) / max(n, 1), n
 
 
 def known_above(counts: DataFrame) -> int:
@@ -202,24 +255,27 @@ class LanguageModel:
         rows = sorted(zip(table.column("word").to_pylist(), table.column("n").to_pylist()), key=lambda r: (r[0] != END, -r[1], r[0]))
         if not rows or rows[0][0] != END:
             rows.insert(0, (END, 0))
+        total = counts.groupBy("class").agg(F.sum(F.col("n") + 1).alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+        self.n, self.v = sum(r["n"] for r in total), sum(r["v"] for r in total)
+        self.own = min(max(LEAST, isqrt(self.v)), KNOWN)
+        long = counts.where((F.length("word") > LONGEST) & (F.col("n") > self.n // HOT_WORDS)).select(F.unhex(F.md5("word")).alias("d"), "n").collect()
+        self.long = {bytes(r["d"]): r["n"] for r in long}
         self.known = Known((w, i) for i, (w, _) in enumerate(rows))
         n = np.array([k for _, k in rows], np.float64)
         ends = np.array([ending(w) for w in self.known])
-        self.symbol = np.where(np.arange(len(n)) < TOP, np.arange(len(n)), TOP + ends)
-        total = counts.groupBy("class").agg(F.sum(F.col("n") + 1).alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-        self.n, self.v = sum(r["n"] for r in total), sum(r["v"] for r in total)
-        share, mass = np.ones(CLASSES), np.zeros(OUTPUTS)
+        self.symbol = np.where(np.arange(len(n)) < self.own, np.arange(len(n)), self.own + ends).astype(np.int32)
+        share, mass = np.ones(CLASSES), np.zeros(self.own + CLASSES)
         for r in total:
             share[r["class"]] += r["s"]
-            mass[TOP + r["class"]] += r["n"]
-        top = n[:TOP]
+            mass[self.own + r["class"]] += r["n"]
+        top = n[: self.own]
         in_table = top > 0
-        np.subtract.at(share, ends[:TOP][in_table], top[in_table] + 1)
-        np.subtract.at(mass, TOP + ends[:TOP], top)
+        np.subtract.at(share, ends[: self.own][in_table], top[in_table] + 1)
+        np.subtract.at(mass, self.own + ends[: self.own], top)
         mass[: len(top)] += top
         self.noise = (mass + 1) / (mass + 1).sum()
         self.log_n, self.log_share = np.log10(n + 1), np.log10(share)
-        self.flat = Model.start(self.noise).flat
+        self.flat = Model(self.noise).flat
 
     @classmethod
     def train(cls, docs: DataFrame) -> LanguageModel:
@@ -230,24 +286,26 @@ class LanguageModel:
         counts = written(only.mapInArrow(count_words, "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n")), "words")
         known = counts.where((F.length("word") <= LONGEST) & ((F.col("n") > known_above(counts)) | (F.col("word") == F.lit(END)))).select("word", "n")
         model = cls(counts, known)
-        shared = spark.sparkContext.broadcast((model.known, model.symbol, model.noise))
+        shared = spark.sparkContext.broadcast((model.known, model.symbol, model.own, model.noise))
 
         def fit(start, passes):
             def run(batches):
-                known, symbol, noise = shared.value
-                m, part = Model(start.copy()), TaskContext.get().partitionId()
-                chunks = symbols(known, symbol, batches, BATCH)
+                known, symbol, own, noise = shared.value
+                m, part = Model(noise, start.copy()), TaskContext.get().partitionId()
+                chunks = symbols(known, symbol, own, batches, BATCH)
                 if passes > 1:
-                    chunks = [*chunks] * passes
-                n = m.fit(chunks, noise, part)
+                    chunks = [*first_of(chunks, START_TOKENS)] * passes
+                n = m.fit(chunks)
                 if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([(m.flat.astype(np.float64) * n).tobytes()], pa.binary())], ["part", "n", "flat"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([m.flat.tobytes()], pa.binary())], ["part", "n", "flat"])
 
             return run
 
-        first = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS).select("text").coalesce(1)
+        # The ids' hashes alone choose the start's documents, so only those are moved.
+        share = START_DOCS / max(docs.count(), START_DOCS)
+        first = docs.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1 << 40)) < int(share * (1 << 40))).select("text").repartition(1)
         for data, passes in ((first, START_PASSES), (only, 1)):
-            flat, n = average(data.mapInArrow(fit(model.flat, passes), "part long, n long, flat binary"))
+            flat, n = average(data.mapInArrow(fit(model.flat, passes), "part long, n long, flat binary"), len(model.flat))
             model.flat = flat.astype(np.float32) if n else model.flat
         return model
 
@@ -255,37 +313,41 @@ class LanguageModel:
         """docs: doc_id, text (not null), held_out. The contract's columns for every row."""
         spark = docs.sparkSession
         small_batches(spark)
-        shared = spark.sparkContext.broadcast((self.known, self.symbol, self.log_n, self.log_share, self.flat))
+        shared = spark.sparkContext.broadcast((self.known, self.symbol, self.own, self.log_n, self.log_share, self.noise, self.flat, self.long))
 
         def run(batches):
-            known, symbol, log_n, log_share, flat = shared.value
-            m, row = Model(flat), TaskContext.get().partitionId() << 40
+            known, symbol, own, log_n, log_share, noise, flat, long = shared.value
+            m, row = Model(noise, flat), TaskContext.get().partitionId() << 40
             for b in batches:
-                lists, ends, rare = [], [], []
+                lists, ends, rare, often = [], [], [], []
                 for t in b.column("text").cast(pa.binary()).to_pylist():
                     w = tokens(t)
                     w.append(END)
                     ids = np.fromiter(map(known.__getitem__, w), np.int32, len(w))
                     lists.append(ids)
                     ends.append(len(w))
-                    rare.append(Counter(w[i] for i in np.flatnonzero(ids < 0).tolist()))
+                    seldom = Counter(w[i] for i in np.flatnonzero(ids < 0).tolist())
+                    hot = {x: long[d] for x in seldom if len(x) > LONGEST and (d := digest(x)) in long} if long else {}
+                    often.append((sum(seldom[x] for x in hot), sum(seldom.pop(x) * np.log10(n + 1) for x, n in hot.items())))
+                    rare.append(seldom)
                 if not lists:
                     continue
                 of = np.repeat(np.arange(len(lists)), ends)
                 ids, at = np.concatenate(lists), np.cumsum(ends)
-                s = np.where(ids < 0, TOP - 1 - ids, symbol[np.maximum(ids, 0)]).astype(np.int64)
+                s = np.where(ids < 0, own - 1 - ids, symbol[np.maximum(ids, 0)])
                 place = np.arange(len(s)) - np.repeat(at - ends, ends)
                 before = np.stack([np.where(place > j, np.roll(s, j + 1), 0) for j in range(CONTEXT)])
                 lp = m.log10(before, s)
                 base = np.where(ids < 0, 0, log_n[np.maximum(ids, 0)])
-                lp += np.where(s >= TOP, base - log_share[np.maximum(s - TOP, 0)], 0)
+                lp += np.where(s >= own, base - log_share[np.maximum(s - own, 0)], 0)
                 sums = lambda x: np.bincount(of, x, len(lists))
+                times, add = np.array(often, np.float64).T
                 flat_words = [w for c in rare for w in c]
                 off = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in rare])]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + len(lists)), pa.int64()), b.column("doc_id"), b.column("held_out"), pa.array(ends, pa.int64()),
-                        pa.array(sums(base > 0).astype(np.int64)), pa.array(sums(base)), pa.array(sums(lp)),
+                        pa.array((sums(base > 0) + times).astype(np.int64)), pa.array(sums(base) + add), pa.array(sums(lp) + add),
                         pa.ListArray.from_arrays(off, pa.array(flat_words, pa.binary())), pa.ListArray.from_arrays(off, pa.array([n for c in rare for n in c.values()], pa.int64())),
                     ],
                     ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "words", "times"],
