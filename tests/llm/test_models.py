@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weft.llm import decontaminate, lm_score, quality, toxicity
-from weft.llm.labelled import cut_point, folded
+from weft.llm.labelled import cut_point, folded, sample
 
 from .conftest import ODD
 
@@ -177,7 +177,7 @@ def test_contaminated_rows(spark, odd, docs_of, monkeypatch):
     bench = spark.createDataFrame([(1, item, 9), (1, item, 9), (2, None, 9), (3, "", 9), (None, "Seven times, seven!", 9)], "item_id long, text string, doc_id long")
     docs = odd.unionByName(docs_of([(20, "xx " + item.upper().replace(" ", ", ") + " yy"), (21, item.replace("three", "tree") + " " + item.replace("three ", "")), (22, "one two three seven")]))
     want = [(7, None, 0), (7, None, 0), (20, 1, 0), (21, 1, 1)]
-    for block in (20_000, 1):
+    for block in (8 << 20, 40):
         monkeypatch.setattr(decontaminate, "BLOCK", block)
         got = [(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.contaminated(docs, bench).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, want))
@@ -204,6 +204,36 @@ def test_quality(spark, docs_of, odd):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_quality_score_is_brute_force(spark, docs_of):
+    """A document's score by plain loops: every passage encoded, weighed by gated attention, and summed."""
+    docs = folded(docs_of([(k, labelled(k)) for k in range(200)] + [(900, "word " * 700 + "other end"), (901, None)]))
+    model = quality.train(docs, spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(200)], "doc_id long, quality int"))
+    p = {k: v.tolist() for k, v in model.p.items()}
+    got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    for i in (0, 1, 2, 5, 900, 901):
+        text = {900: "word " * 700 + "other end", 901: ""}.get(i) if i >= 900 else labelled(i)
+        w = text.encode().split()
+        bag = [" ".join(x.decode() for x in w[k : k + quality.PASSAGE]) for k in range(0, max(1, len(w)), quality.PASSAGE)]
+        assert got[i]["n_passages"] == len(bag)
+        e, hidden = [], []
+        for x in ((quality.passages(text.encode()) - model.mean) / model.scale).tolist():
+            h = [math.tanh(sum(a * row[j] for a, row in zip(x, p["W"])) + p["b"][j]) for j in range(quality.WIDTH)]
+            t = [math.tanh(sum(a * row[j] for a, row in zip(h, p["V"]))) for j in range(quality.GATE)]
+            g = [1 / (1 + math.exp(-sum(a * row[j] for a, row in zip(h, p["U"])))) for j in range(quality.GATE)]
+            e.append(math.exp(sum(a * b * c for a, b, c in zip(t, g, p["w"]))))
+            hidden.append(h)
+        z = [sum(a * h[j] for a, h in zip(e, hidden)) / sum(e) for j in range(quality.WIDTH)]
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, p["u"])) - p["c"][0]))) < 1e-6
+
+
+def test_samples_are_whole_and_bounded(spark, docs_of):
+    docs = docs_of([(k, "x" * (10 * k)) for k in range(1, 60)]).select("doc_id", "text")
+    labels = spark.createDataFrame([(k, 1) for k in range(1, 60)], "doc_id long, quality int")
+    rows = sample(docs, labels, "quality", 50, 2000).collect()
+    assert sum(len(r["text"]) for r in rows) <= 2000 and all(len(r["text"]) == 10 * r["doc_id"] for r in rows) and len(rows) > 5
+    assert sample(docs, labels, "quality", 50, 0).count() == 0 and 20 < sample(docs, labels, "quality", 50).count() <= 50
+
+
 def test_quality_gradients():
     m, rng = quality.Attention(), np.random.default_rng(0)
     x, begin, y = rng.normal(0, 1, (9, quality.FEATURES)), np.array([0, 3, 4]), np.array([1.0, 0.0, 1.0])
@@ -247,6 +277,26 @@ def test_tabled_responses_are_convolutions():
         assert np.allclose(row, want, atol=1e-4)
 
 
+def test_toxicity_score_is_brute_force(spark, docs_of, monkeypatch):
+    """Every filter at every place of a text by plain loops, also where a text is read in pieces."""
+    monkeypatch.setattr(toxicity, "RUN", 7)
+    rng = np.random.default_rng(0)
+    some = lambda: " ".join(f"w{rng.integers(40)}" for _ in range(int(rng.integers(0, 30))))
+    rows = [(k, some() + (" vile" if k % 2 else "")) for k in range(120)]
+    docs = docs_of(rows)
+    model = toxicity.train(docs, spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, toxic int"))
+    model.prepare()
+    e, got = model.e.tolist(), toxicity.Convolution.score(model, [toxicity.hashed(t.encode()) for _, t in rows])
+    for k, (_, t) in enumerate(rows[:25]):
+        words, z = [[sum(e[i][d] for i in row) for d in range(toxicity.WIDTH)] for row in toxicity.hashed(t.encode()).tolist()], float(model.p["c"][0])
+        for a, w in enumerate(toxicity.WIDTHS):
+            f = model.p[f"f{w}"].tolist()
+            for j in range(toxicity.FILTERS):
+                best = max([0.0] + [sum(words[i + d // toxicity.WIDTH][d % toxicity.WIDTH] * f[d][j] for d in range(w * toxicity.WIDTH)) for i in range(len(words) - w + 1)])
+                z += best * float(model.p["u"][a * toxicity.FILTERS + j])
+        assert abs(got[k] - 1 / (1 + math.exp(-(model.scale * z + model.shift)))) < 1e-4
+
+
 def test_cut_point():
     assert cut_point(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.5)
     assert cut_point(np.array([]), np.array([])) == 0.5

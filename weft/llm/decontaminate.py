@@ -2,7 +2,7 @@
 
 A test item of n words is allowed k = floor(n * RATE) word edits and cut into k + 1 pieces. A passage within k edits holds
 at least one piece unchanged, so an automaton of all pieces finds every place to look at, and Myers' bit-parallel
-distance decides there. Items are taken in blocks of about BLOCK, each of which is broadcast and held against all
+distance decides there. Items are taken in blocks of about BLOCK bytes, each of which is broadcast and held against all
 documents; hits of an item on nearly one diagonal are verified together, so no place is looked at twice.
 
 Words are runs of letters, digits and underscores, lower-cased, so case and punctuation don't count as edits.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import read, small_batches, texts, with_ids, written
 
-RATE, BLOCK = 0.2, 20_000
+RATE, BLOCK = 0.2, 8 << 20
 WORD = re.compile(r"\w+")
 KIND = "doc_id long, item_id long, item_words long, budget long, distance long, begin_word long, end_word long"
 
@@ -136,7 +136,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    blocks = max(1, -(-items.count() // BLOCK))
+    size = items.agg(F.sum(F.octet_length("text") + 16)).head()[0] or 0
+    blocks = max(1, -(-size // BLOCK))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     parts = []
     for k in range(blocks):

@@ -20,11 +20,23 @@ def folded(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("held_out", held_out())
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -> DataFrame:
-    """At most size documents with a label (0 or 1) from the learning folds, by hash of doc_id. Two labels of one id: the smaller."""
+#: Bytes of all texts of a sample together.
+SAMPLE_BYTES = 32 << 20
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, size: int, most: int = SAMPLE_BYTES) -> DataFrame:
+    """Documents with a label (0 or 1) from the learning folds, whole, by hash of doc_id: at most size ids, and in that order
+    those whose texts still fit into most bytes. Two labels of one id: the smaller."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("label").alias("label"))
     known = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size), "known")
+    sizes = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size"), F.first(F.xxhash64("doc_id")).alias("h")).collect()
+    taken, left = [], most
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if r["size"] <= left:
+            taken.append((r["doc_id"],))
+            left -= r["size"]
+    known = known.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long")), "doc_id")
     return docs.join(F.broadcast(known), "doc_id")
 
 

@@ -3,8 +3,8 @@
 A document is a bag of passages of PASSAGE words. A passage is described by its bytes' shares and the shape and
 repetition of its words, and encoded by a learned layer. Gated attention (a tanh and a sigmoid branch, multiplied)
 weighs the passages; the weighted sum is scored. All is learned from documents' labels alone, by gradient descent in
-numpy, on at most SAMPLE labelled documents, of each at most BAG passages spread over the whole text (the sample's
-bounds). Scoring reads every passage of every document.
+numpy, on every passage of at most SAMPLE labelled documents of at most SAMPLE_BYTES together (the sample's bounds). Scoring
+reads every passage of every document.
 
 Defined results: a null or empty text is one passage without words. Rows that repeat are scored each. Without labels of
 both kinds in the learning folds every score is the share of label 1 in them, or 0.5. An empty table gives no rows.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import read, small_batches, with_ids, written
 from .labelled import Adam, folded, sample, sigmoid
 
-PASSAGE, SAMPLE, BAG = 64, 6000, 24
+PASSAGE, SAMPLE = 64, 6000
 WIDTH, GATE, EPOCHS, STEPS, MINIBATCH, RATE, DECAY = 32, 16, 30, 1500, 64, 0.01, 1e-4
 THRESHOLD = 0.3
 #: Which of the byte classes each byte is in: every ASCII mark alone, digits, capitals, small letters, controls, the rest.
@@ -35,14 +35,12 @@ CLASSES = 5 + len(_marks)
 FEATURES = CLASSES + 10
 
 
-def passages(text: bytes, most: int = 0) -> np.ndarray:
-    """A row of features for each passage; most: for so many at most, spread evenly."""
+def passages(text: bytes) -> np.ndarray:
+    """A row of features for each passage."""
     w = text.split()
-    n = max(1, -(-len(w) // PASSAGE))
-    which = range(n) if not most or n <= most else np.linspace(0, n - 1, most).astype(int).tolist()
-    out = np.zeros((len(which), FEATURES), np.float32)
+    out = np.zeros((max(1, -(-len(w) // PASSAGE)), FEATURES), np.float32)
     total = len(set(w)) / max(1, len(w))
-    for row, k in zip(out, which):
+    for k, row in enumerate(out):
         p = w[k * PASSAGE : (k + 1) * PASSAGE]
         if not p:
             continue
@@ -123,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Attenti
 
     def run(batches):
         for b in batches:
-            x = [passages(t, BAG).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+            x = [passages(t).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x, pa.binary())], ["doc_id", "label", "x"])
 
     rows = sample(docs, labels, label, SAMPLE).select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x binary").collect()

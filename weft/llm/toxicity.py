@@ -4,12 +4,12 @@ Words (runs of letters and digits, lower-cased) are hashed to BUCKETS embeddings
 whole word and of its first four and six characters, so that unseen words of a known stem are told. FILTERS filters of each width in
 WIDTHS slide over the whole text, each gives its largest response, and those are weighed into a score. Everything is
 learned in numpy by gradient descent (a filter learns from the place of its largest response) on at most SAMPLE labelled
-documents of at most LONGEST characters (the sample's bounds); an embedding starts at its bucket's smoothed log-odds in
-that sample. A fold of the sample sets the score's scale, so that 0.5 is the best threshold over all languages, and a
+documents of at most SAMPLE_BYTES together, in whole length (the sample's bounds); an embedding starts at its bucket's
+smoothed log-odds in that sample. A fold of the sample sets the score's scale, so that 0.5 is the best threshold over all languages, and a
 threshold for each language with enough labels there. The language chooses a threshold, never a score.
 
 Scoring uses that a filter's response is a sum over its places: responses of every bucket at every place are tabled once,
-and a text's responses are sums of rows.
+and a text's responses are sums of rows, RUN words at a time.
 
 Defined results: a null or empty text has only padding. Rows that repeat are scored each. Without labels of both kinds in
 the learning folds every score is the share of label 1 in them, or 0.5. An unknown or null language has the threshold 0.5.
@@ -30,12 +30,12 @@ from .common import column, read, small_batches
 from .labelled import Adam, cut_point, held_out, sample, sigmoid
 
 BUCKETS, WIDTH, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 6
-SAMPLE, LONGEST = 6000, 40_000
+SAMPLE, RUN = 6000, 1 << 16
 EPOCHS, STEPS, MINIBATCH, RATE, DECAY = 6, 800, 32, 0.01, 1e-4
-THRESHOLD, LANGUAGES, LEAST = 0.5, 200, 40
+THRESHOLD, LEAST = 0.5, 40
 PAD, PARTS = BUCKETS, 3
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
-REMEMBERED = 400_000
+REMEMBERED, LONGEST = 250_000, 64
 
 
 class Places(dict):
@@ -49,7 +49,8 @@ class Places(dict):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
         text = word.decode("utf-8", "replace")
         self.table[self.n] = [zlib.crc32(x) % BUCKETS for x in (word, b"4" + text[:4].encode(), b"6" + text[:6].encode())]
-        self[word] = self.n
+        if len(word) <= LONGEST:
+            self[word] = self.n
         self.n += 1
         return self.n - 1
 
@@ -87,17 +88,33 @@ class Convolution:
         self.tables = np.concatenate(parts, 1).astype(np.float32)
 
     def responses(self, texts: list[np.ndarray]) -> np.ndarray:
-        """The largest response of each filter in each text."""
+        """The largest response of each filter in each text. Long texts go in pieces that overlap by all but one of a filter's words."""
+        out, pieces, of, have = np.zeros((len(texts), len(WIDTHS) * FILTERS), np.float32), [], [], 0
+        for k, t in enumerate(texts):
+            for i in range(0, len(t), RUN):
+                pieces.append(t[i : i + RUN + max(WIDTHS) - 1])
+                of.append(k)
+                have += len(pieces[-1])
+                if have >= RUN:
+                    np.maximum.at(out, of, self._responses(pieces))
+                    pieces, of, have = [], [], 0
+        if pieces:
+            np.maximum.at(out, of, self._responses(pieces))
+        return out
+
+    def _responses(self, texts: list[np.ndarray]) -> np.ndarray:
         ids, many = np.concatenate(texts), np.array([len(t) for t in texts])
         begin, out = np.cumsum(many) - many, []
         rows = np.concatenate([ids, np.full((max(WIDTHS), PARTS), PAD, ids.dtype)])
-        table, n = sum(self.tables[rows[:, k]] for k in range(PARTS)), len(ids)
+        table, n = self.tables[rows[:, 0]], len(ids)
+        for k in range(1, PARTS):
+            table += self.tables[rows[:, k]]
         for w, own in self.columns.items():
             r = table[:n, own[0]].copy()
             for j in range(1, w):
-                r = r + table[j : j + n, own[j]]
+                r += table[j : j + n, own[j]]
             for j in range(1, w):
-                r[begin + many - j] = 0  # these places reach into the next text
+                r[np.maximum(begin, begin + many - j)] = 0  # these places reach into the next text
             out.append(np.maximum(np.maximum.reduceat(r, begin), 0))
         return np.concatenate(out, 1)
 
@@ -187,7 +204,7 @@ class Convolution:
         self.scale = scales[int(np.argmin(loss))]
         self.shift = -self.scale * cut
         score, of = sigmoid(self.scale * raw + self.shift), np.array([lang[k] for k in check])
-        for name in sorted(set(of))[:LANGUAGES]:
+        for name in sorted(set(of)):
             here = of == name
             if labels[here].sum() >= LEAST / 4 and here.sum() >= LEAST:
                 self.thresholds[name] = cut_point(score[here], labels[here])
@@ -209,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Convoluti
             x = [hashed(t).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("label"), pa.array(x, pa.binary())], ["doc_id", "lang", "label", "x"])
 
-    rows = sample(docs.drop("held_out"), labels, label, SAMPLE).where(F.length("text") <= LONGEST).select("doc_id", "lang", "label", "text")
+    rows = sample(docs.drop("held_out"), labels, label, SAMPLE).select("doc_id", "lang", "label", "text")
     rows = rows.mapInArrow(run, "doc_id long, lang string, label int, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     model = Convolution()
