@@ -43,6 +43,23 @@ def test_exact_in_batches(spark, docs_of):
     assert again.rows().count() == 3
 
 
+def test_index_is_compacted(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FILES", 2)
+    path = scratch(spark, "i")
+    for k in range(6):
+        index = exact_dedup.DigestIndex(spark, path, 2)
+        got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in index.dedup(docs_of([(10 * k + j, f"t{j} {k // 2}") for j in range(8)])).collect()}
+        assert got == {10 * k + j: (10 * (k // 2 * 2) + j, k % 2 == 0) for j in range(8)}
+    assert index.generation >= 1 and index.rows().count() == 24
+    index.compact()
+    plan = index.rows().hint("merge").join(index.rows().hint("merge"), "digest")._jdf.queryExecution().toString()
+    assert len(index.rows().inputFiles()) == 2 and "SortMergeJoin" in plan
+    assert not any(x in plan.split("Physical Plan")[1] for x in ("Exchange", "Sort ["))
+    index.given = 5
+    index.compact()
+    assert len(index.rows().inputFiles()) == 5 and index.rows().count() == 24
+
+
 def test_exact_stage_keeps_columns_and_one_of_repeats(spark, odd):
     left = exact_dedup.stage(spark, odd, "")
     assert left.columns == odd.columns

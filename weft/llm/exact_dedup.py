@@ -3,6 +3,10 @@
 The index is a table bucketed and sorted by digest. A batch is digested, grouped, reduced to the digests that the
 index lacks by a sort-merge anti-join that reads the index in place (no shuffle of it), and those are appended.
 
+An index has a bucket for about BUCKET_ROWS digests (LEAST_BUCKETS at least). Every append adds a file to each bucket; above
+FILES files a bucket, or when it has outgrown its buckets, the index is written anew as the next generation, one sorted file a
+bucket, which is then read without a sort. `meta` says which generation holds; it is written last, so a lost driver loses nothing.
+
 Defined results: a null text is the empty text; all rows without words but for white space of any length >= 1 are
 equal to each other, and not to the empty text. Of equal texts the row with the smallest doc_id stays; null ids come
 last. Rows that repeat doc_id and text count in group_size, and one of them is kept. An empty batch gives no rows and
@@ -13,11 +17,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WHITE, lookup, read, scratch, texts, with_ids, written
 
+META = "generation int, buckets int"
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS, FILES = 2_000_000, 24, 100_000, 8
+
 
 def normalised(text):
     return F.regexp_replace(text, WHITE, " ")
@@ -29,17 +37,42 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A growing set of digests with the doc_id that stands for each, bucketed and sorted by digest."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 24):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.table = f"weft_digests_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
-        spark.sql(
+    """A growing set of digests with the doc_id that stands for each, bucketed and sorted by digest. buckets: how many, if given."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path, self.given, self.table = spark, path, buckets, None
+        # A scan then says that it is sorted, where every bucket is one file.
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        try:
+            last = spark.read.schema(META).parquet(f"{path}/meta").orderBy(F.desc("generation")).head()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            last = None
+        if last:
+            self._open(last["generation"], last["buckets"])
+
+    def _name(self, generation: int) -> str:
+        return f"weft_digests_{uuid.uuid5(uuid.NAMESPACE_URL, f'{self.path}/{generation}').hex}"
+
+    def _open(self, generation: int, buckets: int) -> None:
+        self.generation, self.buckets, self.table = generation, buckets, self._name(generation)
+        self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, n BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}/g{generation}'"
         )
 
+    def _buckets_for(self, rows: int) -> int:
+        return self.given or min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS)))
+
+    def _holds(self, generation: int, buckets: int) -> None:
+        self.spark.createDataFrame([(generation, buckets)], META).coalesce(1).write.mode("append").parquet(f"{self.path}/meta")
+        self._open(generation, buckets)
+
     def rows(self) -> DataFrame:
+        """digest, keep_id, n."""
+        if not self.table:
+            return self.spark.createDataFrame([], "digest binary, keep_id long, n long")
         self.spark.catalog.refreshTable(self.table)
         return self.spark.table(self.table)
 
@@ -47,29 +80,46 @@ class DigestIndex:
         w = df.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
         (w.option("path", path) if path else w).saveAsTable(table)
 
+    def compact(self) -> None:
+        """Write the index anew, one file a bucket."""
+        old, rows, to = self.table, self.rows(), self.generation + 1
+        buckets = max(self.buckets, self._buckets_for(rows.count()))
+        if buckets != self.buckets:
+            rows = rows.repartition(buckets, "digest")
+        self.buckets = buckets
+        # Digests are distinct; grouping by them keeps a task to a bucket, without a shuffle if their number is as before.
+        one = rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        self._bucketed(one, self._name(to), f"{self.path}/g{to}")
+        self._holds(to, buckets)
+        self.spark.sql(f"DROP TABLE IF EXISTS {old}")  # the files of the generation before stay until they are deleted by hand
+
     def dedup(self, docs: DataFrame) -> DataFrame:
         """Add docs to the index. Per row: doc_id, keep_id, group_size, kept, text_sha256."""
-        batch = written(digests(docs), "digests")
-        groups = batch.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        batch = written(digests(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
+        total = batch.count()
+        if not self.table:
+            self._holds(0, self._buckets_for(total))
+        # The first row of each digest: by doc_id, null last; of rows that repeat an id, as they were read.
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+        groups = batch.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n"))
+        groups = groups.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("own_row"), "n")
         stage = f"{self.table}_{uuid.uuid4().hex[:8]}"
         self._bucketed(groups.repartition(self.buckets, "digest"), stage, scratch(self.spark, "groups"))
         groups = self.spark.table(stage)
 
-        new = groups.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
-        self._bucketed(new.select("digest", "keep_id", "n"), self.table, None)
-
-        known = self.rows().select("digest", F.col("keep_id"))
-        found = written(groups.select("digest", F.col("keep_id").alias("own_id"), "n").hint("merge").join(known, "digest"), "found")
+        # One read of the index tells which digests it has and who stands for them.
+        known = self.rows().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("old"))
+        found = written(groups.hint("merge").join(known, "digest", "left").select("digest", "own_row", "n", F.coalesce("old", F.lit(False)).alias("old"), F.when(F.col("old"), F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id")), "found")
+        new = groups.select("digest", "keep_id", "n").hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
+        self._bucketed(new, self.table, None)
         self.spark.sql(f"DROP TABLE IF EXISTS {stage}")  # the files stay; found has what is needed of them
+        files = len(self.rows().inputFiles())
+        if files > FILES * self.buckets or not self.given and files > self.buckets and self._buckets_for(self.rows().count()) > 2 * self.buckets:
+            self.compact()
 
-        both = lookup(batch, found.withColumn("group_size", F.col("n")), "digest", batch.count())
-        first = F.col("keep_id").eqNullSafe(F.col("own_id")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
-        if batch.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
-            # Only rows that repeat an id need a number within it.
-            w = Window.partitionBy("digest", "doc_id").orderBy(F.lit(1))
-            both = both.withColumn("nth", F.row_number().over(w))
-            first = first & (F.col("nth") == 1)
-        return both.select("doc_id", "keep_id", "group_size", first.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        both = lookup(batch, found.withColumn("group_size", F.col("n")), "digest", total)
+        kept = ~F.col("old") & (F.col("row") == F.col("own_row"))
+        return both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
