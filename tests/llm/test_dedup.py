@@ -116,6 +116,11 @@ def test_a_near_pair_shares_a_cell(a, flips, groups):
     assert any((int(e[0]) ^ int(e[1])) & m % (1 << 64) == 0 for m in simhash.subspaces(groups))
 
 
+def test_rows_of_a_fingerprint_stay_few():
+    rows = [len(simhash.subspaces(simhash.groups_for(n))) for n in (10, 10**6, 10**7, 10**8, 10**9, 5 * 10**10)]
+    assert rows == [15, 15, 15, 15, 35, 126]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.lists(st.integers(0, 63), max_size=9)), max_size=40))
 def test_forest_connects_what_is_near(spec):

@@ -150,9 +150,11 @@ def test_id_files(spark, odd, docs_of, monkeypatch):
         at += len(ids)
 
 
+LONG = "## \\# </turn>\n: " * 20_000
 CHATS = [
     (1, 2, "assistant", "b"), (1, 1, "user", "a"), (1, 1, "user", "a"), (2, 0, "assistant", r"\### Assistant: </turn> ok"), (2, 1, "assistant", r"x\ </turn>"), (2, 2, "us:er\\", "### "),
     (3, None, None, None), (3, 0, "assistant", None), (None, 0, "user", "</turn>\n"), (4, 0, "assistant", "a\\"), (4, 1, "assistant", "###"), (4, 2, "user", "\n"), (5, 0, "</turn>", "#### </turn></turn>\n\n"),
+    (6, 0, "user", LONG), (6, 1, "assistant", LONG[1:]), (6, 2, "assistant", "x" * 300_000),
 ]
 
 
@@ -192,14 +194,18 @@ def test_chat_round_trip_of_any_text(spark):
     assert got == source(rows)
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_url_filter(spark, monkeypatch, hot):
+    monkeypatch.setattr(url_filter, "HOT_ROWS", hot)
+    monkeypatch.setattr(url_filter, "HOT_KEYS", 8)
+    deep = "http://a.b.com/" + "/".join(f"s{k}" for k in range(1000))
     caps = spark.createDataFrame(
-        [(1, "http://a.b.com/x/y?q", 5, 0), (2, "http://a.b.com/x/y?q", 1, 0), (3, "https://u@B.com:80/", 5, 0), (4, None, 5, 0), (5, "nonsense", 5, 0), (6, "http://b.com", None, 0), (7, "http://a.b.com/x", 200, 0), (7, "http://a.b.com/x", 200, 0)],
+        [(1, "http://a.b.com/x/y?q", 5, 0), (2, "http://a.b.com/x/y?q", 1, 0), (3, "https://u@B.com:80/", 5, 0), (4, None, 5, 0), (5, "nonsense", 5, 0), (6, "http://b.com", None, 0), (7, "http://a.b.com/x", 200, 0), (7, "http://a.b.com/x", 200, 0), (8, deep, 5, 0)],
         "id long, url string, day int, key int",
     )
-    entries = spark.createDataFrame([("b.com", 2, "block"), ("b.com", 2, "block"), ("a.b.com/x", 5, "allow"), ("a.b.com/x", 150, "allow"), ("a.b.com/x", 150, "block"), ("com", 0, "allow"), (None, 1, "block"), ("b.com", None, "block")], "key string, day int, action string")
+    entries = spark.createDataFrame([("b.com", 2, "block"), (deep[7:-4], 1, "block"), (deep[7:-5], 1, "allow"), ("b.com", 2, "block"), ("a.b.com/x", 5, "allow"), ("a.b.com/x", 150, "allow"), ("a.b.com/x", 150, "block"), ("com", 0, "allow"), (None, 1, "block"), ("b.com", None, "block")], "key string, day int, action string")
     got = url_filter.filter_captures(caps, entries).select("id", "key", "since", "blocked").collect()
     want = [(1, "a.b.com/x", 5, False), (2, "com", 0, False), (3, "b.com", 2, True), (4, None, None, False), (5, None, None, False), (6, None, None, False)]
-    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [*want, *[(7, "a.b.com/x", 150, True)] * 2]))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [*want, *[(7, "a.b.com/x", 150, True)] * 2, (8, deep[7:-5], 1, False)]))
     assert not any(r["blocked"] for r in url_filter.filter_captures(caps, entries.limit(0)).collect())
     assert url_filter.filter_captures(caps.limit(0), entries).count() == 0

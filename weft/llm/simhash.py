@@ -73,12 +73,18 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+#: What a row of a cell costs to make and shuffle, and a comparison within a cell, in nanoseconds; only their ratio matters.
+ROW, PAIR = 2000, 1
+
+
+def cost(groups: int, n: int, most: int = MOST) -> float:
+    """Of a fingerprint among n: its rows, and the others it meets by chance, since two segments' counts agree by 3/8."""
+    return comb(groups, most) * (ROW + PAIR * n / 2 * (3 / 8) ** (SEGMENTS * (groups - most) / groups))
+
+
 def groups_for(n: int, most: int = MOST) -> int:
-    """The fewest groups with which a random fingerprint meets at most 200 of n others: two segments' counts agree by 3/8."""
-    g = most + 2
-    while g < SEGMENTS and n * comb(g, most) * (3 / 8) ** (SEGMENTS * (g - most) / g) > 200:
-        g += 1
-    return g
+    """The number of groups that costs least: 15 rows a fingerprint up to 0.2 billion, 35 at one billion, 126 at 50 billion."""
+    return min(range(most + 2, SEGMENTS + 1), key=lambda g: cost(g, n, most))
 
 
 def subspaces(groups: int, most: int = MOST) -> list[int]:

@@ -3,8 +3,8 @@
 A list entry says from which day on a key (a host, a domain above it, or a host with a path before) is blocked or allowed. A
 key's entries become validity intervals, each until the next. A capture meets the interval of each of its keys that holds
 on its day: an as-of join, made an equal join by splitting time into periods of PERIOD days: an interval is written for each
-period that it touches, a capture has one. So a key with many captures spreads over periods, and both sides are plain
-shuffles that adaptive execution can split further. The longest key that has an active entry decides.
+period that it touches, a capture has one. So a key with many captures spreads over periods; the captures of a hot key (a
+top-level domain, say) are dealt further, and its few intervals go to each part. The longest key that has an active entry decides.
 
 Defined results: entries that repeat count once; of entries of one key and day, block wins. A null or malformed url has no
 keys, is not blocked, and its host is empty. A null day meets nothing. Captures that repeat are returned each. Without
@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, read
+from .common import column, read, written
 
 PERIOD = 64
+#: A key is hot if it is at least one in HOT_KEYS of all captures' keys, and HOT_ROWS of them.
+HOT_ROWS, HOT_KEYS, SALTS = 10_000, 1000, 32
 #: Day after all days.
 NEVER = 1 << 30
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
@@ -54,7 +56,13 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     period = lambda c: F.floor(c / PERIOD).cast("int")
     held = held.withColumn("period", F.explode(F.sequence(period(F.greatest("begin", F.lit(first))), period(F.least(F.col("end") - 1, F.lit(last))))))
     asked = captures.distinct().withColumn("key", F.explode(keys(F.col("url")))).withColumn("period", period(F.col("day")))
-    met = asked.join(held.hint("merge"), ["key", "period"]).where((F.col("begin") <= F.col("day")) & (F.col("day") < F.col("end")))
+    hot = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    least = max(HOT_ROWS, -(-(hot.agg(F.sum("n")).head()[0] or 0) // HOT_KEYS))
+    hot = F.broadcast(written(hot.where(F.col("n") >= least).select("key", F.lit(True).alias("hot")), "hot-keys"))
+    # A hot key's captures are dealt among SALTS, each of which gets its intervals: such keys are HOT_KEYS at most.
+    asked = asked.join(hot, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    held = held.join(hot, "key", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    met = asked.join(held.hint("merge"), ["key", "period", "salt"]).where((F.col("begin") <= F.col("day")) & (F.col("day") < F.col("end")))
     deciding = met.groupBy("id", "url", "day").agg(F.max(F.struct(F.length("key").alias("size"), "key", "begin", "action")).alias("x"))
     deciding = deciding.select(F.col("id").alias("_id"), F.col("url").alias("_url"), F.col("day").alias("_day"), "x.key", F.col("x.begin").alias("since"), "x.action")
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("url") == F.col("_url")) & (F.col("day") == F.col("_day"))
