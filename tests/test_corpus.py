@@ -1,5 +1,8 @@
 """Scans, samples, batches, schedules, losses and the sequence model."""
 
+import hashlib
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +146,91 @@ def test_weights(spark, tmp_path):
     model_files.save_weights(spark, m.p, str(tmp_path / "w"))
     back = model_files.load_weights(spark, str(tmp_path / "w"))
     assert all((back[k] == v.astype("float32")).all() for k, v in m.p.items())
+
+
+@pytest.mark.parametrize("edge, digits", [(10_000, 4), (3, 1)])
+def test_first_by_hash(spark, monkeypatch, edge, digits):
+    monkeypatch.setattr(dataset, "EDGE", edge)
+    monkeypatch.setattr(dataset, "DIGITS", digits)
+    table = spark.range(300).selectExpr("id AS k", "'x' AS __v")
+    order = sorted(range(300), key=lambda k: (hashlib.md5(f"{k}-5".encode()).hexdigest(), k))
+    for n in (0, 1, 7, 150, 299, 300, 5000):
+        got = dataset.first_by_hash(table, "k", n, 5)
+        assert sorted(r["k"] for r in got.collect()) == sorted(order[:n]) and got.columns == table.columns
+    assert dataset.first_by_hash(table.limit(0), "k", 3, 5).count() == 0
+
+
+def test_ids_are_made_in_place(spark):
+    rows = [(1, ["a", "zz", "b"]), (2, []), (3, None), (4, ["b"])]
+    encoded = spark.createDataFrame(rows, "k long, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "token string, id int")
+    want = {1: [4, 3, 5], 2: [], 3: [], 4: [5]}
+    for how in (dataset.ids, dataset.ids_by_join):
+        assert {r["k"]: r["ids"] for r in how(encoded, vocab, "k").collect()} == want
+        with pytest.raises(Exception, match="no id for token"):
+            how(encoded, vocab, "k", True).collect()
+    plan = dataset.ids(encoded, vocab, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_distributed_training(spark, monkeypatch):
+    """By shards it lowers the loss and repeats itself; more shards than are averaged at a time."""
+    monkeypatch.setattr(seq2seq, "SHARD", 30)
+    monkeypatch.setattr(seq2seq, "AVERAGED", 2)
+    data = [(k, [4 + k % 3, 4 + k % 2, 2], [1, 4 + k % 3, 4 + k % 2, 2], "train" if k % 10 else "val") for k in range(100)]
+    table = spark.createDataFrame(data, "pair_id long, src array<int>, tgt array<int>, part string")
+    run = lambda: seq2seq.fit_distributed(seq2seq.Seq2Seq(8, 8, hidden=8, layers=1, embedding=6), table, epochs=10, size=4, rate=0.03, share=1.0, tf=(1.0, 1.0, 0, 1), patience=50)
+    rows = run()
+    assert rows[-1]["train_loss"] < 0.7 * rows[0]["train_loss"] and rows[-1]["val_loss"] < rows[0]["val_loss"] and rows == run()
+
+
+def test_steps_are_plain_loops():
+    """One source and target through both layers, each gate written out: the logits are the model's."""
+    m = seq2seq.Seq2Seq(7, 6, hidden=3, layers=2, embedding=4)
+    source, target = [4, 5, 6, 2], [1, 4, 5, 2]
+    s = lambda x: 1 / (1 + math.exp(-x))
+
+    def step(name, x, h, c):
+        wx, wh, b = (m.p[f"{name}.{k}"].tolist() for k in ("wx", "wh", "b"))
+        n = len(h)
+        z = [sum(v * wx[i][j] for i, v in enumerate(x)) + sum(v * wh[i][j] for i, v in enumerate(h)) + b[j] for j in range(4 * n)]
+        c = [s(z[n + j]) * c[j] + s(z[j]) * math.tanh(z[2 * n + j]) for j in range(n)]
+        return [s(z[3 * n + j]) * math.tanh(c[j]) for j in range(n)], c
+
+    def way(name, xs):
+        h, c, out = [0.0] * 3, [0.0] * 3, []
+        for x in xs:
+            h, c = step(name, x, h, c)
+            out.append(h)
+        return out, h, c
+
+    xs, states = [m.p["source"][i].tolist() for i in source], []
+    for k in range(2):
+        f, fh, fc = way(f"enc{k}.fwd", xs)
+        b, bh, bc = way(f"enc{k}.bwd", xs[::-1])
+        states.append((fh + bh, fc + bc))
+        xs = [x + y for x, y in zip(f, b[::-1])]
+    for t, i in enumerate(target[:-1]):
+        x = m.p["target"][i].tolist()
+        for k in range(2):
+            h, c = step(f"dec{k}", x, *states[k])
+            states[k], x = (h, c), h
+        want = [sum(v * w for v, w in zip(x, col)) + b for col, b in zip(m.p["out.w"].T.tolist(), m.p["out.b"].tolist())]
+        got = m.forward(seq2seq.matrix([source]), seq2seq.matrix([target]))[0, t]
+        assert max(abs(a - b) for a, b in zip(got, want)) < 1e-9
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from weft import store
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = type("C", (), {"get": staticmethod(lambda k, d: None)}), Context
+
+    with pytest.raises(ValueError):
+        store.shared_dir(Session)
+    path = store.scratch(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert path.startswith(store.own_dir(spark))

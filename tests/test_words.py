@@ -1,6 +1,7 @@
 """Words, pairs, training and encoding, by hand-made cases and properties."""
 
 import json
+import time
 from collections import Counter
 
 import pytest
@@ -151,3 +152,50 @@ def test_model_files(spark, tmp_path):
     for load in (model_files.load_json, model_files.load_json_legacy):
         with pytest.raises(ValueError):
             load(spark, path)
+
+
+RULES = st.lists(st.tuples(st.sampled_from(["a", "b", "ab", "ba", "aa", "abab"]), st.sampled_from(["a", "b", "ab", "aa", "</w>"])), max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", max_size=60), RULES)
+def test_heap_merges_as_looking_at_all_pairs_does(word, rules):
+    m = Model.learned(rules, ["a", "b"])
+    s = [*word, "</w>"]
+    assert m._merged(s.copy()) == m._merged_short(s.copy())
+
+
+def test_a_very_long_word_takes_seconds():
+    word = "abcde" * 40_000
+    m = Model.learned([(a, b) for a, b, _ in train.learn([word[:50], "abc"], [1, 5], 30)], sorted(set(word)))
+    began = time.time()
+    tokens = m.encode_word(word)
+    assert time.time() - began < 20 and "".join(tokens) == word + "</w>" and len(tokens) < len(word) / 4
+    m.remembered(word)
+    assert not m.memory
+
+
+def test_production_rules_are_a_plain_trainers(spark):
+    """4,500 merges over all words of a table, or until no pair is left, by the kernel and by counting all pairs again."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    few = counts.word_counts(docs).where("freq >= 4")
+    freqs = {r["word"]: r["freq"] for r in few.collect()}
+    got = [(r["l"], r["r"], r["n"]) for r in train.train(few).orderBy("rank").collect()]
+    want = brute(freqs, 400)
+    assert got[:400] == want and len(got) > 1000
+
+
+def test_words_of_a_pair(spark):
+    s = counts.with_symbols(spark.createDataFrame([("abab", 1), ("ba", 2), ("c", 1)], "word string, freq long"))
+    asked = spark.createDataFrame([("a", "b"), ("x", "y"), ("a", "</w>")], "l string, r string")
+    got = {tuple(r) for r in counts.words_with(counts.pair_postings(s), asked).collect()}
+    assert got == {("a", "b", "abab"), ("a", "</w>", "ba")}
+
+
+def test_groups_too_large_for_a_task(spark, monkeypatch):
+    """A null group, too, is learned by the other tier."""
+    rows = [(g, w, n) for g in (None, "x") for w, n in (("abab", 3), ("abc", 2), ("bca", 2))] + [("y", "ab", 1)]
+    counted = spark.createDataFrame(rows, "lang string, word string, freq long")
+    want = {(r["lang"], r["rank"], r["l"], r["r"], r["n"]) for r in train.train_by(counted, "lang", 4).collect()}
+    monkeypatch.setattr(train, "KERNEL_PLACES", 5)
+    assert {(r["lang"], r["rank"], r["l"], r["r"], r["n"]) for r in train.train_by(counted, "lang", 4).collect()} == want and any(x[0] is None for x in want)

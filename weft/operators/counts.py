@@ -48,3 +48,8 @@ def pair_postings(split: DataFrame) -> DataFrame:
     """l, r, n_words, and the set of words that hold the pair, in order."""
     pairs = split.select("word", F.explode(F.array_distinct(adjacent(F.col("symbols")))).alias("p"))
     return pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.count(F.lit(1)).alias("n_words"), F.array_sort(F.collect_set("word")).alias("words"))
+
+
+def words_with(postings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """postings: of pair_postings; pairs: distinct l, r. l, r, word: the words that hold each pair, looked up by pair."""
+    return postings.join(pairs.select("l", "r"), ["l", "r"], "left_semi").select("l", "r", F.explode("words").alias("word"))

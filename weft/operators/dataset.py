@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.pairs import line_limit, with_ordinals
+from ..store import written
 
 PAD, SOS, EOS, UNKNOWN_ID = 0, 1, 2, 3
 
@@ -20,8 +25,27 @@ def first_per_key(table: DataFrame, key: str, order: str) -> DataFrame:
     return first.select("x.*")
 
 
+#: Rows that may be sorted to one task, and hexadecimal digits told apart in one count.
+EDGE, DIGITS = 10_000, 4
+
+
 def first_by_hash(table: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    return table.withColumn("__h", hash_order(F.col(key), seed)).orderBy("__h", key).limit(n).drop("__h")
+    """The first n rows by hash, then key. Counts by the hash's beginning tell where the cut is; only rows about it are sorted."""
+    hashed = table.withColumn("__h", hash_order(F.col(key), seed))
+    cut, left = "", n
+    while len(cut) < 32:
+        here = hashed.where(F.col("__h").startswith(cut)).groupBy(F.substring("__h", len(cut) + 1, DIGITS).alias("d")).count().collect()
+        if left >= sum(x["count"] for x in here):
+            return table if not cut else hashed.where(F.substring("__h", 1, len(cut)) <= cut).drop("__h")
+        for x in sorted(here, key=lambda x: x["d"]):
+            if x["count"] > left:
+                break
+            left -= x["count"]
+        cut += x["d"]
+        if x["count"] <= EDGE:
+            break
+    edge = hashed.where(F.col("__h").startswith(cut)).orderBy("__h", key).limit(left)
+    return hashed.where(F.substring("__h", 1, len(cut)) < cut).unionByName(edge).drop("__h")
 
 
 def sample_fraction(table: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
@@ -73,8 +97,40 @@ def add_tokens(vocab: DataFrame, tokens: DataFrame) -> DataFrame:
     return vocab.unionByName(with_ordinals(new, "id", "token").select("token", (F.col("id") + last).cast("int").alias("id")))
 
 
+#: Tokens of a vocabulary that every task may hold.
+VOCABULARY = 1_000_000
+
+
 def ids(encoded: DataFrame, vocab: DataFrame, key: str, strict: bool = False) -> DataFrame:
-    """encoded: key, tokens. key, ids in order. A token without id is UNKNOWN_ID, or an error if strict."""
+    """encoded: key, tokens. key, ids in order. A token without id is UNKNOWN_ID, or an error if strict.
+
+    A vocabulary of at most VOCABULARY tokens goes to every task, and nothing is shuffled; a larger one is joined.
+    """
+    if vocab.limit(VOCABULARY + 1).count() > VOCABULARY:
+        return ids_by_join(encoded, vocab, key, strict)
+    spark = encoded.sparkSession
+    table = vocab.select("token", F.col("id").cast("int").alias("id")).toArrow()
+    shared = spark.sparkContext.broadcast((table.column("token").combine_chunks().cast(pa.string()), table.column("id").combine_chunks()))
+
+    def run(batches):
+        known, numbers = shared.value
+        for b in batches:
+            lists = b.column(1)
+            flat = lists.flatten().cast(pa.string())
+            found = numbers.take(pc.index_in(flat, value_set=known))
+            if strict and found.null_count:
+                raise ValueError(f"no id for token {flat.filter(found.is_null())[0].as_py()}")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found.fill_null(UNKNOWN_ID))], [key, "ids"])
+
+    schema = T.StructType([encoded.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return encoded.select(key, "tokens").mapInArrow(run, schema)
+
+
+def ids_by_join(encoded: DataFrame, vocab: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """The same for any vocabulary; keys must be distinct."""
+    encoded = written(encoded.select(key, "tokens"), "tokens")
     places = encoded.select(key, F.posexplode("tokens").alias("at", "token")).join(vocab, "token", "left")
     missing = F.raise_error(F.concat(F.lit("no id for token "), F.col("token"))) if strict else F.lit(UNKNOWN_ID)
     listed = places.select(key, F.struct("at", F.coalesce(F.col("id"), missing).alias("id")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("x"))

@@ -6,6 +6,7 @@ price of a shuffle of every word's places: for words so long or rules so many th
 
 from __future__ import annotations
 
+import heapq
 from functools import lru_cache
 
 import pyarrow as pa
@@ -16,9 +17,8 @@ from pyspark.sql import types as T
 from ..functions.words import UNKNOWN, WORD_END, characters, known_only, merged_all, segmented, unsegmented, words
 from ..ship import ship
 
-
-#: Words that a task remembers.
-REMEMBERED = 400_000
+#: Words that a task remembers, of at most LONG characters; words of at most SHORT symbols are merged without a heap.
+REMEMBERED, LONG, SHORT = 400_000, 64, 24
 
 
 class Model:
@@ -37,6 +37,10 @@ class Model:
     def encode_word(self, word: str, drop: bool = False) -> list[str]:
         """The pair of the lowest rank is merged, leftmost first, until none is left; new pairs count at once."""
         s = [c if c in self.known else self.unknown for c in word if c in self.known or not drop] + [self.word_end]
+        return self._merged_short(s) if len(s) <= SHORT else self._merged(s)
+
+    def _merged_short(self, s: list[str]) -> list[str]:
+        """By looking at all pairs for each merge, which few symbols make cheap."""
         never = len(self.rules)
         while len(s) > 1:
             rank, i = min((self.ranks.get(p, never), i) for i, p in enumerate(zip(s, s[1:])))
@@ -45,9 +49,29 @@ class Model:
             s[i : i + 2] = [s[i] + s[i + 1]]
         return s
 
+    def _merged(self, s: list[str]) -> list[str]:
+        """By a heap of (rank, place) over linked places: n log n. An entry is stale if its place no longer begins that pair."""
+        n, ranks = len(s), self.ranks
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, p in enumerate(zip(s, s[1:])) if (r := ranks.get(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if s[i] is None or j >= n or ranks.get((s[i], s[j])) != rank:
+                continue
+            s[i], s[j], after[i] = s[i] + s[j], None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a in (before[i], i):
+                if a >= 0 and after[a] < n and (r := ranks.get((s[a], s[after[a]]))) is not None:
+                    heapq.heappush(heap, (r, a))
+        return [x for x in s if x is not None]
 
     def remembered(self, word: str, drop: bool = False) -> list[str]:
         """encode_word, remembered within bounds. The list must not be changed."""
+        if len(word) > LONG:
+            return self.encode_word(word, drop)
         found = self.memory.get((word, drop))
         if found is None:
             if len(self.memory) >= REMEMBERED:

@@ -6,6 +6,7 @@ Of pairs with equal counts the first in byte order is taken. Training stops quie
 from __future__ import annotations
 
 import heapq
+from array import array
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,8 +20,8 @@ from .counts import pair_counts
 RULES = "rank int, l string, r string, n long"
 #: Candidates that one job brings to the driver, and rules after which the segmented words are written anew.
 CANDIDATES, REWRITE = 64, 200
-#: Distinct words that one task may hold.
-KERNEL_WORDS = 5_000_000
+#: Symbols of distinct words that one task may hold: about 60 bytes each, so half a gigabyte.
+KERNEL_PLACES = 8_000_000
 
 
 def sure_prefix(ranked: list[tuple[str, str, int]], made: set[str]) -> list[tuple[str, str, int]]:
@@ -77,21 +78,23 @@ def learn(words: list[str], freqs: list[int], n_merges: int, end: str = "</w>")
             names.append(s)
         return number[s]
 
-    at, after, before, weight = [], [], [], []
+    at, after, before, weight = array("i"), array("i"), array("i"), array("q")
     for word, freq in zip(words, freqs):
         start = len(at)
-        at += [*map(of, word), of(end)]
+        at.extend([*map(of, word), of(end)])
         k = len(at)
-        after += [*range(start + 1, k), -1]
-        before += [-1, *range(start, k - 1)]
-        weight += [freq] * (k - start)
+        after.extend([*range(start + 1, k), -1])
+        before.extend([-1, *range(start, k - 1)])
+        weight.extend([freq] * (k - start))
     count: dict[tuple[int, int], int] = {}
-    seen: dict[tuple[int, int], list[int]] = {}
+    seen: dict[tuple[int, int], array] = {}
 
     def add(i: int, j: int) -> tuple[int, int]:
         pair = (at[i], at[j])
         count[pair] = count.get(pair, 0) + weight[i]
-        seen.setdefault(pair, []).append(i)
+        if pair not in seen:
+            seen[pair] = array("i")
+        seen[pair].append(i)
         return pair
 
     for i, j in enumerate(after):
@@ -131,15 +134,20 @@ def learn(words: list[str], freqs: list[int], n_merges: int, end: str = "</w>")
     return rules
 
 
+def places():
+    """Symbols of distinct words, ends included."""
+    return F.sum(F.length("word") + F.lit(1))
+
+
 def train_by(counted: DataFrame, by: str, n_merges: int) -> DataFrame:
     """counted: by, word, freq. by and its rules: groups are learned side by side, each in one task.
 
-    Groups with more distinct words than a task may hold are learned by train_distributed, one after the other.
+    Groups with more symbols in distinct words than a task may hold are learned by train_distributed, one after the other.
     """
     spark = counted.sparkSession
     ship(spark)
     counted = written(counted.select(by, "word", "freq"), "counted")
-    large = [x[by] for x in counted.groupBy(by).count().where(F.col("count") > KERNEL_WORDS).collect()]
+    large = [x[by] for x in counted.groupBy(by).agg(places().alias("n")).where(F.col("n") > KERNEL_PLACES).collect()]
     kind = dict(counted.dtypes)[by]
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,18 +157,20 @@ def train_by(counted: DataFrame, by: str, n_merges: int) -> DataFrame:
         out[by] = pdf[by].iloc[0]
         return out[[by, "rank", "l", "r", "n"]]
 
-    small = counted.where(~F.coalesce(F.col(by).isin(large), F.lit(False))) if large else counted
+    small = counted
+    for value in large:
+        small = small.where(~F.col(by).eqNullSafe(F.lit(value)))
     out = small.groupBy(by).applyInPandas(kernel, f"`{by}` {kind}, {RULES}")
     for value in large:
-        rules = train_distributed(counted.where(F.col(by) == F.lit(value)), n_merges)
+        rules = train_distributed(counted.where(F.col(by).eqNullSafe(F.lit(value))), n_merges)
         rows = [(value, k, a, b, n) for k, (a, b, n) in enumerate(rules)]
         out = out.unionByName(spark.createDataFrame(rows, f"`{by}` {kind}, {RULES}"))
     return out
 
 
-def train(counted: DataFrame, n_merges: int = 4500, few: int = 50) -> DataFrame:
-    """counted: word, freq. Rules (rank, l, r, n): by jobs over all words for few merges or many words, else in one task."""
-    if n_merges <= few or counted.limit(KERNEL_WORDS + 1).count() > KERNEL_WORDS:
+def train(counted: DataFrame, n_merges: int = 4500, few: int = 0) -> DataFrame:
+    """counted: word, freq. Rules (rank, l, r, n): by jobs over all words for at most few merges or many words, else in one task."""
+    if n_merges <= few or (counted.agg(places().alias("n")).head()["n"] or 0) > KERNEL_PLACES:
         rules = train_distributed(counted, n_merges)
         return counted.sparkSession.createDataFrame([(k, a, b, n) for k, (a, b, n) in enumerate(rules)], RULES)
     return train_by(counted.withColumn("all", F.lit(0)), "all", n_merges).drop("all")

@@ -125,13 +125,10 @@ def seq2seq_forward(spark, sf_dir):
 
 
 def seq2seq_train(spark, sf_dir):
-    """A small network trained for a few epochs; the driver holds its training pairs, at most 256."""
+    """A small network trained for a few epochs on all pairs in whole length, but for those held for validation."""
     examples, model = _tiny(spark, sf_dir)
-    few = dataset.first_by_hash(examples.select("pair_id", F.slice("src", 1, 12).alias("src"), F.slice("tgt", 1, 12).alias("tgt")), "pair_id", 256, SEED)
-    parts = {"train": [], "val": []}
-    for x in dataset.split(written(few, "few"), "pair_id", seed=SEED).orderBy("pair_id").collect():
-        parts[x["part"]].append((x["src"], x["tgt"]))
-    rows = seq2seq.fit(model, parts["train"], parts["val"], epochs=4, size=32, rate=0.01, tf=(1.0, 0.0, 1, 3))
+    parts = dataset.split(written(examples, "examples"), "pair_id", seed=SEED)
+    rows = seq2seq.fit_distributed(model, parts, epochs=4, size=32, rate=0.01, tf=(1.0, 0.0, 1, 3))
     return spark.createDataFrame([(r["epoch"], r["tf_ratio"], r["train_loss"], r["val_loss"]) for r in rows], "epoch int, tf_ratio double, train_loss double, val_loss double")
 
 
@@ -222,6 +219,11 @@ f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch DESC) AS n FR
 SELECT run, CAST(CASE WHEN stop THEN epoch END AS INTEGER) AS stop_epoch, CAST(best_epoch AS INTEGER) AS best_epoch, best AS best_loss, CAST(CASE WHEN stop THEN best_epoch ELSE epoch END AS INTEGER) AS kept_epoch FROM f WHERE n = 1""",
     "masked_ce": f"WITH {_LOGITS} SELECT batch_id, round(loss, 6) AS loss FROM ce",
     "epoch_loss": f"WITH {_LOGITS} SELECT round(avg(loss), 6) AS loss FROM ce",
+    "weights_roundtrip": f"""WITH {_PAIRS}, v AS (SELECT count(DISTINCT token) + 4 AS v FROM (SELECT unnest({_CHARS.format("(src || tgt)")}) AS token FROM pairs)),
+cell AS (SELECT * FROM (VALUES ('dec0', 6, 16), ('dec1', 16, 16), ('enc0.bwd', 6, 8), ('enc0.fwd', 6, 8), ('enc1.bwd', 16, 8), ('enc1.fwd', 16, 8)) AS c(name, wide, hidden)),
+x AS (SELECT name || '.b' AS param, 4 * hidden AS n FROM cell UNION ALL SELECT name || '.wh', 4 * hidden * hidden FROM cell UNION ALL SELECT name || '.wx', 4 * hidden * wide FROM cell
+  UNION ALL SELECT 'out.b', v FROM v UNION ALL SELECT 'out.w', 16 * v FROM v UNION ALL SELECT 'source', 6 * v FROM v UNION ALL SELECT 'target', 6 * v FROM v)
+SELECT param, CAST(n AS BIGINT) AS n, TRUE AS equal FROM x""",
     "format_time": "SELECT doc_id, CAST(CAST(floor(n_chars / 8 / 60) AS BIGINT) AS VARCHAR) || 'm ' || CAST(CAST(floor(n_chars / 8 - 60 * floor(n_chars / 8 / 60)) AS BIGINT) AS VARCHAR) || 's' AS took FROM documents",
 }
 

@@ -11,7 +11,9 @@ from ..operators.encode import Model
 from ..sources import model_files
 from ..store import scratch, written
 
-MERGES, TOP = 12, 20
+#: Merges of the queries that SQL repeats (a recursion of so many steps), and of those with the operators' production size, which
+#: have no SQL and are held against plain programs in tests.
+MERGES, PRODUCTION, TOP = 12, 4500, 20
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +34,8 @@ def split(spark, sf_dir):
 
 def model(words_: DataFrame, merges: int = MERGES) -> Model:
     """words_: word, freq. Alphabets are small and rules few, so both are the driver's."""
-    rules = train.train_distributed(words_, merges)
-    return Model.learned([(a, b) for a, b, _ in rules], [x["symbol"] for x in counts.alphabet(words_).collect()])
+    rules = sorted((x["rank"], x["l"], x["r"]) for x in train.train(words_, merges).collect())
+    return Model.learned([(a, b) for _, a, b in rules], [x["symbol"] for x in counts.alphabet(words_).collect()])
 
 
 def joined(tokens):
@@ -49,6 +51,12 @@ def pair_postings(spark, sf_dir):
     return p.select("l", "r", "n_words", F.md5(F.array_join("words", " ")).alias("words_md5"))
 
 
+def words_of_pairs(spark, sf_dir):
+    """The words that hold one of the top pairs, by the index of pairs."""
+    s = written(split(spark, sf_dir), "split")
+    return counts.words_with(counts.pair_postings(s), counts.top_pairs(counts.pair_counts(s), TOP))
+
+
 def merge_once(spark, sf_dir):
     s = written(split(spark, sf_dir), "split")
     best = counts.top_pairs(counts.pair_counts(s))
@@ -61,11 +69,11 @@ def _merge(s: DataFrame, best) -> DataFrame:
 
 
 def bpe_train_rules(spark, sf_dir):
-    return train.train(counted(spark, sf_dir), MERGES)
+    return train.train(counted(spark, sf_dir), MERGES, few=MERGES)
 
 
 def bpe_train_kernel(spark, sf_dir):
-    return train.train(counted(spark, sf_dir), MERGES, few=0)
+    return train.train(counted(spark, sf_dir), MERGES)
 
 
 def bpe_train_by_lang(spark, sf_dir):
@@ -98,16 +106,16 @@ def encode_words_rank(spark, sf_dir):
     return _encoded(spark, sf_dir, encode.encode_words).select("word", joined(F.col("tokens")).alias("tokens"))
 
 
-def _encoded_texts(spark, sf_dir):
-    return encode.encode_batch(docs(spark, sf_dir), model(written(counted(spark, sf_dir), "words")))
+def _encoded_texts(spark, sf_dir, merges=MERGES):
+    return encode.encode_batch(docs(spark, sf_dir), model(written(counted(spark, sf_dir), "words"), merges))
 
 
 def _sized(e: DataFrame) -> DataFrame:
     return e.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(joined(F.col("tokens"))).alias("tokens_md5"))
 
 
-def encode_documents(spark, sf_dir):
-    return _sized(_encoded_texts(spark, sf_dir))
+def encode_documents(spark, sf_dir, merges=MERGES):
+    return _sized(_encoded_texts(spark, sf_dir, merges))
 
 
 def encode_documents_join(spark, sf_dir):
@@ -156,6 +164,14 @@ def _ids(spark, sf_dir, strict):
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("ids_md5"))
 
 
+def token_ids_production(spark, sf_dir):
+    """Texts as ids of the learned tokens, by rules and vocabulary of production size, learned once."""
+    m = model(written(counted(spark, sf_dir), "words"), PRODUCTION)
+    vocab = written(dataset.vocabulary(spark.createDataFrame([(t,) for t in m.tokens], "token string")), "vocabulary")
+    found = dataset.ids(encode.encode_batch(docs(spark, sf_dir), m), vocab, "doc_id", True)
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("ids_md5"))
+
+
 def model_json_roundtrip(spark, sf_dir):
     words_ = written(counted(spark, sf_dir), "words")
     path = scratch(spark, "tokenizer") + "/"
@@ -200,8 +216,10 @@ QUERIES = {
     "top_pair": lambda s, d: counts.top_pairs(counts.pair_counts(split(s, d))),
     "top_pairs_k": lambda s, d: counts.top_pairs(counts.pair_counts(split(s, d)), TOP),
     "pair_postings": pair_postings,
+    "words_of_pairs": words_of_pairs,
     "merge_once": merge_once,
     "bpe_train_rules": bpe_train_rules,
+    "bpe_train_production": lambda s, d: train.train(counted(s, d), PRODUCTION),
     "bpe_train_kernel": bpe_train_kernel,
     "bpe_train_by_lang": bpe_train_by_lang,
     "token_set": token_set,
@@ -210,6 +228,7 @@ QUERIES = {
     "encode_words_rank": encode_words_rank,
     "encode_documents": encode_documents,
     "encode_documents_join": encode_documents_join,
+    "encode_documents_production": lambda s, d: encode_documents(s, d, PRODUCTION),
     "encode_stream": encode_stream,
     "token_freq": token_freq,
     "encode_oov_replace": lambda s, d: _unseen(s, d, False),
@@ -220,6 +239,7 @@ QUERIES = {
     "vocab_add_tokens": add_tokens,
     "token_ids": lambda s, d: _ids(s, d, False),
     "token_ids_strict": lambda s, d: _ids(s, d, True),
+    "token_ids_production": token_ids_production,
     "model_json_roundtrip": model_json_roundtrip,
     "model_json_legacy": model_json_legacy,
     "model_tables_roundtrip": model_tables_roundtrip,
@@ -309,9 +329,11 @@ SQL = {
     "top_pair": _sql("SELECT l, r, n FROM pc ORDER BY n DESC, l, r LIMIT 1"),
     "top_pairs_k": _sql(f"SELECT l, r, n FROM pc ORDER BY n DESC, l, r LIMIT {TOP}"),
     "pair_postings": _sql("SELECT l, r, CAST(count(DISTINCT word) AS BIGINT) AS n_words, md5(string_agg(DISTINCT word, ' ' ORDER BY word)) AS words_md5 FROM p GROUP BY l, r"),
+    "words_of_pairs": _sql("SELECT DISTINCT p.l, p.r, p.word FROM p JOIN best ON p.l = best.l AND p.r = best.r", more=f"best AS MATERIALIZED (SELECT l, r FROM pc ORDER BY n DESC, l, r LIMIT {TOP}),"),
     "merge_once": _sql(
-        "SELECT word, freq, replace(replace(replace(replace(chr(1) || array_to_string(symbols, chr(2) || chr(1)) || chr(2), chr(1) || b.l || chr(2) || chr(1) || b.r || chr(2), chr(1) || b.l || b.r || chr(2)), chr(2) || chr(1), ' '), chr(1), ''), chr(2), '') AS merged "
-        "FROM s, (SELECT l, r FROM pc ORDER BY n DESC, l, r LIMIT 1) b"
+        "SELECT word, freq, replace(replace(replace(replace(chr(1) || array_to_string(symbols, chr(2) || chr(1)) || chr(2), x.a, x.b), chr(2) || chr(1), ' '), chr(1), ''), chr(2), '') AS merged FROM s CROSS JOIN x",
+        more="""best AS MATERIALIZED (SELECT arg_min({'l': l, 'r': r}, {'m': -n, 'l': l, 'r': r}) AS y FROM pc),
+x AS MATERIALIZED (SELECT chr(1) || y.l || chr(2) || chr(1) || y.r || chr(2) AS a, chr(1) || y.l || y.r || chr(2) AS b FROM best),""",
     ),
     "bpe_train_rules": _sql("SELECT rank, l, r, n FROM rules"),
     "bpe_train_kernel": _sql("SELECT rank, l, r, n FROM rules"),

@@ -78,12 +78,14 @@ def pairs_from_turns(conversations: DataFrame) -> DataFrame:
 
 
 def with_ordinals(table: DataFrame, name: str, *order: str) -> DataFrame:
-    """Numbers from 1 in the given order, which must be total: sorted by ranges, numbered in each, and shifted by what comes before."""
+    """Numbers from 1 in the given order, which must be total: sorted by ranges, numbered in each as they are written, and shifted by
+    what comes before. One shuffle."""
     from ..store import written
 
-    spread = written(table.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "ranges")
-    sizes = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("size"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    offsets = F.broadcast(sizes.select("__part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("__offset")))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return spread.withColumn("__nth", within).join(offsets, "__part").withColumn(name, F.col("__nth") + F.col("__offset")).drop("__part", "__offset", "__nth")
+    spread = table.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    spread, part = written(spread, "ranges"), F.shiftright("__at", 33)
+    sizes = spread.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = F.broadcast(sizes.select(F.col("part").alias("__part"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("__offset")))
+    nth = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(1)
+    return spread.join(offsets, part == F.col("__part")).withColumn(name, nth + F.col("__offset")).drop("__at", "__part", "__offset")

@@ -12,14 +12,27 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder made for a local session that has none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="weft-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """All that this session writes there."""
+    return f"{shared_dir(spark)}/weft-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path there that no other call gets."""
-    return f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex[:12]}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this session wrote there. Tables that results still read are among it, so the caller says when."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
