@@ -96,10 +96,13 @@ def test_packing(spark, odd, docs_of):
     distinct = {i: t for i, t in ODD if i is not None}
     docs = docs_of(distinct.items())
     ids = {i: np.array(library("word_bpe_49k.json").encode(t or "", add_special_tokens=False).ids + [2], "<u4") for i, t in distinct.items()}
-    packed = packing.pack(docs, path, 64)
+    packed = packing.pack(docs, path, 64, with_ids=True)
     fill = check_pieces(packed.collect(), ids, 64)
-    made = {r["sequence_id"]: r["ids"] for r in packing.sequences(docs, packed, path, 64).collect()}
+    made = {r["sequence_id"]: r["ids"] for r in packing.sequences(packed, 64).collect()}
     assert set(made) == set(fill)
+    for r in packed.collect():
+        own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert bytes(r["ids"]) == own.tobytes() and made[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == own.tolist()
     assert all(len(made[s]) == (n if n & (n - 1) == 0 else 64) for s, n in fill.items())
 
 

@@ -70,33 +70,33 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     return texts(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long" + ", ids binary" * with_ids)
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """Per piece: where it comes from and its place in a sequence."""
-    cut = written(pieces(docs, path, length, end_id), "pieces")
+def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """Per piece: where it comes from and its place in a sequence; with_ids: and its ids, little-endian unsigned 32-bit."""
+    cut = written(pieces(docs, path, length, end_id, with_ids), "pieces")
     groups = max(1, -(-cut.count() // GROUP))
     dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "row"), F.lit(groups)))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "row"], ascending=[False, True, True, True], na_position="first", ignore_index=True)
         pdf["bin"] = first_fit_decreasing(pdf["length"].to_numpy(), length)
         pdf["offset"] = pdf.groupby("bin")["length"].cumsum() - pdf["length"]
         pdf["sequence_id"] = pdf["group"] * (1 << 32) + pdf["bin"]
-        return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        return pdf[columns]
 
-    kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return dealt.repartition(groups, "group").groupBy("group").applyInPandas(run, kind)
 
 
-def sequences(docs: DataFrame, packed: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, pad: int = 0) -> DataFrame:
-    """sequence_id, ids (padded to length unless they are a power of two many). Ids of docs must not repeat."""
+def sequences(packed: DataFrame, length: int = LENGTH, pad: int = 0) -> DataFrame:
+    """packed: with ids. sequence_id, ids (padded to length unless they are a power of two many)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.frombuffer(b"".join(pdf.sort_values("offset")["ids"]), "<u4").astype(np.int32)
         short = 0 if len(ids) & (len(ids) - 1) == 0 else length - len(ids)
         return pd.DataFrame({"sequence_id": pdf["sequence_id"][:1], "ids": [np.pad(ids, (0, short), constant_values=pad)]})
 
-    ids = pieces(docs, path, length, end_id, with_ids=True).select("doc_id", "start", "ids")
-    return packed.join(ids, ["doc_id", "start"]).groupBy("sequence_id").applyInPandas(run, "sequence_id long, ids array<int>")
+    return packed.select("sequence_id", "offset", "ids").groupBy("sequence_id").applyInPandas(run, "sequence_id long, ids array<int>")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +104,5 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, path_of("word_bpe_49k.json"))
+    """All pieces, with their ids, from which `sequences` makes rows to train on."""
+    return pack(docs, path_of("word_bpe_49k.json"), with_ids=True)
