@@ -40,6 +40,8 @@ COPIES, MET, NEAR, BOTH = 4, 64, 12, 24
 #: LARGE texts or more isn't compared within itself again, if the members of all such are MEMBERS at most (else of larger ones only).
 SAMPLE, OFTEN, FREQUENT, LARGE, MEMBERS = 8, 3, 500_000, 8, 1_000_000
 LITTLE = 1e-6
+#: Of a bitmap that is broadcast: 16 MB.
+BITS = 1 << 27
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -48,10 +50,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashes(text: bytes, words: int = WORDS) -> tuple[int, np.ndarray]:
-    """A hash of the lower-cased words, and those of all shingles (fewer words: of the whole; none: none), made of their words' hashes."""
+def hashes(text: bytes, words: int = WORDS, asked: np.ndarray | None = None) -> tuple[int, np.ndarray | None]:
+    """A hash of the lower-cased words, and those of all shingles (fewer words: of the whole; none: none), made of their words' hashes.
+
+    asked: a bitmap of the classes whose shingles are wanted; for others None instead.
+    """
     w = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
     own = xxhash.xxh64_intdigest(b" ".join(w), 1)
+    if asked is not None and not asked[(own >> 3) & (len(asked) - 1)] >> (own & 7) & 1:
+        return own, None
     n, k = len(w), min(words, len(w))
     if not n:
         return own, np.empty(0, np.uint64)
@@ -92,17 +99,30 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, c long, fps array<long>")
 
 
-def shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """c, s: the class and its set of shingle hashes."""
+def bitmap(pairs: DataFrame) -> np.ndarray:
+    """Bytes of which the bits tell the classes that are in a pair; others may seem to be. At most BITS bits, however many pairs."""
+    bits = min(BITS, 1 << max(10, (16 * pairs.count()).bit_length()))
+    both = pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c")))
+    place, one = F.shiftright("c", 3).bitwiseAND(F.lit(bits // 8 - 1)), F.expr("shiftleft(1, CAST(c & 7 AS INT))")
+    table = both.select(place.alias("at"), one.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    out[table.column("at").to_numpy()] = table.column("bits").to_numpy()
+    return out
+
+
+def shingles(docs: DataFrame, pairs: DataFrame, words: int = WORDS) -> DataFrame:
+    """c, s: the classes that are in a pair (and a few others), each with its set of shingle hashes. Texts stay where they are."""
     small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(pairs))
 
     def run(batches):
         for b in batches:
-            both = [hashes(t, words) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            sets = [np.unique(h).view(np.int64) for _, h in both]
-            off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([c for c, _ in both], np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["c", "s"])
+            both = [hashes(t, words, shared.value) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            both = [(c, np.unique(h)) for c, h in both if h is not None]
+            if both:
+                off = np.cumsum([0, *(len(s) for _, s in both)]).astype(np.int32)
+                flat = np.concatenate([s for _, s in both]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([c for c, _ in both], np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["c", "s"])
 
     return texts(docs).select("text").mapInArrow(run, "c long, s array<long>")
 
@@ -272,11 +292,9 @@ def exact_candidates(docs: DataFrame, rooted: DataFrame, words: int, similarity:
     return pairs.distinct()
 
 
-def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the pairs (u, v) whose sets of shingles are of the similarity."""
-    asked = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct().join(classes.select("c", "doc_id"), "c")
-    of_asked = docs.join(asked.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = written(shingles(of_asked, words).dropDuplicates(["c"]), "shingles")
+    sets = written(shingles(docs, pairs, words).dropDuplicates(["c"]), "shingles")
     side = lambda k, f: sets.select(F.col("c").alias(k), F.col("s").alias(f))
     both = pairs.join(side("u", "x").hint("merge"), "u").join(side("v", "y").hint("merge"), "v")
     shared = F.size(F.array_intersect("x", "y"))
@@ -304,12 +322,12 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     cells = blocked(cells, "fp", "more", "c")
     pairs = cells.mapInArrow(lambda batches: cell_links(batches, NEAR, BOTH), "u long, v long")
     pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
-    close = similar(docs, classes, pairs, words, similarity)
+    close = similar(docs, pairs, words, similarity)
     of_root = lambda root: written(classes.select("c", "doc_id", "n").join(root, F.col("c") == F.col("u"), "left").select("c", "doc_id", "n", F.coalesce("root", "c").alias("root")), "rooted")
     root = written(components(close), "roots")
 
     missed = exact_candidates(docs, of_root(root), words, similarity).join(pairs, ["u", "v"], "left_anti")
-    more = similar(docs, classes, written(missed, "missed"), words, similarity)
+    more = similar(docs, written(missed, "missed"), words, similarity)
     rooted = of_root(written(components(root.select("u", F.col("root").alias("v")).unionByName(more)), "roots"))
     per_root = written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
     of_class = lookup(rooted.select("c", "root", F.col("n").alias("rows")), per_root, "root", classes.count())
