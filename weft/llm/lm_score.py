@@ -43,7 +43,7 @@ from .common import read, small_batches, texts, written
 KNOWN, LONGEST, HOT_WORDS = 200_000, 64, 1000
 LEAST, CLASSES = 256, 128
 CONTEXT, WIDTH = 3, 24
-NOISE, BATCH, RATE = 64, 8192, 0.5
+NOISE, BATCH, SCORED, RATE = 64, 8192, 16384, 0.5
 START_DOCS, START_TOKENS, START_PASSES, AVERAGED = 1000, 1 << 20, 6, 16
 END = b""
 FLUSH = 300_000
@@ -88,17 +88,13 @@ def digest(word: bytes) -> bytes:
     return hashlib.md5(word).digest()
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
-
-
-def runs(groups: np.ndarray):
-    """The places of each group that occurs."""
-    order = np.argsort(groups, kind="stable")
-    cuts = np.flatnonzero(np.diff(groups[order])) + 1
-    for at in np.split(order, cuts):
-        if len(at):
-            yield int(groups[at[0]]), at
+def by_group(then: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by group, and of each group that occurs where it begins and ends in that."""
+    group = then // size
+    order = np.argsort(group.astype(np.uint16 if group.max(initial=0) < 1 << 16 else np.uint32), kind="stable")
+    group = group[order]
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+    return order, [(int(group[i]), i, j) for i, j in zip(cuts, cuts[1:]) if i < j]
 
 
 class Model:
@@ -128,6 +124,9 @@ class Model:
         self.r, self.top, self.c = (parts[k].reshape(-1, WIDTH) for k in (0, 3, 5))
         self.q, self.b, self.top_b = parts[1].reshape(self.groups, self.size, WIDTH), parts[2].reshape(self.groups, self.size), parts[4]
         self.none = self.p2 == 0  # places without a symbol
+        # Of the noise: its weight, and the weight's logarithm.
+        self.k1, self.k2 = NOISE * self.p1, NOISE * self.p2
+        self.log_k1, self.log_k2 = np.log(np.maximum(self.k1, 1e-30)), np.log(np.maximum(self.k2, 1e-30))
 
     def context(self, before: np.ndarray) -> np.ndarray:
         h = self.r[before[0]] * self.c[0]
@@ -137,51 +136,67 @@ class Model:
 
     def log10(self, before: np.ndarray, then: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of symbols after their contexts."""
-        out = np.empty(len(then))
-        b = np.where(self.none, np.float32(-1e30), self.b)
-        for i in range(0, len(then), BATCH):
-            h, group, place = self.context(before[:, i : i + BATCH]), then[i : i + BATCH] // self.size, then[i : i + BATCH] % self.size
-            lp = self._own(h @ self.top.T + self.top_b, group)
-            for g, at in runs(group):
-                lp[at] += self._own(h[at] @ self.q[g].T + b[g], place[at])
-            out[i : i + BATCH] = lp
+        out, b = np.empty(len(then)), np.where(self.none, np.float32(-1e30), self.b)
+        longest, largest = np.sqrt((self.q**2).sum(2).max(1)), np.abs(np.where(self.none, 0, self.b)).max(1)
+        longest_1, largest_1 = np.sqrt((self.top**2).sum(1).max()), np.abs(self.top_b).max()
+        for i in range(0, len(then), SCORED):
+            order, groups = by_group(then[i : i + SCORED], self.size)
+            order += i
+            h, of = self.context(before[:, order]), then[order]
+            far, place = np.sqrt((h * h).sum(1).max()), of % self.size
+            lp = self._own(h @ self.top.T + self.top_b, of // self.size, far * longest_1 + largest_1 < 80)
+            for g, x, y in groups:
+                lp[x:y] += self._own(h[x:y] @ self.q[g].T + b[g], place[x:y], far * longest[g] + largest[g] < 80)
+            out[order] = lp
         return out / LN10
 
     @staticmethod
-    def _own(s: np.ndarray, which: np.ndarray) -> np.ndarray:
-        s -= s.max(1, keepdims=True)
+    def _own(s: np.ndarray, which: np.ndarray, small: bool) -> np.ndarray:
+        """small: no power is too large."""
+        if not small:
+            s -= s.max(1, keepdims=True)
         own = s[np.arange(len(s)), which]
-        return own - np.log(np.exp(s, out=s).sum(1))
+        return own - np.log(np.exp(s, out=s) @ np.ones(s.shape[1], np.float32))
 
     @staticmethod
-    def _slope(s: np.ndarray, which: np.ndarray, noise: np.ndarray) -> np.ndarray:
-        """Of the loss by s: of the true one against NOISE draws of noise, in expectation."""
-        weight = NOISE * noise
-        x = sigmoid(s - np.log(np.maximum(weight, 1e-30)))
-        d = x * weight
+    def _slope(s: np.ndarray, which: np.ndarray, weight: np.ndarray, log_weight: np.ndarray) -> np.ndarray:
+        """Of the loss by s, which is overwritten: of the true one against NOISE draws of noise, in expectation."""
+        np.subtract(log_weight, s, out=s)
+        with np.errstate(over="ignore"):  # then the slope is nothing
+            np.exp(s, out=s)
+        s += 1
+        np.reciprocal(s, out=s)
         rows = np.arange(len(s))
-        d[rows, which] += x[rows, which] - 1
-        return d
+        own = s[rows, which] - 1
+        s *= weight
+        s[rows, which] += own
+        return s
 
     def fit(self, chunks) -> int:
         """AdaGrad steps on the expected NCE loss of groups and of symbols in them; the number of symbols seen."""
-        n, grown, at = 0, np.full(len(self.flat), 1e-2, np.float32), np.arange(WIDTH)
+        n, grown = 0, np.full(len(self.flat), 1e-2, np.float32)
+        short = np.uint16 if len(self.r) <= 1 << 16 else np.uint32  # short numbers are sorted fast
         for before, then in chunks:
             n += len(then)
-            h, group, place = self.context(before), then // self.size, then % self.size
-            d = self._slope(h @ self.top.T + self.top_b, group, self.p1)
+            order, groups = by_group(then, self.size)
+            before, then = before[:, order], then[order]
+            h, place = self.context(before), then % self.size
+            d = self._slope(h @ self.top.T + self.top_b, then // self.size, self.k1, self.log_k1)
             dtop, dtop_b, dh = d.T @ h, d.sum(0), d @ self.top
             dq, db = np.zeros_like(self.q), np.zeros_like(self.b)
-            for g, own in runs(group):
-                x = h[own]
-                d = self._slope(x @ self.q[g].T + self.b[g], place[own], self.p2[g])
-                dq[g], db[g] = d.T @ x, d.sum(0)
-                dh[own] += d @ self.q[g]
-            dr, dc = np.zeros(self.r.size), np.empty((CONTEXT, WIDTH))
+            for g, x, y in groups:
+                d = self._slope(h[x:y] @ self.q[g].T + self.b[g], place[x:y], self.k2[g], self.log_k2[g])
+                dq[g], db[g] = d.T @ h[x:y], np.ones(y - x, np.float32) @ d
+                dh[x:y] += d @ self.q[g]
+            dr, dc = np.zeros_like(self.r), np.empty((CONTEXT, WIDTH), np.float32)
             for j in range(CONTEXT):
-                dr += np.bincount((before[j][:, None] * WIDTH + at).ravel(), (self.c[j] * dh).ravel(), self.r.size)
-                dc[j] = (dh * self.r[before[j]]).sum(0)
-            d = np.concatenate([dr.astype(np.float32), dq.ravel(), db.ravel(), dtop.ravel(), dtop_b, dc.ravel().astype(np.float32)]) / np.float32(len(then))
+                order = np.argsort(before[j].astype(short), kind="stable")
+                at = before[j][order]
+                begin = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+                dr[at[begin]] += np.add.reduceat(dh[order], begin) * self.c[j]
+                dc[j] = np.einsum("nw,nw->w", dh, self.r[before[j]])
+            d = np.concatenate([dr.ravel(), dq.ravel(), db.ravel(), dtop.ravel(), dtop_b, dc.ravel()])
+            d /= np.float32(len(then))
             grown += d * d
             self.flat -= np.float32(RATE) * d / np.sqrt(grown)
         return n
