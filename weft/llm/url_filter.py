@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, read, written
+from .common import column, read
 
 PERIOD = 64
 #: A key is hot if it is at least one in HOT_KEYS of all captures' keys, and HOT_ROWS of them.
@@ -58,10 +58,11 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     asked = captures.distinct().withColumn("key", F.explode(keys(F.col("url")))).withColumn("period", period(F.col("day")))
     hot = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     least = max(HOT_ROWS, -(-(hot.agg(F.sum("n")).head()[0] or 0) // HOT_KEYS))
-    hot = F.broadcast(written(hot.where(F.col("n") >= least).select("key", F.lit(True).alias("hot")), "hot-keys"))
+    hot = [r["key"] for r in hot.where(F.col("n") >= least).select("key").collect()]
     # A hot key's captures are dealt among SALTS, each of which gets its intervals: such keys are HOT_KEYS at most.
-    asked = asked.join(hot, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
-    held = held.join(hot, "key", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    asked = asked.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).otherwise(0))
+    held = held.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     met = asked.join(held.hint("merge"), ["key", "period", "salt"]).where((F.col("begin") <= F.col("day")) & (F.col("day") < F.col("end")))
     deciding = met.groupBy("id", "url", "day").agg(F.max(F.struct(F.length("key").alias("size"), "key", "begin", "action")).alias("x"))
     deciding = deciding.select(F.col("id").alias("_id"), F.col("url").alias("_url"), F.col("day").alias("_day"), "x.key", F.col("x.begin").alias("since"), "x.action")
