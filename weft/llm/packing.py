@@ -24,6 +24,8 @@ from .common import read, small_batches, texts, written
 from .tokens import encoder, path_of
 
 LENGTH, END_ID, GROUP = 4096, 2, 4096
+#: Pieces that bring their ids along: at most 16 MB a group.
+GROUP_WITH_IDS = 1024
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -73,7 +75,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Per piece: where it comes from and its place in a sequence; with_ids: and its ids, little-endian unsigned 32-bit."""
     cut = written(pieces(docs, path, length, end_id, with_ids), "pieces")
-    groups = max(1, -(-cut.count() // GROUP))
+    n = cut.count()
+    tasks, groups = max(1, -(-n // GROUP)), max(1, -(-n // (GROUP_WITH_IDS if with_ids else GROUP)))
     dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "row"), F.lit(groups)))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
@@ -85,7 +88,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID,
         return pdf[columns]
 
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return dealt.repartition(groups, "group").groupBy("group").applyInPandas(run, kind)
+    return dealt.repartition(tasks, "group").groupBy("group").applyInPandas(run, kind)
 
 
 def sequences(packed: DataFrame, length: int = LENGTH, pad: int = 0) -> DataFrame:

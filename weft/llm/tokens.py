@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of remembered cuts and ids, in each of two tables.
-REMEMBERED = 40 << 20
+REMEMBERED = 32 << 20
 #: Before one space between two characters that aren't white space, the byte-level rule always starts a piece.
 ONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: A superset of what either library takes for white space, for the regular expressions of Arrow.
