@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, id_files, lm_score, packing, quality, simhash, toxicity, url_filter
+from . import chat, decontaminate, exact_dedup, hard_negatives, id_files, licenses, lm_score, packing, quality, simhash, toxicity, url_filter, vector_codes
 
 
 def queries() -> dict:
@@ -17,8 +17,14 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_id_files": id_files.op9_id_files,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_license_scan": licenses.op13_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op3_chat_format": chat.ORACLE, "op10_url_filter": url_filter.ORACLE}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE, "op3_chat_format": chat.ORACLE, "op10_url_filter": url_filter.ORACLE,
+        "op11_hard_negatives": hard_negatives.ORACLE, "op12_vector_codes": vector_codes.ORACLE,
+    }
