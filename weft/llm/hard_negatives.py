@@ -95,20 +95,31 @@ class Block:
         k = stages[0]
         part = self.y[a, :k] @ y[:, :k].T
         room = np.outer(self.norms[a, 0], norms[:, 0]) + slack * np.outer(self.norms[a, -1], norms[:, -1])
-        i, j = np.nonzero(wanted & (part + room >= low[:, None]) & (part - room <= high[:, None]))
+        i, j = np.nonzero(wanted & self.meets(part, room, low[:, None], high[:, None]))
         part = part[i, j]
         for at, (k, to) in enumerate(zip(stages, stages[1:]), 1):
             for s in range(0, len(i), PAIRS):
                 x = slice(s, s + PAIRS)
                 part[x] += np.einsum("ij,ij->i", self.y[a[i[x]], k:to], y[j[x], k:to])
             room = self.norms[a[i], at] * norms[j, at] + slack * self.norms[a[i], -1] * norms[j, -1]
-            on = (part + room >= low[i]) & (part - room <= high[i])
+            on = self.meets(part, room, low[i], high[i])
             i, j, part = i[on], j[on], part[on]
         return a[i], j
 
+    @staticmethod
+    def meets(part: np.ndarray, room: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether a score within room of part may lie from low to high; a score beyond a long counts as the nearest long."""
+        return (np.maximum(part + room, -(2.0**63)) >= low) & (np.minimum(part - room, 2.0**63) <= high)
+
     def search(self, batches, keep: int):
         """The first `keep` of each anchor and slot, of all batches."""
-        held, floor = np.empty((0, 5), np.int64), self.low.copy()
+        floor, new = self.low.copy(), [np.empty((0, 5), np.int64)]
+
+        def merged() -> None:
+            new[:] = [held := first(np.concatenate(new), keep)]
+            full = np.flatnonzero((held[keep - 1 :, :2] == held[: len(held) - keep + 1, :2]).all(1)) + keep - 1
+            floor[held[full, 0], held[full, 1]] = held[full, 2]
+
         for b in batches:
             labels, ids = b.column("label").to_numpy(), b.column("vec_id")
             none = ids.is_null().to_numpy(zero_copy_only=False)
@@ -124,14 +135,13 @@ class Block:
                     a, j = self.may(a, wanted, y[rows], norms[rows], floor[a].min(1).astype(float), self.high[a].max(1).astype(float))
                     j = rows[j]
                     score = np.concatenate([np.empty(0, np.int64), *(inner(self.q[a[x : x + PAIRS]], q[j[x : x + PAIRS]]) for x in range(0, len(a), PAIRS))])
-                    new = [held]
                     for slot in range(self.low.shape[1]):
                         on = (score >= floor[a, slot]) & (score <= self.high[a, slot])
                         new.append(np.stack([a[on], np.full(on.sum(), slot), score[on], none[j[on]], ids[j[on]]], 1))
-                    if sum(map(len, new[1:])):
-                        held = first(np.concatenate(new), keep)
-                        full = np.flatnonzero((held[keep - 1 :, :2] == held[: len(held) - keep + 1, :2]).all(1)) + keep - 1
-                        floor[held[full, 0], held[full, 1]] = held[full, 2]
+                    if sum(map(len, new[1:])) > max(PAIRS, len(new[0])):
+                        merged()
+        merged()
+        held = new[0]
         yield pa.RecordBatch.from_arrays(
             [pa.array(self.ids[held[:, 0]]), pa.array(held[:, 1].astype(np.int32)), pa.array(held[:, 2]), pa.array(held[:, 4], mask=held[:, 3].astype(bool))], ["anchor_id", "slot", "score", "id"]
         )
