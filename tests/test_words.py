@@ -1,17 +1,21 @@
 """Words, pairs, training and encoding, by hand-made cases and properties."""
 
+import hashlib
 import json
 import time
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weft.functions.words import merged, segmented, unsegmented, words
-from weft.operators import counts, encode, train
+from weft.operators import counts, encode, shards, train
 from weft.operators.encode import Model
+from weft.plans import word_queries
 from weft.sources import model_files
 
 WORDS = [
@@ -62,9 +66,9 @@ def test_overlaps_count(spark):
 
 def test_training_ends(spark):
     df = spark.createDataFrame([("ab", 1)], "word string, freq long")
-    assert train.train_distributed(df, 10) == [("a", "b", 1), ("ab", "</w>", 1)] == train.learn(["ab"], [1], 10)
-    assert train.train_distributed(df, 0) == [] == train.learn(["ab"], [1], 0)
-    assert train.train_distributed(df.limit(0), 5) == [] == train.learn([], [], 5)
+    assert train.train_sharded(df, 10) == [("a", "b", 1), ("ab", "</w>", 1)] == train.learn(["ab"], [1], 10)
+    assert train.train_sharded(df, 0) == [] == train.learn(["ab"], [1], 0)
+    assert train.train_sharded(df.limit(0), 5) == [] == train.learn([], [], 5)
 
 
 VOCABULARY = st.dictionaries(st.text("abc", min_size=1, max_size=7), st.integers(1, 5), min_size=1, max_size=12)
@@ -76,23 +80,74 @@ def test_learn_is_brute_force(freqs, n):
     assert train.learn(list(freqs), list(freqs.values()), n) == brute(freqs, n)
 
 
-@settings(max_examples=300, deadline=None)
-@given(VOCABULARY)
-def test_sure_prefix_is_what_follows(freqs):
-    c = Counter()
-    for w, n in freqs.items():
-        s = [*w, "</w>"]
-        for p in zip(s, s[1:]):
-            c[p] += n
-    sure = train.sure_prefix([(*p, c[p]) for p in sorted(c, key=lambda p: (-c[p], p))], set())
-    assert sure and sure == brute(freqs, len(sure))
-
-
 def test_tiers_agree(spark):
     text = "the cat sat on the mat that the other cats had sat on; rather than the hats"
     c = counts.word_counts(spark.createDataFrame([(text,)], "text string"))
-    rows = [(r["l"], r["r"], r["n"]) for r in train.train(c, 30, few=0).orderBy("rank").collect()]
-    assert train.train_distributed(c, 30) == rows == brute(Counter(text.replace(";", "").split()), 30)
+    rows = [(r["l"], r["r"], r["n"]) for r in train.train_in_one_task(c, 30).orderBy("rank").collect()]
+    assert train.train_sharded(c, 30) == rows == brute(Counter(text.replace(";", "").split()), 30)
+
+
+@settings(max_examples=300, deadline=None)
+@given(VOCABULARY, st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3)), max_size=8))
+def test_deltas_are_differences_of_counts(freqs, rules):
+    """Any rules, known pairs or not: the counts of all pairs before and after differ by the deltas."""
+
+    def counted(shard):
+        return Counter({(int(a), int(b)): int(n) for a, b, n in zip(*shard.pairs())})
+
+    s = [x for w in freqs for x in [*("abc".index(c) for c in w), 3, shards.NONE]]
+    shard = shards.Shard(np.array(s, np.int32).tobytes(), np.array(list(freqs.values()), np.int64).tobytes())
+    plain, named = [[*("abc".index(c) for c in w), 3] for w in freqs], 4
+    for a, b in rules:
+        before = counted(shard)
+        for l, r, n in shard.merge(a, b, named, deltas=True):
+            for x in zip(l.tolist(), r.tolist(), n.tolist()):
+                before[x[:2]] += x[2]
+        after = counted(shard)
+        assert {k: v for k, v in before.items() if v} == after
+        for w in plain:
+            i = 0
+            while i + 1 < len(w):
+                if w[i] == a and w[i + 1] == b:
+                    w[i : i + 2] = [named]
+                i += 1
+        again = shards.Shard(*shard.row())
+        assert again.s.tolist() == [x for w in plain for x in [*w, shards.NONE]] and counted(again) == after
+        named += 1
+
+
+@pytest.mark.parametrize("held, guessed, rewrite", [(200_000, 64, 128), (3, 64, 4), (1, 5, 1), (8, 1, 1000)])
+def test_sharded_is_brute_force(spark, monkeypatch, held, guessed, rewrite):
+    """However few counts the driver holds, pairs it tries, and rules it keeps before shards are written."""
+    monkeypatch.setattr(train, "GUESSED", guessed)
+    monkeypatch.setattr(train, "REWRITE", rewrite)
+    freqs = {"abcabc": 9, "bcabca": 7, "aaaaaaa": 3, "aaaa": 5, "ab": 30, "bc": 29, "cab": 11, "abab": 2, "xyz": 4, "bcbcbc": 6, "ccc": 2, "aab": 5}
+    c = spark.createDataFrame(list(freqs.items()), "word string, freq long")
+    t = train.Trainer(c, held=held, shard=20)
+    while t.step(14 - len(t.rules)) and len(t.rules) < 14:
+        pass
+    assert t.rules == brute(freqs, 14) and t.state.count() > 3
+
+    class Every(set):
+        def __contains__(self, x):
+            return True
+
+    # As if every symbol existed before it was made, which real words seldom do: pairs that the driver doesn't hold are asked for.
+    t = train.Trainer(c, held=held, shard=20)
+    t.exist = Every()
+    while t.step(14 - len(t.rules)) and len(t.rules) < 14:
+        pass
+    assert t.rules == brute(freqs, 14)
+
+
+def test_shards_stay_small_as_words_grow(spark):
+    """Ten times as many words are more shards, not larger ones; so what a task holds stays the same."""
+    sizes = []
+    for n in (2_000, 20_000):
+        c = spark.range(n).select(F.hex(F.xxhash64("id")).alias("word"), F.lit(1).cast("long").alias("freq"))
+        t = train.Trainer(c, shard=5_000)
+        sizes.append([r["n"] // 4 for r in t.state.select(F.length("symbols").alias("n")).collect()])
+    assert max(sizes[0]) < 5_100 and max(sizes[1]) < 5_100 and len(sizes[1]) > 7 * len(sizes[0])
 
 
 @settings(max_examples=200, deadline=None)
@@ -175,14 +230,65 @@ def test_a_very_long_word_takes_seconds():
     assert not m.memory
 
 
-def test_production_rules_are_a_plain_trainers(spark):
-    """4,500 merges over all words of a table, or until no pair is left, by the kernel and by counting all pairs again."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    few = counts.word_counts(docs).where("freq >= 4")
-    freqs = {r["word"]: r["freq"] for r in few.collect()}
-    got = [(r["l"], r["r"], r["n"]) for r in train.train(few).orderBy("rank").collect()]
-    want = brute(freqs, 400)
-    assert got[:400] == want and len(got) > 1000
+def plain_rules(freqs, n):
+    """One merge after the other; for each pair the words that hold it."""
+    split, c, holders, rules = {w: [*w, "</w>"] for w in freqs}, Counter(), defaultdict(set), []
+
+    def add(w, sign):
+        for p in zip(split[w], split[w][1:]):
+            c[p] += sign * freqs[w]
+            if not c[p]:
+                del c[p]
+            holders[p].add(w)
+
+    for w in split:
+        add(w, 1)
+    while len(rules) < n and (top := max(c.values(), default=0)):
+        best = min(p for p, x in c.items() if x == top)
+        rules.append((*best, top))
+        for w in list(holders.pop(best)):
+            add(w, -1)
+            s, i = split[w], 0
+            while i + 1 < len(s):
+                if (s[i], s[i + 1]) == best:
+                    s[i : i + 2] = [best[0] + best[1]]
+                i += 1
+            add(w, 1)
+    return rules
+
+
+def test_production_queries_are_plain_programs(spark, monkeypatch):
+    """All 4,500 rules of all words of a table, by both tiers, and all its texts encoded by them, as tokens and as ids."""
+    folder = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    found = {i: regex.findall(r"[\p{L}\p{N}]+(?:['\-][\p{L}\p{N}]+)*'?", t) for i, t in docs.items()}
+    freqs = Counter(w for ws in found.values() for w in ws)
+    want = plain_rules(freqs, word_queries.PRODUCTION)
+    assert len(want) == 4500 and want[:200] == brute(freqs, 200)
+    got = word_queries.QUERIES["bpe_train_production"](spark, folder).orderBy("rank").collect()
+    assert [(r["l"], r["r"], r["n"]) for r in got] == want and [r["rank"] for r in got] == list(range(4500))
+    one = train.train_in_one_task(counts.word_counts(spark.read.parquet(f"{folder}/documents.parquet")), 4500)
+    assert [(r["l"], r["r"], r["n"]) for r in one.orderBy("rank").collect()] == want
+
+    # The other two learn the same rules; here they get those that were just compared.
+    monkeypatch.setattr(train, "train", lambda words_, merges: spark.createDataFrame(got, train.RULES) if merges == 4500 else None)
+    ranks, known = {(a, b): k for k, (a, b, _) in enumerate(want)}, {}
+    for w in freqs:
+        s = [*w, "</w>"]
+        while (best := min(zip(s, s[1:]), key=lambda p: ranks.get(p, 9999))) in ranks if len(s) > 1 else False:
+            i = 0
+            while i + 1 < len(s):
+                if (s[i], s[i + 1]) == best:
+                    s[i : i + 2] = [best[0] + best[1]]
+                i += 1
+        known[w] = s
+    digest = lambda x: hashlib.md5(" ".join(map(str, x)).encode()).hexdigest()
+    tokens = {i: [t for w in ws for t in known[w]] for i, ws in found.items()}
+    texts = {r["doc_id"]: (r["n_tokens"], r["tokens_md5"]) for r in word_queries.QUERIES["encode_documents_production"](spark, folder).collect()}
+    assert texts == {i: (len(t), digest(t)) for i, t in tokens.items()}
+    number = {t: k + 4 for k, t in enumerate(sorted({c for w in freqs for c in w} | {"</w>"} | {a + b for a, b, _ in want}))}
+    texts = {r["doc_id"]: (r["n_ids"], r["ids_md5"]) for r in word_queries.QUERIES["token_ids_production"](spark, folder).collect()}
+    assert texts == {i: (len(t), digest(number[x] for x in t)) for i, t in tokens.items()}
 
 
 def test_words_of_a_pair(spark):

@@ -1,6 +1,13 @@
 """Learning byte-pair merge rules: the most frequent adjacent pair is merged again and again.
 
 Of pairs with equal counts the first in byte order is taken. Training stops quietly when no pair is left.
+
+Words lie in shards that keep their symbols from job to job (`shards`). The driver keeps a table of the counts of frequent pairs,
+which signed deltas keep exact. A job gets the rules since the shards were last written and up to GUESSED pairs, the most
+frequent in order, which may or may not be what comes next; it returns what merging each of them, one after the other, changes. The
+driver goes along: as long as the next guess is the most frequent pair of the table as changed so far, it is the
+next rule and its deltas are taken; at the first that isn't, the rest is dropped. So every rule is the one that training one by one
+takes, the first guess always holds, and some twenty rules share a job.
 """
 
 from __future__ import annotations
@@ -12,59 +19,143 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.words import merged_all, segmented, symbols, unsegmented
+from ..functions.words import WORD_END
 from ..ship import ship
-from ..store import written
-from .counts import pair_counts
+from ..store import discard, scratch, written
+from . import shards
+from .counts import alphabet
 
 RULES = "rank int, l string, r string, n long"
-#: Candidates that one job brings to the driver, and rules after which the segmented words are written anew.
-CANDIDATES, REWRITE = 64, 200
-#: Symbols of distinct words that one task may hold: about 60 bytes each, so half a gigabyte.
+#: Pairs that a job tries (twice as many as held the last time and LEAST more, GUESSED at most), rules after which the shards are written
+#: anew, and pairs whose counts the driver holds.
+GUESSED, LEAST, REWRITE, HELD = 64, 8, 128, 200_000
+#: Symbols of distinct words that one task may hold.
 KERNEL_PLACES = 8_000_000
 
 
-def sure_prefix(ranked: list[tuple[str, str, int]], made: set[str]) -> list[tuple[str, str, int]]:
-    """Of the ranked pairs, those that one-by-one training would take next, in that order.
+class Trainer:
+    def __init__(self, counted: DataFrame, end: str = WORD_END, held: int = HELD, shard: int = shards.SHARD):
+        self.spark, self.held, self.jobs = counted.sparkSession, held, 0
+        self.names = sorted({r["symbol"] for r in alphabet(counted).collect()} | {end})
+        self.number = {x: k for k, x in enumerate(self.names)}
+        self.exist = set(self.number.values())
+        self.rules: list[tuple[str, str, int]] = []
+        self.pending: list[tuple[int, int, int]] = []
+        self.path, self.guessed = None, LEAST
+        self._write(shards.made(counted, self.number, end, shard))
+        self._recount()
 
-    Merging (a, b) changes only counts of pairs that hold a or b, and a new pair (x, ab) or (ab, y) is at most as frequent
-    as (x, a) or (b, y). So the next pair is sure if it shares no symbol with those taken and its count is above that of
-    the first pair that does. A pair of equal symbols makes pairs bounded only by itself, and one that makes a symbol made
-    before adds to pairs that exist: either is the last taken. made gets the symbols that the taken pairs make.
-    """
-    taken, held = [], set()
-    for k, (left, right, n) in enumerate(ranked):
-        if {left, right} & held:
-            break
-        clash = next((m for a, b, m in ranked[k + 1 :] if {a, b} & held), 0 if len(ranked) < CANDIDATES else ranked[-1][2])
-        if taken and n <= clash:
-            break
-        taken.append((left, right, n))
-        held |= {left, right}
-        again = left + right in made
-        made.add(left + right)
-        if left == right or again:
-            break
-    return taken
-
-
-def train_distributed(counted: DataFrame, n_merges: int) -> list[tuple[str, str, int]]:
-    """counted: word, freq. Every job counts all pairs and brings the top few to the driver; sure ones are merged together."""
-    split = written(counted.select("freq", segmented(symbols(F.col("word"))).alias("s")), "split")
-    rules: list[tuple[str, str, int]] = []
-    pending: list[tuple[str, str]] = []
-    made: set[str] = set()
-    while len(rules) < n_merges:
-        now = split.select("freq", unsegmented(merged_all(F.col("s"), pending)).alias("symbols"))
-        ranked = [(x["l"], x["r"], x["n"]) for x in pair_counts(now).orderBy(F.desc("n"), "l", "r").limit(CANDIDATES).collect()]
-        sure = sure_prefix(ranked, made)[: n_merges - len(rules)]
-        if not sure:
-            break
-        rules += sure
-        pending += [(a, b) for a, b, _ in sure]
-        if len(pending) >= REWRITE:
-            split, pending = written(split.select("freq", merged_all(F.col("s"), pending).alias("s")), "split"), []
-    return rules
+    def _write(self, state: DataFrame) -> None:
+        before, self.path = self.path, scratch(self.spark, "shards")
+        state.write.parquet(self.path)
+        self.state, self.pending = self.spark.read.schema(shards.STATE).parquet(self.path), []
+        self.many = len(self.state.inputFiles()) > shards.FEW
+        self.jobs += 1
+        if before:
+            discard(self.spark, before)
+
+    def _put(self, pair: tuple[int, int], n: int) -> None:
+        self.count[pair] = n
+        heapq.heappush(self.heap, (-n, self.names[pair[0]], self.names[pair[1]]))
+
+    def _recount(self) -> None:
+        """The table of the most frequent pairs, from all shards. All pairs of at least `floor` are in it."""
+        found = shards.pair_sums(self.state, self.pending).orderBy(F.desc("n")).limit(self.held + 1).toArrow()
+        n = found.column("n").to_pylist()
+        self.floor = n[-1] + 1 if len(n) > self.held else 1
+        self.count: dict[tuple[int, int], int] = {}
+        self.heap: list[tuple[int, str, str]] = []
+        for a, b, x in zip(found.column("l").to_pylist(), found.column("r").to_pylist(), n):
+            if x >= self.floor:
+                self._put((a, b), x)
+        self.jobs += 1
+        if not self.count and n:  # more pairs of one count than are held: hold more
+            self.held *= 2
+            self._recount()
+
+    def _best(self) -> tuple[int, int] | None:
+        """The most frequent pair, if the table tells."""
+        while self.heap:
+            less, left, right = self.heap[0]
+            pair = self.number[left], self.number[right]
+            n = self.count.get(pair, 0)
+            if n == -less:
+                return pair if n >= self.floor else None
+            heapq.heappop(self.heap)  # an old count: the present one goes in
+            if n >= self.floor:
+                heapq.heappush(self.heap, (-n, left, right))
+        return None
+
+    def _guesses(self, most: int) -> list[tuple[int, int]]:
+        out, taken = [], []
+        while len(out) < most and (pair := self._best()):
+            if not out or pair != out[-1]:
+                out.append(pair)
+            taken.append(heapq.heappop(self.heap))
+        for x in taken:
+            heapq.heappush(self.heap, x)
+        return out
+
+    def _change(self, changes: list[tuple], again: bool) -> list[tuple[int, int]]:
+        """The table after the deltas of a rule. Returns the pairs that it can't tell: whose new symbol existed, and which it hadn't."""
+        unknown = []
+        for l, r, n in changes:
+            pair = (l, r)
+            if pair in self.count:
+                if n > 0:
+                    self._put(pair, self.count[pair] + n)
+                else:
+                    self.count[pair] += n  # its entry in the heap is old now
+                    if not self.count[pair]:
+                        del self.count[pair]
+            elif n > 0:
+                if again and self.floor > 1:
+                    unknown.append(pair)
+                elif n >= self.floor:
+                    self._put(pair, n)
+        return unknown
+
+    def step(self, most: int) -> bool:
+        """One job, and one rule at least; false if no pair is left."""
+        if self._best() is None and self.floor > 1:
+            self._recount()
+        if self._best() is None:
+            return False
+        if len(self.pending) >= REWRITE:
+            self._write(shards.applied(self.state, self.pending))
+        steps = []
+        for a, b in self._guesses(min(most, self.guessed)):
+            name = self.names[a] + self.names[b]
+            if name not in self.number:
+                self.number[name] = len(self.names)
+                self.names.append(name)
+            steps.append((a, b, self.number[name]))
+        changes = shards.deltas(self.state, self.pending, steps, self.many)
+        self.jobs += 1
+        before = len(self.rules)
+        for rule, change in zip(steps, changes):
+            if self._best() != rule[:2]:
+                break
+            self.rules.append((self.names[rule[0]], self.names[rule[1]], self.count[rule[:2]]))
+            self.pending.append(rule)
+            unknown = self._change(change, rule[2] in self.exist)
+            self.exist.add(rule[2])
+            if unknown:
+                for r in shards.pair_sums(self.state, self.pending, unknown).where(F.col("n") >= self.floor).collect():
+                    self._put((r["l"], r["r"]), r["n"])
+                self.jobs += 1
+                break
+        self.guessed = min(GUESSED, 2 * (len(self.rules) - before) + LEAST)
+        return True
+
+
+def train_sharded(counted: DataFrame, n_merges: int) -> list[tuple[str, str, int]]:
+    """counted: word, freq. Rules (l, r, n), learned from shards of all words."""
+    trainer = Trainer(written(counted.select("word", "freq"), "counted"))
+    while len(trainer.rules) < n_merges and trainer.step(n_merges - len(trainer.rules)):
+        pass
+    discard(trainer.spark, trainer.path)
+    return trainer.rules
 
 
 def learn(words: list[str], freqs: list[int], n_merges: int, end: str = "</w>") -> list[tuple[str, str, int]]:
@@ -142,7 +233,7 @@ def places():
 def train_by(counted: DataFrame, by: str, n_merges: int) -> DataFrame:
     """counted: by, word, freq. by and its rules: groups are learned side by side, each in one task.
 
-    Groups with more symbols in distinct words than a task may hold are learned by train_distributed, one after the other.
+    Groups with more symbols in distinct words than a task may hold are learned from shards, one after the other.
     """
     spark = counted.sparkSession
     ship(spark)
@@ -162,15 +253,18 @@ def train_by(counted: DataFrame, by: str, n_merges: int) -> DataFrame:
         small = small.where(~F.col(by).eqNullSafe(F.lit(value)))
     out = small.groupBy(by).applyInPandas(kernel, f"`{by}` {kind}, {RULES}")
     for value in large:
-        rules = train_distributed(counted.where(F.col(by).eqNullSafe(F.lit(value))), n_merges)
+        rules = train_sharded(counted.where(F.col(by).eqNullSafe(F.lit(value))), n_merges)
         rows = [(value, k, a, b, n) for k, (a, b, n) in enumerate(rules)]
         out = out.unionByName(spark.createDataFrame(rows, f"`{by}` {kind}, {RULES}"))
     return out
 
 
-def train(counted: DataFrame, n_merges: int = 4500, few: int = 0) -> DataFrame:
-    """counted: word, freq. Rules (rank, l, r, n): by jobs over all words for at most few merges or many words, else in one task."""
-    if n_merges <= few or (counted.agg(places().alias("n")).head()["n"] or 0) > KERNEL_PLACES:
-        rules = train_distributed(counted, n_merges)
-        return counted.sparkSession.createDataFrame([(k, a, b, n) for k, (a, b, n) in enumerate(rules)], RULES)
+def train(counted: DataFrame, n_merges: int = 4500) -> DataFrame:
+    """counted: word, freq. Rules (rank, l, r, n), learned from shards of all words."""
+    rules = train_sharded(counted, n_merges)
+    return counted.sparkSession.createDataFrame([(k, a, b, n) for k, (a, b, n) in enumerate(rules)], RULES)
+
+
+def train_in_one_task(counted: DataFrame, n_merges: int = 4500) -> DataFrame:
+    """The same by one task, if it may hold all words."""
     return train_by(counted.withColumn("all", F.lit(0)), "all", n_merges).drop("all")

@@ -159,7 +159,7 @@ QUERIES = {
     "batch_widths": batch_widths,
     "shifted_targets": shifted_targets,
     "worker_chunks": lambda s, d: dataset.chunks(read(s, d, "documents").select("doc_id"), 7, "doc_id"),
-    "tf_schedule": lambda s, d: s.range(40).select(F.col("id").cast("int").alias("epoch"), F.round(teacher_forcing(F.col("id"), 1.0, 0.0, 5, 20), 9).alias("ratio")),
+    "tf_schedule": lambda s, d: _losses(s, d).select("run", "epoch", F.round(teacher_forcing(F.col("epoch"), 1.0, 0.0, 5, 20), 9).alias("ratio")),
     "early_stopping": lambda s, d: early_stopping(_losses(s, d), 0.01, 4, 3),
     "masked_ce": lambda s, d: dataset.masked_loss(_logits(s, d)).select("batch_id", F.round("loss", 6).alias("loss")),
     "epoch_loss": lambda s, d: dataset.epoch_loss(dataset.masked_loss(_logits(s, d))).select(F.round("loss", 6).alias("loss")),
@@ -207,7 +207,7 @@ SELECT a.pos, md5(src) AS src_md5, md5(tgt) AS tgt_md5 FROM a JOIN b ON a.pos =
     "batch_widths": f"WITH {_IDS} SELECT batch_id, count(*) AS n, max(sw) AS src_width, max(tw) AS tgt_width FROM pd GROUP BY batch_id",
     "shifted_targets": f"WITH {_IDS} SELECT pair_id, md5(array_to_string(tgt[1:len(tgt) - 1], ' ')) AS input_md5, md5(array_to_string(tgt[2:len(tgt)], ' ')) AS label_md5 FROM x",
     "worker_chunks": "SELECT doc_id, CAST(ntile(7) OVER (ORDER BY doc_id) AS INTEGER) AS chunk FROM documents",
-    "tf_schedule": "SELECT CAST(range AS INTEGER) AS epoch, CASE WHEN range <= 5 THEN 1.0::DOUBLE WHEN range >= 20 THEN 0.0::DOUBLE ELSE round(1.0::DOUBLE - (range - 5) / 15.0::DOUBLE, 9) END AS ratio FROM range(0, 40)",
+    "tf_schedule": "SELECT run, CAST(epoch AS INTEGER) AS epoch, CASE WHEN epoch <= 5 THEN 1.0::DOUBLE WHEN epoch >= 20 THEN 0.0::DOUBLE ELSE round(1.0::DOUBLE - (epoch - 5) / 15.0::DOUBLE, 9) END AS ratio FROM (SELECT label AS run, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS epoch FROM embeddings)",
     "early_stopping": """WITH RECURSIVE l AS (SELECT label AS run, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS epoch, round(abs(CAST(embedding[1] AS DOUBLE)), 6) AS loss FROM embeddings),
 s(run, epoch, best, best_epoch, bad, stop) AS (
   SELECT DISTINCT run, CAST(-1 AS BIGINT), CAST('inf' AS DOUBLE), CAST(NULL AS BIGINT), 0, FALSE FROM l

@@ -69,11 +69,11 @@ def _merge(s: DataFrame, best) -> DataFrame:
 
 
 def bpe_train_rules(spark, sf_dir):
-    return train.train(counted(spark, sf_dir), MERGES, few=MERGES)
+    return train.train(counted(spark, sf_dir), MERGES)
 
 
 def bpe_train_kernel(spark, sf_dir):
-    return train.train(counted(spark, sf_dir), MERGES)
+    return train.train_in_one_task(counted(spark, sf_dir), MERGES)
 
 
 def bpe_train_by_lang(spark, sf_dir):
@@ -255,13 +255,19 @@ def _words(where: str = "") -> str:
 _SYMBOLS = f"list_concat([substr(word, i, 1) for i in range(1, length(word) + 1)], ['{WORD_END}'])"
 
 
-def _with(where: str = "") -> str:
-    """Words, symbols, pairs; then the rules, one merge a step."""
+def _pairs(where: str = "") -> str:
+    """Words, symbols, and counts of adjacent pairs."""
     return f"""
 w AS MATERIALIZED ({_words(where)}),
 s AS (SELECT word, freq, {_SYMBOLS} AS symbols FROM w),
 p AS (SELECT word, freq, symbols[i] AS l, symbols[i + 1] AS r FROM (SELECT word, freq, symbols, unnest(range(1, len(symbols))) AS i FROM s)),
 pc AS (SELECT l, r, CAST(sum(freq) AS BIGINT) AS n FROM p GROUP BY l, r),
+"""
+
+
+def _with(where: str = "") -> str:
+    """Words, symbols, pairs; then the rules, one merge a step."""
+    return f"""{_pairs(where)}
 start AS (SELECT list(chr(1) || array_to_string(symbols, chr(2) || chr(1)) || chr(2) ORDER BY word) AS ws, list(freq ORDER BY word) AS fs FROM s),
 step(k, ws, fs, l, r, n) AS (
   SELECT 0, ws, fs, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM start
@@ -330,11 +336,8 @@ SQL = {
     "top_pairs_k": _sql(f"SELECT l, r, n FROM pc ORDER BY n DESC, l, r LIMIT {TOP}"),
     "pair_postings": _sql("SELECT l, r, CAST(count(DISTINCT word) AS BIGINT) AS n_words, md5(string_agg(DISTINCT word, ' ' ORDER BY word)) AS words_md5 FROM p GROUP BY l, r"),
     "words_of_pairs": _sql("SELECT DISTINCT p.l, p.r, p.word FROM p JOIN best ON p.l = best.l AND p.r = best.r", more=f"best AS MATERIALIZED (SELECT l, r FROM pc ORDER BY n DESC, l, r LIMIT {TOP}),"),
-    "merge_once": _sql(
-        "SELECT word, freq, replace(replace(replace(replace(chr(1) || array_to_string(symbols, chr(2) || chr(1)) || chr(2), x.a, x.b), chr(2) || chr(1), ' '), chr(1), ''), chr(2), '') AS merged FROM s CROSS JOIN x",
-        more="""best AS MATERIALIZED (SELECT arg_min({'l': l, 'r': r}, {'m': -n, 'l': l, 'r': r}) AS y FROM pc),
-x AS MATERIALIZED (SELECT chr(1) || y.l || chr(2) || chr(1) || y.r || chr(2) AS a, chr(1) || y.l || y.r || chr(2) AS b FROM best),""",
-    ),
+    "merge_once": f"""WITH {_pairs()} x AS MATERIALIZED (SELECT chr(1) || l || chr(2) || chr(1) || r || chr(2) AS a, chr(1) || l || r || chr(2) AS b FROM pc ORDER BY n DESC, l, r LIMIT 1)
+SELECT word, freq, replace(replace(replace(replace(chr(1) || array_to_string(symbols, chr(2) || chr(1)) || chr(2), (SELECT a FROM x), (SELECT b FROM x)), chr(2) || chr(1), ' '), chr(1), ''), chr(2), '') AS merged FROM s""",
     "bpe_train_rules": _sql("SELECT rank, l, r, n FROM rules"),
     "bpe_train_kernel": _sql("SELECT rank, l, r, n FROM rules"),
     "bpe_train_by_lang": "",
