@@ -43,6 +43,52 @@ def test_exact_in_batches(spark, docs_of):
     assert again.rows().count() == 3
 
 
+def test_a_batch_that_runs_again_gives_the_same_rows(spark, docs_of):
+    path, b = scratch(spark, "i"), docs_of([(1, "a b"), (2, "a  b"), (3, "c")])
+    first = sorted(exact_dedup.DigestIndex(spark, path, 4).dedup(b, "monday").collect())
+    assert [r["kept"] for r in first] == [True, False, True]
+    assert sorted(exact_dedup.DigestIndex(spark, path, 4).dedup(b, "monday").collect()) == first
+    assert not any(r["kept"] for r in exact_dedup.DigestIndex(spark, path, 4).dedup(b, "tuesday").collect())
+    assert sorted(exact_dedup.DigestIndex(spark, path, 4).dedup(b, "monday").collect()) == first
+    assert exact_dedup.DigestIndex(spark, path, 4).rows().count() == 2
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("weft_")]
+    assert spark.conf.get(exact_dedup.SORTED, None) is None
+
+
+@pytest.mark.parametrize("at", ["write 1", "write 2", "write 3", "publish", "compact"])
+def test_a_batch_that_is_killed_and_runs_again(spark, docs_of, monkeypatch, at):
+    """Whatever step it is killed at, the batch run again gives the rows that it would have given, and so do later ones."""
+    path = scratch(spark, "i")
+    exact_dedup.DigestIndex(spark, path, 4).dedup(docs_of([(1, "a"), (2, "b")]), "before")
+    b, steps = docs_of([(3, "b"), (4, "c"), (5, "c"), (6, "d")]), []
+
+    def killed(name, whole):
+        def run(*args):
+            steps.append(name)
+            if at in (name, f"{name} {steps.count(name)}"):
+                if name == "write":
+                    whole(*args)  # killed after its work
+                raise KeyboardInterrupt
+            return whole(*args)
+
+        return run
+
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup.DigestIndex, "_write", killed("write", exact_dedup.DigestIndex._write))
+        m.setattr(exact_dedup.DigestIndex, "_publish", killed("publish", exact_dedup.DigestIndex._publish))
+        m.setattr(exact_dedup.DigestIndex, "compact", killed("compact", exact_dedup.DigestIndex.compact))
+        m.setattr(exact_dedup, "FILES", 0)
+        with pytest.raises(KeyboardInterrupt):
+            exact_dedup.DigestIndex(spark, path, 4).dedup(b, "killed")
+    again = exact_dedup.DigestIndex(spark, path, 4).dedup(b, "killed").orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["keep_id"], r["kept"]) for r in again] == [(3, 2, False), (4, 4, True), (5, 4, False), (6, 6, True)]
+    index = exact_dedup.DigestIndex(spark, path, 4)
+    index.compact()
+    later = index.dedup(docs_of([(7, "d"), (8, "e")])).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["keep_id"], r["kept"]) for r in later] == [(7, 6, False), (8, 8, True)]
+    assert index.rows().count() == 5 and index.rows().select("digest").distinct().count() == 5
+
+
 def test_index_is_compacted(spark, docs_of, monkeypatch):
     monkeypatch.setattr(exact_dedup, "FILES", 2)
     path = scratch(spark, "i")
@@ -50,9 +96,11 @@ def test_index_is_compacted(spark, docs_of, monkeypatch):
         index = exact_dedup.DigestIndex(spark, path, 2)
         got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in index.dedup(docs_of([(10 * k + j, f"t{j} {k // 2}") for j in range(8)])).collect()}
         assert got == {10 * k + j: (10 * (k // 2 * 2) + j, k % 2 == 0) for j in range(8)}
-    assert index.generation >= 1 and index.rows().count() == 24
+    assert len({r["folder"] for r in index._meta()}) > 1 and index.rows().count() == 24
     index.compact()
-    plan = index.rows().hint("merge").join(index.rows().hint("merge"), "digest")._jdf.queryExecution().toString()
+    with index._tables() as known:
+        one = lambda: spark.table(known(f"{path}/{index._meta()[-1]['folder']}", exact_dedup.DIGESTS, 2)).hint("merge")
+        plan = one().join(one(), "digest")._jdf.queryExecution().toString()
     assert len(index.rows().inputFiles()) == 2 and "SortMergeJoin" in plan
     assert not any(x in plan.split("Physical Plan")[1] for x in ("Exchange", "Sort ["))
     index.given = 5

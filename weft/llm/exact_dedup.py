@@ -1,11 +1,16 @@
 """Exact dedup against a persistent digest index [native].
 
-The index is a table bucketed and sorted by digest. A batch is digested, grouped, reduced to the digests that the
-index lacks by a sort-merge anti-join that reads the index in place (no shuffle of it), and those are appended.
+The index is a table bucketed and sorted by digest. A batch is digested, grouped, and looked up by a sort-merge join that reads the
+index in place (no shuffle of it); the digests that it lacks are appended.
 
 An index has a bucket for about BUCKET_ROWS digests (LEAST_BUCKETS at least). Every append adds a file to each bucket; above
-FILES files a bucket, or when it has outgrown its buckets, the index is written anew as the next generation, one sorted file a
-bucket, which is then read without a sort. `meta` says which generation holds; it is written last, so a lost driver loses nothing.
+FILES files a bucket, or when it has outgrown its buckets, the index is written anew in a folder of its own, one sorted file a
+bucket, which is then read without a sort.
+
+A batch's result is written first, then its digests, each with the name of the attempt, and last a row of `meta` that says which
+folder and which attempts hold: one file, which appears whole or not at all. Digests of attempts that aren't in `meta` count for
+nothing. So a driver may be lost at any point: the batch run again finds the index as it was before, and a batch of a name that `meta`
+has returns the result that was written then. A batch without a name is always a new one. One batch runs at a time.
 
 Defined results: a null text is the empty text; all rows without words but for white space of any length >= 1 are
 equal to each other, and not to the empty text. Of equal texts the row with the smallest doc_id stays; null ids come
@@ -16,6 +21,7 @@ leaves the index as it was. Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, lookup, read, scratch, texts, with_ids, written
 
-META = "generation int, buckets int"
+META = "seq int, folder string, buckets int, attempt string, batch string"
+DIGESTS = "digest BINARY, keep_id BIGINT, n BIGINT, attempt STRING"
+RESULT = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
 BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS, FILES = 2_000_000, 24, 100_000, 8
+#: A scan of a bucketed table then says that it is sorted, where every bucket is one file.
+SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def normalised(text):
@@ -40,86 +50,110 @@ class DigestIndex:
     """A growing set of digests with the doc_id that stands for each, bucketed and sorted by digest. buckets: how many, if given."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path, self.given, self.table = spark, path, buckets, None
-        # A scan then says that it is sorted, where every bucket is one file.
-        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self.spark, self.path, self.given = spark, path.rstrip("/"), buckets
+
+    def _meta(self) -> list:
+        """What was published, in order: a row for each batch and each time that the index was written anew."""
         try:
-            last = spark.read.schema(META).parquet(f"{path}/meta").orderBy(F.desc("generation")).head()
+            return self.spark.read.schema(META).parquet(f"{self.path}/meta").orderBy("seq").collect()
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            last = None
-        if last:
-            self._open(last["generation"], last["buckets"])
-
-    def _name(self, generation: int) -> str:
-        return f"weft_digests_{uuid.uuid5(uuid.NAMESPACE_URL, f'{self.path}/{generation}').hex}"
+            return []
 
-    def _open(self, generation: int, buckets: int) -> None:
-        self.generation, self.buckets, self.table = generation, buckets, self._name(generation)
-        self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, n BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}/g{generation}'"
-        )
+    def _publish(self, seq: int, folder: str, buckets: int, attempt: str, batch: str | None) -> None:
+        self.spark.createDataFrame([(seq, folder, buckets, attempt, batch)], META).coalesce(1).write.mode("append").parquet(f"{self.path}/meta")
 
     def _buckets_for(self, rows: int) -> int:
         return self.given or min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS)))
 
-    def _holds(self, generation: int, buckets: int) -> None:
-        self.spark.createDataFrame([(generation, buckets)], META).coalesce(1).write.mode("append").parquet(f"{self.path}/meta")
-        self._open(generation, buckets)
+    @contextmanager
+    def _tables(self):
+        """Makes bucketed tables known to the catalog; afterwards they are not, and their files stay."""
+        before, names = self.spark.conf.get(SORTED, None), []
+
+        def known(path: str, columns: str, buckets: int) -> str:
+            names.append(f"weft_{uuid.uuid4().hex}")
+            self.spark.sql(f"CREATE TABLE {names[-1]} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
+            return names[-1]
+
+        self.spark.conf.set(SORTED, "true")
+        try:
+            yield known
+        finally:
+            for name in names:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.spark.conf.unset(SORTED) if before is None else self.spark.conf.set(SORTED, before)
+
+    @staticmethod
+    def _holding(meta: list) -> list[str]:
+        """The attempts whose digests count: those published since the folder that holds was begun."""
+        return [r["attempt"] for r in meta if r["folder"] == meta[-1]["folder"]]
 
     def rows(self) -> DataFrame:
         """digest, keep_id, n."""
-        if not self.table:
+        meta = self._meta()
+        if not meta:
             return self.spark.createDataFrame([], "digest binary, keep_id long, n long")
-        self.spark.catalog.refreshTable(self.table)
-        return self.spark.table(self.table)
+        files = self.spark.read.schema(DIGESTS).parquet(f"{self.path}/{meta[-1]['folder']}")
+        return files.where(F.col("attempt").isin(self._holding(meta))).select("digest", "keep_id", "n")
 
-    def _bucketed(self, df: DataFrame, table: str, path: str | None) -> None:
-        w = df.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
-        (w.option("path", path) if path else w).saveAsTable(table)
+    def _write(self, df: DataFrame, table: str, buckets: int) -> None:
+        df.write.mode("append").format("parquet").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(table)
 
     def compact(self) -> None:
-        """Write the index anew, one file a bucket."""
-        old, rows, to = self.table, self.rows(), self.generation + 1
-        buckets = max(self.buckets, self._buckets_for(rows.count()))
-        if buckets != self.buckets:
-            rows = rows.repartition(buckets, "digest")
-        self.buckets = buckets
-        # Digests are distinct; grouping by them keeps a task to a bucket, without a shuffle if their number is as before.
-        one = rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        self._bucketed(one, self._name(to), f"{self.path}/g{to}")
-        self._holds(to, buckets)
-        self.spark.sql(f"DROP TABLE IF EXISTS {old}")  # the files of the generation before stay until they are deleted by hand
-
-    def dedup(self, docs: DataFrame) -> DataFrame:
-        """Add docs to the index. Per row: doc_id, keep_id, group_size, kept, text_sha256."""
-        batch = written(digests(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
-        total = batch.count()
-        if not self.table:
-            self._holds(0, self._buckets_for(total))
+        """Write the index anew, one file a bucket. The files of before stay until they are deleted by hand."""
+        meta, attempt = self._meta(), uuid.uuid4().hex
+        if not meta:
+            return
+        with self._tables() as known:
+            rows = self.spark.table(known(f"{self.path}/{meta[-1]['folder']}", DIGESTS, meta[-1]["buckets"])).where(F.col("attempt").isin(self._holding(meta)))
+            buckets = max(meta[-1]["buckets"], self._buckets_for(rows.count()))
+            if buckets != meta[-1]["buckets"]:
+                rows = rows.repartition(buckets, "digest")
+            # Digests are distinct; grouping by them keeps a task to a bucket, without a shuffle if their number is as before.
+            one = rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"), F.lit(attempt).alias("attempt"))
+            self._write(one, known(f"{self.path}/index-{attempt}", DIGESTS, buckets), buckets)
+        self._publish(meta[-1]["seq"] + 1, f"index-{attempt}", buckets, attempt, None)
+
+    def dedup(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
+        """Add docs to the index. Per row: doc_id, keep_id, group_size, kept, text_sha256. batch: a name; see above."""
+        meta = self._meta()
+        attempt = next((r["attempt"] for r in meta if batch is not None and r["batch"] == batch), None)
+        if not attempt:
+            attempt = uuid.uuid4().hex
+            with self._tables() as known:
+                self._add(docs, meta, attempt, batch, known)
+        return self.spark.read.schema(RESULT).parquet(f"{self.path}/results/{attempt}")
+
+    def _add(self, docs: DataFrame, meta: list, attempt: str, batch: str | None, known) -> None:
+        own = written(digests(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
+        total = own.count()
+        folder, buckets = (meta[-1]["folder"], meta[-1]["buckets"]) if meta else (f"index-{attempt}", self._buckets_for(total))
+        index = known(f"{self.path}/{folder}", DIGESTS, buckets)
         # The first row of each digest: by doc_id, null last; of rows that repeat an id, as they were read.
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-        groups = batch.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n"))
-        groups = groups.select("digest", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("own_row"), "n")
-        stage = f"{self.table}_{uuid.uuid4().hex[:8]}"
-        self._bucketed(groups.repartition(self.buckets, "digest"), stage, scratch(self.spark, "groups"))
-        groups = self.spark.table(stage)
-
-        # One read of the index tells which digests it has and who stands for them.
-        known = self.rows().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("old"))
-        found = written(groups.hint("merge").join(known, "digest", "left").select("digest", "own_row", "n", F.coalesce("old", F.lit(False)).alias("old"), F.when(F.col("old"), F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id")), "found")
-        new = groups.select("digest", "keep_id", "n").hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
-        self._bucketed(new, self.table, None)
-        self.spark.sql(f"DROP TABLE IF EXISTS {stage}")  # the files stay; found has what is needed of them
-        files = len(self.rows().inputFiles())
-        if files > FILES * self.buckets or not self.given and files > self.buckets and self._buckets_for(self.rows().count()) > 2 * self.buckets:
-            self.compact()
-
-        both = lookup(batch, found.withColumn("group_size", F.col("n")), "digest", total)
+        groups = own.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n"))
+        groups = groups.select("digest", F.col("first.doc_id").alias("own_id"), F.col("first.row").alias("own_row"), "n")
+        stage = known(scratch(self.spark, "groups"), "digest BINARY, own_id BIGINT, own_row BIGINT, n BIGINT", buckets)
+        self._write(groups.repartition(buckets, "digest"), stage, buckets)
+
+        # One read of the index tells which digests it has and who stands for them. What is found lies in the same buckets.
+        had = self.spark.table(index).where(F.col("attempt").isin(self._holding(meta) if meta else [])).select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("had"))
+        old = F.coalesce("had", F.lit(False))
+        met = self.spark.table(stage).hint("merge").join(had, "digest", "left").select("digest", F.when(old, F.col("old_id")).otherwise(F.col("own_id")).alias("keep_id"), "own_row", "n", old.alias("old"))
+        found = known(scratch(self.spark, "found"), "digest BINARY, keep_id BIGINT, own_row BIGINT, n BIGINT, old BOOLEAN", buckets)
+        self._write(met, found, buckets)
+        found = self.spark.table(found)
+
+        both = lookup(own, found.withColumn("group_size", F.col("n")), "digest", total)
         kept = ~F.col("old") & (F.col("row") == F.col("own_row"))
-        return both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")).write.parquet(f"{self.path}/results/{attempt}")
+        self._write(found.where("NOT old").select("digest", "keep_id", "n", F.lit(attempt).alias("attempt")), index, buckets)
+        self._publish(meta[-1]["seq"] + 1 if meta else 0, folder, buckets, attempt, batch)
+        files = len(self.spark.read.schema(DIGESTS).parquet(f"{self.path}/{folder}").inputFiles())
+        if files > FILES * buckets or not self.given and files > buckets and self._buckets_for(self.rows().count()) > 2 * buckets:
+            self.compact()
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,15 +162,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that stay, one of each group of equal texts."""
-    found = written(DigestIndex(spark, scratch(spark, "index")).dedup(docs), "dedup")
-    dropped = found.where("NOT kept")
-    left = with_ids(docs, dropped, keep=False)
-    if found.count() != found.select("doc_id").distinct().count():
-        # Ids repeat: choose by id and digest, then one row of each.
-        own = docs.withColumn("__d", F.sha2(normalised(F.coalesce(F.col("text"), F.lit(""))), 256))
-        kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__h"))
-        left = own.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__h")), "left_semi").dropDuplicates(["doc_id", "__d"]).drop("__d")
-    return left
+    found = DigestIndex(spark, scratch(spark, "index")).dedup(docs)
+    dropped, kept = found.where("NOT kept"), found.where("kept")
+    # An id that repeats can be among both.
+    if dropped.where("doc_id IS NULL").isEmpty() and with_ids(kept, dropped, keep=True).isEmpty():
+        return with_ids(docs, dropped, keep=False)
+    own = docs.withColumn("__d", F.sha2(normalised(F.coalesce(F.col("text"), F.lit(""))), 256))
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__h"))
+    return own.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__h")), "left_semi").dropDuplicates(["doc_id", "__d"]).drop("__d")
 
 
 ORACLE = r"""
