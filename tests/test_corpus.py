@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions.schedule import early_stopping, minutes, teacher_forcing
-from weft.operators import dataset, seq2seq
+from weft.operators import dataset, seq2seq, synchronous
 from weft.plans import corpus_queries
-from weft.sources import model_files, pairs
+from weft.sources import batch_files, model_files, pairs
 
 
 def test_csv(spark, tmp_path):
@@ -234,3 +234,73 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     path = store.scratch(spark, "x")
     spark.range(3).write.parquet(path)
     assert path.startswith(store.own_dir(spark))
+
+
+def test_batch_files(spark, tmp_path):
+    rows = [(k, k // 3, k % 3, [k] * (1 + k % 4), [1, k, 2]) for k in range(20)]
+    table = spark.createDataFrame(rows, "pair_id long, batch_id long, pos_in_batch long, src array<int>, tgt array<int>")
+    want = dataset.padded(table, "src", "tgt")
+    path = str(tmp_path / "b")
+    batch_files.write_batches(want, path, "pair_id", "src", "tgt")
+    back = batch_files.read_rows(spark, path, "pair_id")
+    order = ["pair_id", "batch_id", "pos_in_batch", "src", "tgt"]
+    assert sorted(back.select(order).collect()) == sorted(want.select(order).collect())
+    b = batch_files.read_batch(spark, path, 6)
+    assert b["keys"].tolist() == [18, 19] and b["src"].tolist() == [[18, 18, 18, 0], [19, 19, 19, 19]] and b["tgt"].tolist() == [[1, 18, 2], [1, 19, 2]]
+    assert batch_files.read_batch(spark, path, 99) is None
+    batch_files.write_batches(want.limit(0), path + "0", "pair_id", "src", "tgt")
+    assert batch_files.read_rows(spark, path + "0", "pair_id").count() == 0 and batch_files.read_batch(spark, path + "0", 0) is None
+
+
+def _training_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [int(x) for x in rng.integers(4, 8, 1 + k % 5)] + [2], [1, *(int(x) for x in rng.integers(4, 8, 1 + k % 3)), 2], "val" if k % 7 == 0 else "train") for k in range(40)]
+    return rows, spark.createDataFrame(rows, "pair_id long, src array<int>, tgt array<int>, part string")
+
+
+def test_shared_steps_are_those_of_one_process(spark, tmp_path):
+    """Two shards, by a barrier stage: parameters equal to a plain loop over whole batches, and the draws are those of bootstrap."""
+    rows, table = _training_pairs(spark)
+    make = lambda: seq2seq.Seq2Seq(8, 8, hidden=4, layers=2, embedding=3, seed=1)
+    m = make()
+    got = synchronous.fit_synchronous(m, table, str(tmp_path / "g"), epochs=3, size=8, rate=0.02, tf=(1.0, 0.0, 0, 3), seed=9, shards=2)
+    plain = make()
+    opt, train = seq2seq.AdamW(plain.p, 0.02), {r[0]: r for r in rows if r[3] == "train"}
+    for epoch in range(3):
+        order = dataset.bootstrap(table.where("part = 'train'"), "pair_id", 0.7, epoch, 9).orderBy("draw").collect()
+        own = [train[r["pair_id"]] for r in order]
+        drawn = synchronous.drawn(table.where("part = 'train'"), epoch, 0.7, 8, 9).select("draw", F.expr("filter(src, x -> x <> 0)").alias("s"), F.expr("filter(tgt, x -> x <> 0)").alias("t"))
+        assert [(r["s"], r["t"]) for r in drawn.orderBy("draw").collect()] == [(r[1], r[2]) for r in own] and len(own) == int(0.7 * len(train))
+        losses, ratio = [], 1 - epoch / 3
+        for step, i in enumerate(range(0, len(own), 8)):
+            few = own[i : i + 8]
+            loss, grads = plain.step(seq2seq.matrix([r[1] for r in few]), seq2seq.matrix([r[2] for r in few]), ratio, np.random.default_rng([9, epoch, step]))
+            opt.step(grads)
+            losses.append(loss)
+        assert abs(got[epoch]["train_loss"] - np.mean(losses)) < 1e-9 and abs(got[epoch]["tf_ratio"] - ratio) < 1e-12
+    assert max(np.abs(m.p[k] - plain.p[k]).max() for k in m.p) < 1e-9
+
+
+def test_training_is_taken_up_again(spark, tmp_path, monkeypatch):
+    _, table = _training_pairs(spark)
+    make = lambda: seq2seq.Seq2Seq(8, 8, hidden=3, layers=1, embedding=3, seed=2)
+    run = lambda m, path, epochs=4: synchronous.fit_synchronous(m, table, str(tmp_path / path), epochs=epochs, size=16, rate=0.02, seed=3, shards=2, min_delta=10.0, patience=3)
+    whole = make()
+    want = run(whole, "a", 6)
+    assert len(want) == 4  # the first epoch is the best, and after three more it stops
+    publish, times = synchronous.Generations.publish, []
+
+    def killed(self, row):
+        times.append(row)
+        if len(times) == 3:
+            raise KeyboardInterrupt
+        publish(self, row)
+
+    monkeypatch.setattr(synchronous.Generations, "publish", killed)
+    with pytest.raises(KeyboardInterrupt):
+        run(make(), "b", 6)
+    again = make()
+    assert run(again, "b", 6) == want and [r[0] for r in times] == [0, 1, 2, 2, 3]
+    assert all((again.p[k] == whole.p[k]).all() for k in whole.p)
+    assert run(make(), "b", 6) == want  # nothing is left to do
+    assert run(make(), "c", 0) == []

@@ -13,10 +13,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weft.functions.words import merged, segmented, unsegmented, words
-from weft.operators import counts, encode, shards, train
+from weft.operators import cache, counts, encode, shards, train
 from weft.operators.encode import Model
 from weft.plans import word_queries
 from weft.sources import model_files
+from weft.store import scratch, written
 
 WORDS = [
     ("l'homme", ["l'homme"]), ("dogs' x", ["dogs'", "x"]), ("don''t", ["don'", "t"]), ("foo_bar", ["foo", "bar"]), ("l’homme", ["l", "homme"]),
@@ -305,3 +306,58 @@ def test_groups_too_large_for_a_task(spark, monkeypatch):
     want = {(r["lang"], r["rank"], r["l"], r["r"], r["n"]) for r in train.train_by(counted, "lang", 4).collect()}
     monkeypatch.setattr(train, "KERNEL_PLACES", 5)
     assert {(r["lang"], r["rank"], r["l"], r["r"], r["n"]) for r in train.train_by(counted, "lang", 4).collect()} == want and any(x[0] is None for x in want)
+
+
+def test_a_cache_encodes_only_what_it_lacks(spark, monkeypatch):
+    m, path = Model([("a", "b"), ("ab", "c")], [*"abc"]), scratch(spark, "cache")
+    words_of = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    asked, whole = [], cache.encode_words
+    monkeypatch.setattr(cache, "encode_words", lambda new, *a: asked.append(sorted(r["word"] for r in new.collect())) or whole(new, *a))
+    kept = cache.EncodingCache(spark, path, m, buckets=3)
+    assert kept.rows().count() == 0
+    assert kept.fill(words_of("abc", "ab", "ab", None), "one") == 2 and kept.fill(words_of("ab", "cab", "é"), "two") == 2
+    kept = cache.EncodingCache(spark, path, m, buckets=3)
+    assert kept.fill(words_of("abc", "cab")) == 0 and kept.fill(words_of()) == 0
+    assert asked == [["ab", "abc"], ["cab", "é"]]
+    want = {("abc", "one"): ["abc", "</w>"], ("ab", "one"): ["ab", "</w>"], ("cab", "two"): ["c", "ab", "</w>"], ("é", "two"): ["<ukn>", "</w>"]}
+    assert {(r["word"], r["batch"]): r["tokens"] for r in kept.rows().collect()} == want
+
+    class Killed(Exception):
+        pass
+
+    def killed(*args):
+        raise Killed
+
+    for step in ("publish", "write"):
+        with monkeypatch.context() as x:
+            x.setattr(kept.table, step, killed)
+            with pytest.raises(Killed):
+                kept.fill(words_of("new", "abc"), "three")
+        assert kept.rows().count() == 4
+    assert kept.fill(words_of("new", "abc"), "three") == 1 and kept.rows().count() == 5
+    kept.compact()
+    again = cache.EncodingCache(spark, path, m, buckets=3)
+    assert {r["word"]: r["tokens"] for r in again.rows().collect()} == {w: t for (w, _), t in want.items()} | {"new": ["<ukn>", "<ukn>", "<ukn>", "</w>"]}
+    assert again.fill(words_of("new", "abc")) == 0 and len(again.table.rows().inputFiles()) <= 3
+    assert cache.EncodingCache(spark, path, Model(m.rules[:1], m.tokens), buckets=3).fill(words_of("abc")) == 1  # another model has its own
+    texts = spark.createDataFrame([(1, "abc zz abc"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["tokens"] for r in again.encode(texts).collect()}
+    assert got == {1: ["abc", "</w>", "<ukn>", "<ukn>", "</w>", "abc", "</w>"], 2: []}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("weft_")]
+
+
+def test_hot_words_are_not_shuffled(spark, monkeypatch):
+    """A word in every place: none of its places are in the join by word, with adaptive execution off."""
+    monkeypatch.setattr(encode, "HOT_PLACES", 100)
+    texts = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("the the the "), F.concat(F.lit("w"), F.col("id"))).alias("text"))
+    texts = written(texts.unionByName(spark.createDataFrame([(100, "the"), (101, "")], "doc_id long, text string")), "texts")
+    m = Model([("t", "h"), ("th", "e")], [*"thew0123456789"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = encode.encode_texts(texts, encode.encode_words(counts.distinct_words(texts), m))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r["doc_id"]: r["tokens"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {r["doc_id"]: r["tokens"] for r in encode.encode_batch(texts, m).collect()} and len(got) == 62
+    assert "BroadcastHashJoin" in plan and "NOT (word" in plan and "SortMergeJoin" in plan

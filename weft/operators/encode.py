@@ -108,11 +108,28 @@ def sweep_words(distinct: DataFrame, model: Model, drop: bool = False) -> DataFr
     return distinct.select("word", unsegmented(merged_all(segmented(s), model.rules)).alias("tokens"))
 
 
+#: A word is hot if it has so many places and more than one in HOT_WORDS of all, which fewer than HOT_WORDS words have.
+HOT_PLACES, HOT_WORDS = 10_000, 1_000
+
+
 def encode_texts(texts: DataFrame, encoded: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, tokens of every text in order, none for a text without words; encoded: word, tokens. Keys must be distinct."""
+    """key, tokens of every text in order, none for a text without words; encoded: word, tokens. Keys must be distinct.
+
+    Words are joined by place in a text. The places of a word meet in one task, so hot words are counted first: their encodings, if of
+    usual length, go to all tasks, which moves none of their places, and the rest are joined by sort and merge.
+    """
     own = texts.select(key, F.posexplode(words(F.col(text))).alias("at", "word"))
-    # Words are joined by place in a text; a frequent word's rows are split by adaptive execution.
-    placed = own.join(encoded, "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("w"))
+    usual = F.length("word") <= LONG
+    sums = own.where(usual).groupBy("word").count()
+    total = sums.agg(F.sum("count")).head()[0] or 0
+    hot = [r["word"] for r in sums.where(F.col("count") >= max(HOT_PLACES, total // HOT_WORDS)).select("word").collect()] if total >= HOT_PLACES else []
+    if hot:
+        is_hot = F.col("word").isin(hot)
+        cold = own.where(~is_hot).join(encoded.where(~is_hot).hint("merge"), "word")
+        met = cold.unionByName(own.where(is_hot).join(F.broadcast(encoded.where(is_hot)), "word"))
+    else:
+        met = own.join(encoded, "word")
+    placed = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("w"))
     placed = placed.select(F.col(key).alias("__key"), F.flatten(F.transform("w", lambda x: x["tokens"])).alias("tokens"))
     return texts.select(key).join(placed, F.col(key) == F.col("__key"), "left").select(key, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
 

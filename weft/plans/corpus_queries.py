@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.schedule import early_stopping, minutes, teacher_forcing
-from ..operators import dataset, seq2seq
-from ..sources import model_files, pairs
+from ..operators import dataset, seq2seq, synchronous
+from ..sources import batch_files, model_files, pairs
 from ..store import scratch, written
 
 SEED, SIZE = 7, 16
@@ -87,6 +87,14 @@ def batches_padded(spark, sf_dir):
     return p.select("pair_id", "batch_id", "pos_in_batch", _digest(F.col("src")).alias("src_md5"), _digest(F.col("tgt")).alias("tgt_md5"))
 
 
+def batches_files(spark, sf_dir):
+    """Padded batches written as tensors and read back."""
+    path = scratch(spark, "tensors")
+    batch_files.write_batches(dataset.padded(_batches(spark, sf_dir), "src", "tgt"), path, "pair_id", "src", "tgt")
+    p = batch_files.read_rows(spark, path, "pair_id")
+    return p.select("pair_id", "batch_id", "pos_in_batch", _digest(F.col("src")).alias("src_md5"), _digest(F.col("tgt")).alias("tgt_md5"))
+
+
 def batch_widths(spark, sf_dir):
     p = dataset.padded(_batches(spark, sf_dir), "src", "tgt")
     return p.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("src")).cast("bigint").alias("src_width"), F.max(F.size("tgt")).cast("bigint").alias("tgt_width"))
@@ -132,6 +140,16 @@ def seq2seq_train(spark, sf_dir):
     return spark.createDataFrame([(r["epoch"], r["tf_ratio"], r["train_loss"], r["val_loss"]) for r in rows], "epoch int, tf_ratio double, train_loss double, val_loss double")
 
 
+def seq2seq_train_synchronous(spark, sf_dir):
+    """The same by shared steps, on draws from the whole training set: one epoch, then taken up again by a new network for the second."""
+    examples, model = _tiny(spark, sf_dir)
+    parts, path = written(dataset.split(written(examples, "examples"), "pair_id", seed=SEED), "parts"), scratch(spark, "generations")
+    for epochs in (1, 2):
+        again = seq2seq.Seq2Seq(model.source_size, model.target_size, hidden=8, layers=2, embedding=6)
+        rows = synchronous.fit_synchronous(again, parts, path, epochs=epochs, size=32, rate=0.01, tf=(1.0, 0.0, 0, 2))
+    return spark.createDataFrame([tuple(r[k] for k in synchronous.FIGURES) for r in rows], "epoch int, tf_ratio double, train_loss double, val_loss double")
+
+
 def weights_roundtrip(spark, sf_dir):
     """A network's weights written and read: whether they came back, by parameter."""
     _, model = _tiny(spark, sf_dir)
@@ -156,6 +174,7 @@ QUERIES = {
     "train_val_split": lambda s, d: dataset.split(read(s, d, "documents").select("doc_id"), "doc_id", 0.1, SEED),
     "bootstrap_epoch": lambda s, d: dataset.bootstrap(read(s, d, "documents").select("doc_id"), "doc_id", 0.7, 3, SEED),
     "batches_padded": batches_padded,
+    "batches_files": batches_files,
     "batch_widths": batch_widths,
     "shifted_targets": shifted_targets,
     "worker_chunks": lambda s, d: dataset.chunks(read(s, d, "documents").select("doc_id"), 7, "doc_id"),
@@ -166,6 +185,7 @@ QUERIES = {
     "format_time": lambda s, d: read(s, d, "documents").select("doc_id", minutes(F.col("n_chars") / 8).alias("took")),
     "seq2seq_forward": seq2seq_forward,
     "seq2seq_train": seq2seq_train,
+    "seq2seq_train_synchronous": seq2seq_train_synchronous,
     "weights_roundtrip": weights_roundtrip,
 }
 
@@ -204,6 +224,7 @@ SELECT a.pos, md5(src) AS src_md5, md5(tgt) AS tgt_md5 FROM a JOIN b ON a.pos =
     "train_val_split": f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {_ORDER.format('doc_id')}) <= floor(0.1 * (SELECT count(*) FROM documents)) THEN 'val' ELSE 'train' END AS part FROM documents",
     "bootstrap_epoch": f"WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents), c AS (SELECT count(*) AS n FROM documents) SELECT draw, o.doc_id FROM (SELECT range AS draw FROM range(0, (SELECT CAST(floor(0.7 * n) AS BIGINT) FROM c))) r JOIN o ON o.n = {_DRAW} % (SELECT n FROM c)",
     "batches_padded": f"WITH {_IDS} SELECT pair_id, batch_id, pos_in_batch, md5(array_to_string(list_resize(src, sw, 0), ' ')) AS src_md5, md5(array_to_string(list_resize(tgt, tw, 0), ' ')) AS tgt_md5 FROM pd",
+    "batches_files": f"WITH {_IDS} SELECT pair_id, batch_id, pos_in_batch, md5(array_to_string(list_resize(src, sw, 0), ' ')) AS src_md5, md5(array_to_string(list_resize(tgt, tw, 0), ' ')) AS tgt_md5 FROM pd",
     "batch_widths": f"WITH {_IDS} SELECT batch_id, count(*) AS n, max(sw) AS src_width, max(tw) AS tgt_width FROM pd GROUP BY batch_id",
     "shifted_targets": f"WITH {_IDS} SELECT pair_id, md5(array_to_string(tgt[1:len(tgt) - 1], ' ')) AS input_md5, md5(array_to_string(tgt[2:len(tgt)], ' ')) AS label_md5 FROM x",
     "worker_chunks": "SELECT doc_id, CAST(ntile(7) OVER (ORDER BY doc_id) AS INTEGER) AS chunk FROM documents",

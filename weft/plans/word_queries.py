@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.words import UNKNOWN, WORD_END, merged, segmented, unsegmented
-from ..operators import counts, dataset, encode, train
+from ..operators import cache, counts, dataset, encode, train
 from ..operators.encode import Model
 from ..sources import model_files
 from ..store import scratch, written
@@ -122,6 +122,23 @@ def encode_documents_join(spark, sf_dir):
     return _sized(encode.encode_texts(docs(spark, sf_dir), _encoded(spark, sf_dir, encode.encode_words)))
 
 
+def encoding_cache(spark, sf_dir):
+    """The encodings of all words, kept by a cache that was filled by one language after the other: each encodes what is new in it."""
+    words_ = written(counted(spark, sf_dir), "words")
+    kept = cache.EncodingCache(spark, scratch(spark, "encodings"), model(words_))
+    d = docs(spark, sf_dir)
+    for lang in sorted(r["lang"] for r in d.select("lang").where("lang IS NOT NULL").distinct().collect()):
+        kept.fill(counts.distinct_words(d.where(F.col("lang") == lang)), lang)
+    return kept.rows().select("word", joined(F.col("tokens")).alias("tokens"), F.col("batch").alias("lang"))
+
+
+def encode_documents_cached(spark, sf_dir):
+    """All texts, by a cache that has the words of English texts already."""
+    kept = cache.EncodingCache(spark, scratch(spark, "encodings"), model(written(counted(spark, sf_dir), "words")))
+    kept.encode(of_lang(spark, sf_dir, "en"))
+    return _sized(kept.encode(docs(spark, sf_dir)))
+
+
 def token_freq(spark, sf_dir):
     """Tokens of all texts, counted: each distinct word's tokens by its frequency, so no text is encoded."""
     words_ = written(counted(spark, sf_dir), "words")
@@ -228,6 +245,8 @@ QUERIES = {
     "encode_words_rank": encode_words_rank,
     "encode_documents": encode_documents,
     "encode_documents_join": encode_documents_join,
+    "encode_documents_cached": encode_documents_cached,
+    "encoding_cache": encoding_cache,
     "encode_documents_production": lambda s, d: encode_documents(s, d, PRODUCTION),
     "encode_stream": encode_stream,
     "token_freq": token_freq,
@@ -347,6 +366,11 @@ SELECT word, freq, replace(replace(replace(replace(chr(1) || array_to_string(sym
     "encode_words_rank": _ENCODED,
     "encode_documents": _TEXTS,
     "encode_documents_join": _TEXTS,
+    "encode_documents_cached": _TEXTS,
+    "encoding_cache": _sql(
+        "SELECT e.word, array_to_string(e.tokens, ' ') AS tokens, f.lang FROM e JOIN f ON e.word = f.word",
+        more=_ALL + f"f AS (SELECT word, min(lang) AS lang FROM (SELECT lang, unnest(regexp_extract_all(text, '{_PAT}')) AS word FROM documents) GROUP BY word),",
+    ),
     "encode_stream": _TEXTS,
     "token_freq": _sql("SELECT token, CAST(sum(freq) AS BIGINT) AS n FROM (SELECT w.freq, unnest(e.tokens) AS token FROM e JOIN w ON e.word = w.word) GROUP BY token", more=_ALL),
     "encode_oov_replace": _sql(_OOV, "WHERE lang = 'en'", _FR + _fold(f"list_concat([CASE WHEN {_KNOWN} THEN c ELSE '{UNKNOWN}' END for c in {_CHARS}], ['{WORD_END}'])", "fr")),
