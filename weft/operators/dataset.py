@@ -62,7 +62,7 @@ def sample_columns(pairs: DataFrame, k: int | float, seed: int = 0) -> DataFrame
     k = line_limit(0, k)
 
     def drawn(column: str, own: int) -> DataFrame:
-        few = pairs.select(column, hash_order(F.col("pair_id"), own).alias("__h"), "pair_id").orderBy("__h", "pair_id").limit(k)
+        few = first_by_hash(pairs.select(column, "pair_id"), "pair_id", k, own).withColumn("__h", hash_order(F.col("pair_id"), own))
         return with_ordinals(few, "pos", "__h", "pair_id").select("pos", column)
 
     return drawn("src", seed).join(drawn("tgt", seed + 1), "pos")

@@ -184,6 +184,8 @@ QUERIES = {
     "epoch_loss": lambda s, d: dataset.epoch_loss(dataset.masked_loss(_logits(s, d))).select(F.round("loss", 6).alias("loss")),
     "format_time": lambda s, d: read(s, d, "documents").select("doc_id", minutes(F.col("n_chars") / 8).alias("took")),
     "seq2seq_forward": seq2seq_forward,
+    "seq2seq_counts": lambda s, d: seq2seq_forward(s, d).select("batch_id", "n_labels", F.col("n_greedy").cast("long").alias("n_greedy")),
+    "sample_columns_share": lambda s, d: dataset.sample_columns(written(corpus(s, d), "pairs"), 0.4, SEED).select("pos", F.md5("src").alias("src_md5"), F.md5("tgt").alias("tgt_md5")),
     "seq2seq_train": seq2seq_train,
     "seq2seq_train_synchronous": seq2seq_train_synchronous,
     "weights_roundtrip": weights_roundtrip,
@@ -221,6 +223,10 @@ SQL = {
     "sample_independent": f"""WITH {_PAIRS},
 a AS (SELECT row_number() OVER (ORDER BY md5(CAST(pair_id AS VARCHAR) || '-{SEED}'), pair_id) AS pos, src FROM pairs), b AS (SELECT row_number() OVER (ORDER BY md5(CAST(pair_id AS VARCHAR) || '-{SEED + 1}'), pair_id) AS pos, tgt FROM pairs)
 SELECT a.pos, md5(src) AS src_md5, md5(tgt) AS tgt_md5 FROM a JOIN b ON a.pos = b.pos WHERE a.pos <= 50""",
+    "sample_columns_share": f"""WITH {_PAIRS},
+a AS (SELECT row_number() OVER (ORDER BY md5(CAST(pair_id AS VARCHAR) || '-{SEED}'), pair_id) AS pos, src FROM pairs), b AS (SELECT row_number() OVER (ORDER BY md5(CAST(pair_id AS VARCHAR) || '-{SEED + 1}'), pair_id) AS pos, tgt FROM pairs)
+SELECT a.pos, md5(src) AS src_md5, md5(tgt) AS tgt_md5 FROM a JOIN b ON a.pos = b.pos WHERE a.pos <= floor(0.4::DOUBLE * (SELECT count(*) FROM pairs))""",
+    "seq2seq_counts": f"WITH {_IDS} SELECT batch_id, CAST(sum(len(tgt) - 1) AS BIGINT) AS n_labels, CAST(count(*) * (max(tw) - 1) AS BIGINT) AS n_greedy FROM pd GROUP BY batch_id",
     "train_val_split": f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {_ORDER.format('doc_id')}) <= floor(0.1 * (SELECT count(*) FROM documents)) THEN 'val' ELSE 'train' END AS part FROM documents",
     "bootstrap_epoch": f"WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents), c AS (SELECT count(*) AS n FROM documents) SELECT draw, o.doc_id FROM (SELECT range AS draw FROM range(0, (SELECT CAST(floor(0.7 * n) AS BIGINT) FROM c))) r JOIN o ON o.n = {_DRAW} % (SELECT n FROM c)",
     "batches_padded": f"WITH {_IDS} SELECT pair_id, batch_id, pos_in_batch, md5(array_to_string(list_resize(src, sw, 0), ' ')) AS src_md5, md5(array_to_string(list_resize(tgt, tw, 0), ' ')) AS tgt_md5 FROM pd",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.encode import Model
 
+#: The keys of a tokenizer's file.
 SCHEMA = "word_break string, ukn_token string, rules array<array<string>>, tokens array<string>"
 
 
