@@ -316,9 +316,10 @@ class LanguageModel:
 
             return run
 
-        # The ids' hashes alone choose the start's documents, so only those are moved.
+        # Hashes choose the start's documents, once each, and order them, so they are the same ones in the same order in every run.
         share = START_DOCS / max(docs.count(), START_DOCS)
-        first = docs.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1 << 40)) < int(share * (1 << 40))).select("text").repartition(1)
+        chosen = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).where(F.pmod(F.col("h"), F.lit(1 << 40)) < int(share * (1 << 40)))
+        first = chosen.groupBy("h").agg(F.min("text").alias("text")).repartition(1).sortWithinPartitions("h").select("text")
         for data, passes in ((first, START_PASSES), (only, 1)):
             flat, n = average(data.mapInArrow(fit(model.flat, passes), "part long, n long, flat binary"), len(model.flat))
             model.flat = flat.astype(np.float32) if n else model.flat
