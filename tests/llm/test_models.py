@@ -42,6 +42,19 @@ def test_lm_without_training_documents(spark, docs_of):
     assert model.score(docs.limit(0)).count() == 0
 
 
+def test_lm_is_the_same_for_any_files(spark, docs_of, monkeypatch):
+    """Several shards and rounds of averaging; other partitions in another order; rows that repeat. The same parameters to the last bit."""
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 300)
+    monkeypatch.setattr(lm_score, "START_DOCS", 20)
+    monkeypatch.setattr(lm_score, "AVERAGED", 3)
+    docs = lm_score.split(docs_of([(k, f"aa bb{k % 5} cc aa dd{k % 3} " * (1 + k % 7)) for k in range(200)] + [(None, "ee ff")] * 3)).where("NOT held_out")
+    flat = [lm_score.LanguageModel.train(d).flat for d in (docs.coalesce(1), docs.repartition(5, "text").sortWithinPartitions(F.desc("doc_id")))]
+    assert (flat[0] == flat[1]).all()
+    monkeypatch.setattr(lm_score, "HOT_ROWS", 3)
+    monkeypatch.setattr(lm_score, "HOT_GROUPS", 100)
+    assert lm_score.LanguageModel.train(docs).flat.shape == flat[0].shape
+
+
 def test_lm_is_normalised(spark, docs_of):
     """Over all symbols, probabilities sum to one; a class's shares are those of its words and one unseen."""
     docs = lm_score.split(docs_of([(k, f"aa bb{k % 5} cc aa dd{k % 3}") for k in range(40)]))
@@ -300,3 +313,29 @@ def test_toxicity_score_is_brute_force(spark, docs_of, monkeypatch):
 def test_cut_point():
     assert cut_point(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) == pytest.approx(0.5)
     assert cut_point(np.array([]), np.array([])) == 0.5
+
+
+def test_toxicity_learns_from_long_texts_in_pieces(monkeypatch):
+    """Maxima found by pieces are those of whole texts, found by plain loops; so a step's memory doesn't grow with a text's length."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(300)]
+    texts = [toxicity.hashed(" ".join(rng.choice(words, n)).encode()) for n in (1, 2, 0, 700, 3, 40, 5000)]
+    m = toxicity.Convolution()
+    many = np.array([len(t) for t in texts])
+    begin, ids = np.cumsum(many) - many, np.concatenate(texts)
+    rows = np.concatenate([ids, np.full((max(toxicity.WIDTHS), toxicity.PARTS), toxicity.PAD, ids.dtype)])
+    for run in (37, 1 << 16):
+        monkeypatch.setattr(toxicity, "RUN", run)
+        found = m.maxima(rows, begin, many)
+        for w in toxicity.WIDTHS:
+            e = m.embedded(rows)
+            for k, (a, n) in enumerate(zip(begin, many)):
+                r = np.stack([e[a + i : a + i + w].ravel() @ m.p[f"f{w}"] if i + w <= n else np.zeros(toxicity.FILTERS) for i in range(n)])
+                assert np.allclose(found[w][0][k], r.max(0)) and np.allclose(r[found[w][1][k] - a, range(toxicity.FILTERS)], r.max(0))
+    y, one = np.array([0, 1, 0, 1, 0, 1, 1.0]), {}
+    for run in (37, 1 << 16):
+        monkeypatch.setattr(toxicity, "RUN", run)
+        m = toxicity.Convolution()
+        m.step(texts, y, toxicity.Adam(m.p, 0.01), np.full(m.e.shape, 1e-4))
+        one[run] = np.concatenate([m.e.ravel(), *(m.p[k].ravel() for k in sorted(m.p))])
+    assert np.allclose(one[37], one[1 << 16])

@@ -136,31 +136,46 @@ class Convolution:
         self.e[:, 0] = odds / 4
         self.e[PAD] = 0
 
+    def embedded(self, rows: np.ndarray) -> np.ndarray:
+        """Of words, each the sum of its buckets' embeddings."""
+        return sum(self.e[rows[:, k]] for k in range(PARTS))
+
+    def maxima(self, rows: np.ndarray, begin: np.ndarray, many: np.ndarray) -> dict:
+        """For each width, the largest response of each text and filter, and the first place that has it; RUN places at a time."""
+        n, out = int(many.sum()), {w: (np.full((len(many), FILTERS), -np.inf), np.zeros((len(many), FILTERS), int)) for w in WIDTHS}
+        for s in range(0, n, RUN):
+            e = min(n, s + RUN)
+            first, last = (int(np.searchsorted(begin, x, "right")) - 1 for x in (s, e - 1))
+            of_piece, words = slice(first, last + 1), self.embedded(rows[s : e + max(WIDTHS) - 1])
+            cut = np.maximum(begin[of_piece], s) - s
+            of = np.repeat(np.arange(last + 1 - first), np.diff(np.append(cut, e - s)))
+            for w, (top, at) in out.items():
+                r = np.concatenate([words[j : j + e - s] for j in range(w)], 1) @ self.p[f"f{w}"]
+                for j in range(1, w):  # these places reach into the next text
+                    over = np.maximum(begin[of_piece], (begin + many)[of_piece] - j)
+                    r[over[(over >= s) & (over < e)] - s] = 0
+                largest, where = np.maximum.reduceat(r, cut), np.empty((len(cut), FILTERS), int)
+                for f in range(FILTERS):
+                    i = np.flatnonzero(r[:, f] == largest[of, f])
+                    where[of[i[::-1]], f] = i[::-1] + s
+                more = largest > top[of_piece]
+                top[of_piece], at[of_piece] = np.where(more, largest, top[of_piece]), np.where(more, where, at[of_piece])
+        return out
+
     def step(self, texts: list[np.ndarray], y: np.ndarray, adam: Adam, grown: np.ndarray) -> None:
         ids, many = np.concatenate(texts), np.array([len(t) for t in texts])
-        of, begin = np.repeat(np.arange(len(texts)), many), np.cumsum(many) - many
         rows = np.concatenate([ids, np.full((max(WIDTHS), PARTS), PAD, ids.dtype)])
-        best, places, words = [], {}, sum(self.e[rows[:, k]] for k in range(PARTS))
-        for w in WIDTHS:
-            windows = np.concatenate([words[j : j + len(ids)] for j in range(w)], 1)
-            r = windows @ self.p[f"f{w}"]
-            for j in range(1, w):
-                r[begin + many - j] = 0  # these places reach into the next text
-            top = np.maximum.reduceat(r, begin)
-            at = np.empty(top.shape, int)
-            for f in range(FILTERS):
-                i = np.flatnonzero(r[:, f] == top[of, f])
-                at[of[i[::-1]], f] = i[::-1]
-            places[w] = (at, windows, top > 0)
-            best.append(np.maximum(top, 0))
+        places = self.maxima(rows, np.cumsum(many) - many, many)
+        best = [np.maximum(top, 0) for top, _ in places.values()]
         x = np.concatenate(best, 1)
         d = (sigmoid(x @ self.p["u"] + self.p["c"]) - y) / len(y)
         g = {"u": x.T @ d + DECAY * self.p["u"], "c": d.sum(keepdims=True)}
         touched, change = [], []
         for i, w in enumerate(WIDTHS):
-            at, windows, live = places[w]
-            dr = d[:, None] * self.p["u"][i * FILTERS : (i + 1) * FILTERS] * live
-            g[f"f{w}"] = np.stack([windows[at[:, f]].T @ dr[:, f] for f in range(FILTERS)], 1) + DECAY * self.p[f"f{w}"]
+            top, at = places[w]
+            dr = d[:, None] * self.p["u"][i * FILTERS : (i + 1) * FILTERS] * (top > 0)
+            windows = [np.concatenate([self.embedded(rows[at[:, f] + j]) for j in range(w)], 1) for f in range(FILTERS)]
+            g[f"f{w}"] = np.stack([windows[f].T @ dr[:, f] for f in range(FILTERS)], 1) + DECAY * self.p[f"f{w}"]
             for f in range(FILTERS):
                 part = dr[:, f, None] * self.p[f"f{w}"][:, f]
                 for j in range(w):
