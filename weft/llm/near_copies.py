@@ -4,8 +4,8 @@ The contract of op4 links fingerprints; the corpus pipeline asks for similarity
 0.8 two 64-bit fingerprints differ in about nine bits, too many for cells that must miss none. So a text gets COPIES fingerprints
 (the same shingle hashes, mixed anew), and each is put, as in simhash, into the cells of disjoint subspaces of its two-bit segments,
 as wide as keeps about MET points in a cell. Points of one cell are candidates within Manhattan, then Hamming distance NEAR, and
-BOTH together with the next copy's fingerprint, so that chance candidates are a handful however large the table is. The shingle
-sets of every candidate pair decide.
+BOTH together with the next copy's fingerprint, so that chance candidates are a handful however large the table is. Sketches, counts
+of the shingles by their lowest bits, exclude pairs that can't be similar enough; the shingle sets of every other candidate pair decide.
 
 That joins large groups with few comparisons, but it may miss pairs. So an exact join follows, by prefixes: all
 shingles have one order, and two texts that are similar enough share one of the first of each (of n, all but similarity * n, and one
@@ -40,6 +40,8 @@ COPIES, MET, NEAR, BOTH = 4, 64, 12, 24
 #: LARGE texts or more isn't compared within itself again, if the members of all such are MEMBERS at most (else of larger ones only).
 SAMPLE, OFTEN, FREQUENT, LARGE, MEMBERS = 8, 3, 500_000, 8, 1_000_000
 LITTLE = 1e-6
+#: Counts of a sketch.
+SKETCH = 256
 #: Of a bitmap that is broadcast: 16 MB.
 BITS = 1 << 27
 
@@ -70,9 +72,14 @@ def hashes(text: bytes, words: int = WORDS, asked: np.ndarray | None = None) ->
     return own, mixed(h)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """How many of the distinct shingle hashes have each of the SKETCH lowest values; 255 is so many or more."""
+    return np.minimum(np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def signature(h: np.ndarray) -> np.ndarray:
     """COPIES fingerprints of distinct shingle hashes; the bits of each copy are the hashes', mixed with its number."""
-    h, out = np.unique(h), np.zeros(COPIES, np.uint64)
+    out = np.zeros(COPIES, np.uint64)
     if not len(h):
         return out
     for copy in range(COPIES):
@@ -85,18 +92,37 @@ def signature(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, c (of the class), fps."""
+    """doc_id, c (of the class), fps, size (of the shingle set), sketch."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             both = [hashes(t, words) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            c = np.array([x for x, _ in both], np.uint64).view(np.int64)
-            flat = np.concatenate([signature(h) for _, h in both]) if both else np.empty(0, np.uint64)
+            c, sets = np.array([x for x, _ in both], np.uint64).view(np.int64), [np.unique(h) for _, h in both]
+            flat = np.concatenate([signature(h) for h in sets]) if both else np.empty(0, np.uint64)
             fps = pa.ListArray.from_arrays(pa.array(np.arange(len(both) + 1) * COPIES, pa.int32()), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(c), fps], ["doc_id", "c", "fps"])
+            own = [pa.array([len(h) for h in sets], pa.int64()), pa.array([sketch(h) for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(c), fps, *own], ["doc_id", "c", "fps", "size", "sketch"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, c long, fps array<long>, size long, sketch binary")
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) that can be of the similarity: sets share at most the smaller count of each value. Loses none that are."""
+    side = lambda k, n, f: sketches.select(F.col("c").alias(k), F.col("size").alias(n), F.col("sketch").alias(f)).hint("merge")
+    both = pairs.join(side("u", "m", "x"), "u").join(side("v", "n", "y"), "v")
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("x", "y"))
+            small = np.minimum(x, y)
+            most = np.where((small == 255).any(1), np.inf, small.sum(1, dtype=np.int64))
+            of_both = b.column("m").to_numpy() + b.column("n").to_numpy()
+            yield b.select(["u", "v"]).filter(pa.array(most * (1 + similarity) >= similarity * of_both * (1 - LITTLE)))
 
-    return texts(docs).mapInArrow(run, "doc_id long, c long, fps array<long>")
+    return both.select("u", "v", "m", "n", "x", "y").mapInArrow(run, "u long, v long")
 
 
 def bitmap(pairs: DataFrame) -> np.ndarray:
@@ -292,8 +318,9 @@ def exact_candidates(docs: DataFrame, rooted: DataFrame, words: int, similarity:
     return pairs.distinct()
 
 
-def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) whose sets of shingles are of the similarity."""
+def similar(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets of shingles are of the similarity. Sketches exclude most of the others before sets are moved."""
+    pairs = written(plausible(pairs, sketches, similarity), "plausible")
     sets = written(shingles(docs, pairs, words).dropDuplicates(["c"]), "shingles")
     side = lambda k, f: sets.select(F.col("c").alias(k), F.col("s").alias(f))
     both = pairs.join(side("u", "x").hint("merge"), "u").join(side("v", "y").hint("merge"), "v")
@@ -310,8 +337,9 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     """Per row: doc_id, component_id (the smallest doc_id that links of that similarity reach)."""
     spark = docs.sparkSession
     own = written(signatures(docs, words), "signatures")
-    classes = written(own.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.min_by("fps", "doc_id").alias("a"), F.max("fps").alias("b")), "classes")
-    classes = classes.select("c", "doc_id", "n", F.coalesce("a", "b").alias("fps"))  # without a doc_id there is no least
+    classes = written(own.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.max(F.struct("fps", "size", "sketch")).alias("x")), "classes")
+    sketches = classes.select("c", "x.size", "x.sketch")
+    classes = classes.select("c", "doc_id", "n", "x.fps")  # the same for all texts of a class
 
     span = span_for(classes.count())
     masks = [sum(3 << 2 * k for k in range(j, j + span)) for j in range(0, SEGMENTS - span + 1, span)]
@@ -322,12 +350,12 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     cells = blocked(cells, "fp", "more", "c")
     pairs = cells.mapInArrow(lambda batches: cell_links(batches, NEAR, BOTH), "u long, v long")
     pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
-    close = similar(docs, pairs, words, similarity)
+    close = similar(docs, pairs, sketches, words, similarity)
     of_root = lambda root: written(classes.select("c", "doc_id", "n").join(root, F.col("c") == F.col("u"), "left").select("c", "doc_id", "n", F.coalesce("root", "c").alias("root")), "rooted")
     root = written(components(close), "roots")
 
     missed = exact_candidates(docs, of_root(root), words, similarity).join(pairs, ["u", "v"], "left_anti")
-    more = similar(docs, written(missed, "missed"), words, similarity)
+    more = similar(docs, written(missed, "missed"), sketches, words, similarity)
     rooted = of_root(written(components(root.select("u", F.col("root").alias("v")).unionByName(more)), "roots"))
     per_root = written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
     of_class = lookup(rooted.select("c", "root", F.col("n").alias("rows")), per_root, "root", classes.count())
