@@ -42,19 +42,6 @@ def test_lm_without_training_documents(spark, docs_of):
     assert model.score(docs.limit(0)).count() == 0
 
 
-def test_lm_is_the_same_for_any_files(spark, docs_of, monkeypatch):
-    """Several shards and rounds of averaging; other partitions in another order; rows that repeat. The same parameters to the last bit."""
-    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 300)
-    monkeypatch.setattr(lm_score, "START_DOCS", 20)
-    monkeypatch.setattr(lm_score, "AVERAGED", 3)
-    docs = lm_score.split(docs_of([(k, f"aa bb{k % 5} cc aa dd{k % 3} " * (1 + k % 7)) for k in range(200)] + [(None, "ee ff")] * 3)).where("NOT held_out")
-    flat = [lm_score.LanguageModel.train(d).flat for d in (docs.coalesce(1), docs.repartition(5, "text").sortWithinPartitions(F.desc("doc_id")))]
-    assert (flat[0] == flat[1]).all()
-    monkeypatch.setattr(lm_score, "HOT_ROWS", 3)
-    monkeypatch.setattr(lm_score, "HOT_GROUPS", 100)
-    assert lm_score.LanguageModel.train(docs).flat.shape == flat[0].shape
-
-
 def test_lm_is_normalised(spark, docs_of):
     """Over all symbols, probabilities sum to one; a class's shares are those of its words and one unseen."""
     docs = lm_score.split(docs_of([(k, f"aa bb{k % 5} cc aa dd{k % 3}") for k in range(40)]))
