@@ -129,17 +129,53 @@ def test_file(monkeypatch):
     w, parts = simple8b.Writer(f), []
     for k in range(40):
         x = rng.integers(0, [2, 60_000, 2**63][k % 3], rng.integers(0, 700)).astype(np.uint64)
-        w.add([(k if k else None, len(x))], x)
+        w.add(np.array([k]), np.array([k == 0]), np.array([len(x)]), x)
         parts.append(x)
     w.close()
     r, every = simple8b.Reader(type("F", (), {"size": lambda s: len(f.data), "read_at": lambda s, n, at: BufferReader(f.data).read_at(n, at)})()), np.concatenate(parts)
-    assert [n for _, n in r.docs] == [len(x) for x in parts] and r.docs[0][0] is None and r.n_ids == len(every)
+    assert r.many.tolist() == [len(x) for x in parts] and r.doc_ids.tolist() == list(range(40)) and r.null.tolist() == [True] + [False] * 39 and r.n_ids == len(every)
     for a, b in ((0, len(every)), (5, 5), (1000, 1030), (1024, 2048), (len(every) - 3, len(every))):
         assert (r.ids(a, b) == every[a:b]).all()
     with pytest.raises(ValueError):
         simple8b.Reader(type("F", (), {"size": lambda s: 100, "read_at": lambda s, n, at: b"x" * n})())
 
 
+def test_millions_of_empty_texts_take_little_memory(monkeypatch):
+    """Each is the end id alone."""
+    import tracemalloc
+
+    class Nothing:
+        def write(self, x):
+            pass
+
+        def close(self):
+            pass
+
+    tracemalloc.start()
+    w = simple8b.Writer(Nothing())
+    for k in range(40):
+        w.add(np.arange(100_000) + 100_000 * k, np.zeros(100_000, bool), np.ones(100_000, np.int64), np.zeros(100_000, np.uint32))
+    held = tracemalloc.get_traced_memory()[0]
+    w.close()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert w.docs == w.ids == 4_000_000 and held < 100e6 and most < 300e6
+
+
+def test_files_end_by_documents_too(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(id_files, "FILE_DOCS", 3)
+    monkeypatch.setattr(id_files, "READ_DOCS", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        docs = docs_of([(k, "a b" * (k % 3)) for k in range(20)])
+        files = id_files.write(docs, "file:" + scratch(spark, "ids").removeprefix("file:"), tokens.path_of("byte_bpe_50k.json"))
+        rows = id_files.read_back(files).orderBy("doc_id").collect()
+        assert files.count() >= 5 and [r["doc_id"] for r in rows] == list(range(20))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["start"] for r in rows] == [sum(r["n_tokens"] for r in rows[:k]) for k in range(20)]
+
+
 def test_id_files(spark, odd, docs_of, monkeypatch):
     path = tokens.path_of("byte_bpe_50k.json")
     assert id_files.read_back(id_files.write(docs_of([]), scratch(spark, "f"), path)).count() == 0

@@ -14,6 +14,8 @@ Every word is decoded by itself, so decoding needs no loop over words.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 MAGIC, BLOCK = b"WEFTS8B1", 1024
@@ -97,12 +99,19 @@ class Writer:
     def __init__(self, file):
         self.file, self.held, self.n_held = file, [], 0
         self.words = self.ids = 0
-        self.escapes, self.blocks, self.docs = [], [], []
+        self.escapes, self.blocks = [], []
+        self.doc_ids, self.many, self.null = array("q"), array("q"), bytearray()  # 17 bytes a document
         file.write(MAGIC)
 
-    def add(self, docs: list[tuple[int | None, int]], ids: np.ndarray) -> None:
-        """docs: doc_ids and how many of ids are each one's."""
-        self.docs += docs
+    @property
+    def docs(self) -> int:
+        return len(self.null)
+
+    def add(self, doc_ids: np.ndarray, null: np.ndarray, many: np.ndarray, ids: np.ndarray) -> None:
+        """doc_ids and which are null, and how many of ids are each one's."""
+        self.doc_ids.frombytes(np.where(null, 0, doc_ids).astype("<i8").tobytes())
+        self.many.frombytes(many.astype("<i8").tobytes())
+        self.null += null.astype("u1").tobytes()
         self.held.append(ids)
         self.n_held += len(ids)
         if self.n_held >= self.RUN:
@@ -124,11 +133,10 @@ class Writer:
     def close(self) -> None:
         self._flush(self.n_held)
         parts = [np.concatenate(self.escapes), np.concatenate(self.blocks)]
-        parts += [np.array([d or 0 for d, _ in self.docs], "<i8"), np.array([n for _, n in self.docs], "<i8")]
-        parts += [np.array([d is None for d, _ in self.docs], "u1")]
+        parts += [np.frombuffer(x, k) for x, k in ((self.doc_ids, "<i8"), (self.many, "<i8"), (self.null, "u1"))]
         for p, kind in zip(parts, ("<u8", "<u8", "<i8", "<i8", "u1")):
             self.file.write(p.astype(kind).tobytes())
-        self.file.write(np.array([self.words, len(parts[0]), len(parts[1]), len(self.docs), self.ids], "<u8").tobytes() + MAGIC)
+        self.file.write(np.array([self.words, len(parts[0]), len(parts[1]), self.docs, self.ids], "<u8").tobytes() + MAGIC)
         self.file.close()
 
 
@@ -146,8 +154,8 @@ class Reader:
         self.blocks = np.frombuffer(file.read_at(8 * n_blocks, at), "<u8").astype(np.int64)
         at += 8 * n_blocks
         docs = np.frombuffer(file.read_at(16 * n_docs, at), "<i8")
-        null = np.frombuffer(file.read_at(n_docs, at + 16 * n_docs), "u1")
-        self.docs = list(zip([None if x else d for d, x in zip(docs[:n_docs].tolist(), null)], docs[n_docs:].tolist()))
+        self.doc_ids, self.many = docs[:n_docs], docs[n_docs:]
+        self.null = np.frombuffer(file.read_at(n_docs, at + 16 * n_docs), "u1").astype(bool)
 
     def ids(self, begin: int, end: int) -> np.ndarray:
         """Ids begin to end of the file, from the blocks that hold them."""
