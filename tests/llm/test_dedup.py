@@ -7,6 +7,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from weft.bucketed import SORTED, Bucketed
 from weft.llm import common, components, exact_dedup, near_copies, simhash
 from weft.store import scratch
 
@@ -52,7 +53,7 @@ def test_a_batch_that_runs_again_gives_the_same_rows(spark, docs_of):
     assert sorted(exact_dedup.DigestIndex(spark, path, 4).dedup(b, "monday").collect()) == first
     assert exact_dedup.DigestIndex(spark, path, 4).rows().count() == 2
     assert not [x for x in spark.catalog.listTables() if x.name.startswith("weft_")]
-    assert spark.conf.get(exact_dedup.SORTED, None) is None
+    assert spark.conf.get(SORTED, None) is None
 
 
 @pytest.mark.parametrize("at", ["write 1", "write 2", "write 3", "publish", "compact"])
@@ -74,8 +75,8 @@ def test_a_batch_that_is_killed_and_runs_again(spark, docs_of, monkeypatch, at):
         return run
 
     with monkeypatch.context() as m:
-        m.setattr(exact_dedup.DigestIndex, "_write", killed("write", exact_dedup.DigestIndex._write))
-        m.setattr(exact_dedup.DigestIndex, "_publish", killed("publish", exact_dedup.DigestIndex._publish))
+        m.setattr(Bucketed, "write", killed("write", Bucketed.write))
+        m.setattr(Bucketed, "publish", killed("publish", Bucketed.publish))
         m.setattr(exact_dedup.DigestIndex, "compact", killed("compact", exact_dedup.DigestIndex.compact))
         m.setattr(exact_dedup, "FILES", 0)
         with pytest.raises(KeyboardInterrupt):
@@ -96,10 +97,10 @@ def test_index_is_compacted(spark, docs_of, monkeypatch):
         index = exact_dedup.DigestIndex(spark, path, 2)
         got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in index.dedup(docs_of([(10 * k + j, f"t{j} {k // 2}") for j in range(8)])).collect()}
         assert got == {10 * k + j: (10 * (k // 2 * 2) + j, k % 2 == 0) for j in range(8)}
-    assert len({r["folder"] for r in index._meta()}) > 1 and index.rows().count() == 24
+    assert len({r["folder"] for r in index.table.meta()}) > 1 and index.rows().count() == 24
     index.compact()
-    with index._tables() as known:
-        one = lambda: spark.table(known(f"{path}/{index._meta()[-1]['folder']}", exact_dedup.DIGESTS, 2)).hint("merge")
+    with index.table.tables() as known:
+        one = lambda: spark.table(known(f"{path}/{index.table.meta()[-1]['folder']}", 2)).hint("merge")
         plan = one().join(one(), "digest")._jdf.queryExecution().toString()
     assert len(index.rows().inputFiles()) == 2 and "SortMergeJoin" in plan
     assert not any(x in plan.split("Physical Plan")[1] for x in ("Exchange", "Sort ["))
@@ -326,3 +327,19 @@ def test_near_copies_are_brute_force_on_a_table(spark):
         root[max(a, b)] = min(a, b)
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
     assert got == {i: rows[find(k)][0] for k, (i, _) in enumerate(rows)} and len(near) > distinct > 0
+
+
+@pytest.mark.parametrize("values", [256, 2])
+def test_sketches_exclude_no_similar_pair(spark, monkeypatch, values):
+    """With two values counts pass 255, which then excludes nothing."""
+    monkeypatch.setattr(near_copies, "SKETCH", values)
+    rng, sets = np.random.default_rng(4), []
+    for k in range(60):
+        base = rng.integers(0, 2**63, [40, 700, 2000][k % 3], dtype=np.uint64)
+        sets += [np.unique(base), np.unique(np.concatenate([base[: int(len(base) * rng.uniform(0.7, 1))], rng.integers(0, 2**63, len(base) // 12, dtype=np.uint64)]))]
+    sketches = spark.createDataFrame([(c, len(s), bytearray(near_copies.sketch(s))) for c, s in enumerate(sets)], "c long, size long, sketch binary")
+    pairs = [(u, v) for u in range(len(sets)) for v in range(u + 1, min(len(sets), u + 8))]
+    got = {(r["u"], r["v"]) for r in near_copies.plausible(spark.createDataFrame(pairs, "u long, v long"), sketches, 0.8).collect()}
+    alike = lambda u, v: len(np.intersect1d(sets[u], sets[v])) / len(np.union1d(sets[u], sets[v])) >= 0.8
+    want = {p for p in pairs if alike(*p)}
+    assert want <= got and len(want) > 10 and (values == 2 or len(got) < 0.5 * len(pairs))

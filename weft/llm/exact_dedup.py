@@ -21,20 +21,16 @@ leaves the index as it was. Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..bucketed import Bucketed
 from .common import WHITE, lookup, read, scratch, texts, with_ids, written
 
-META = "seq int, folder string, buckets int, attempt string, batch string"
-DIGESTS = "digest BINARY, keep_id BIGINT, n BIGINT, attempt STRING"
+DIGESTS = "digest BINARY, keep_id BIGINT, n BIGINT"
 RESULT = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
 BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS, FILES = 2_000_000, 24, 100_000, 8
-#: A scan of a bucketed table then says that it is sorted, where every bucket is one file.
-SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def normalised(text):
@@ -50,108 +46,56 @@ class DigestIndex:
     """A growing set of digests with the doc_id that stands for each, bucketed and sorted by digest. buckets: how many, if given."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path, self.given = spark, path.rstrip("/"), buckets
-
-    def _meta(self) -> list:
-        """What was published, in order: a row for each batch and each time that the index was written anew."""
-        try:
-            return self.spark.read.schema(META).parquet(f"{self.path}/meta").orderBy("seq").collect()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return []
-
-    def _publish(self, seq: int, folder: str, buckets: int, attempt: str, batch: str | None) -> None:
-        self.spark.createDataFrame([(seq, folder, buckets, attempt, batch)], META).coalesce(1).write.mode("append").parquet(f"{self.path}/meta")
+        self.spark, self.given, self.table = spark, buckets, Bucketed(spark, path, "digest", DIGESTS)
 
     def _buckets_for(self, rows: int) -> int:
         return self.given or min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS)))
 
-    @contextmanager
-    def _tables(self):
-        """Makes bucketed tables known to the catalog; afterwards they are not, and their files stay."""
-        before, names = self.spark.conf.get(SORTED, None), []
-
-        def known(path: str, columns: str, buckets: int) -> str:
-            names.append(f"weft_{uuid.uuid4().hex}")
-            self.spark.sql(f"CREATE TABLE {names[-1]} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
-            return names[-1]
-
-        self.spark.conf.set(SORTED, "true")
-        try:
-            yield known
-        finally:
-            for name in names:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            self.spark.conf.unset(SORTED) if before is None else self.spark.conf.set(SORTED, before)
-
-    @staticmethod
-    def _holding(meta: list) -> list[str]:
-        """The attempts whose digests count: those published since the folder that holds was begun."""
-        return [r["attempt"] for r in meta if r["folder"] == meta[-1]["folder"]]
-
     def rows(self) -> DataFrame:
         """digest, keep_id, n."""
-        meta = self._meta()
-        if not meta:
-            return self.spark.createDataFrame([], "digest binary, keep_id long, n long")
-        files = self.spark.read.schema(DIGESTS).parquet(f"{self.path}/{meta[-1]['folder']}")
-        return files.where(F.col("attempt").isin(self._holding(meta))).select("digest", "keep_id", "n")
-
-    def _write(self, df: DataFrame, table: str, buckets: int) -> None:
-        df.write.mode("append").format("parquet").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(table)
+        return self.table.rows().select("digest", "keep_id", "n")
 
     def compact(self) -> None:
-        """Write the index anew, one file a bucket. The files of before stay until they are deleted by hand."""
-        meta, attempt = self._meta(), uuid.uuid4().hex
-        if not meta:
-            return
-        with self._tables() as known:
-            rows = self.spark.table(known(f"{self.path}/{meta[-1]['folder']}", DIGESTS, meta[-1]["buckets"])).where(F.col("attempt").isin(self._holding(meta)))
-            buckets = max(meta[-1]["buckets"], self._buckets_for(rows.count()))
-            if buckets != meta[-1]["buckets"]:
-                rows = rows.repartition(buckets, "digest")
-            # Digests are distinct; grouping by them keeps a task to a bucket, without a shuffle if their number is as before.
-            one = rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"), F.lit(attempt).alias("attempt"))
-            self._write(one, known(f"{self.path}/index-{attempt}", DIGESTS, buckets), buckets)
-        self._publish(meta[-1]["seq"] + 1, f"index-{attempt}", buckets, attempt, None)
+        """Write the index anew, one file a bucket."""
+        self.table.write_anew(lambda rows: rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")), self._buckets_for)
 
     def dedup(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """Add docs to the index. Per row: doc_id, keep_id, group_size, kept, text_sha256. batch: a name; see above."""
-        meta = self._meta()
+        meta = self.table.meta()
         attempt = next((r["attempt"] for r in meta if batch is not None and r["batch"] == batch), None)
         if not attempt:
             attempt = uuid.uuid4().hex
-            with self._tables() as known:
-                self._add(docs, meta, attempt, batch, known)
-        return self.spark.read.schema(RESULT).parquet(f"{self.path}/results/{attempt}")
+            self._add(docs, meta, attempt, batch)
+        return self.spark.read.schema(RESULT).parquet(f"{self.table.path}/results/{attempt}")
 
-    def _add(self, docs: DataFrame, meta: list, attempt: str, batch: str | None, known) -> None:
+    def _add(self, docs: DataFrame, meta: list, attempt: str, batch: str | None) -> None:
         own = written(digests(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
         total = own.count()
-        folder, buckets = (meta[-1]["folder"], meta[-1]["buckets"]) if meta else (f"index-{attempt}", self._buckets_for(total))
-        index = known(f"{self.path}/{folder}", DIGESTS, buckets)
+        folder, buckets = (meta[-1]["folder"], meta[-1]["buckets"]) if meta else (f"table-{attempt}", self._buckets_for(total))
         # The first row of each digest: by doc_id, null last; of rows that repeat an id, as they were read.
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
         groups = own.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n"))
         groups = groups.select("digest", F.col("first.doc_id").alias("own_id"), F.col("first.row").alias("own_row"), "n")
-        stage = known(scratch(self.spark, "groups"), "digest BINARY, own_id BIGINT, own_row BIGINT, n BIGINT", buckets)
-        self._write(groups.repartition(buckets, "digest"), stage, buckets)
-
-        # One read of the index tells which digests it has and who stands for them. What is found lies in the same buckets.
-        had = self.spark.table(index).where(F.col("attempt").isin(self._holding(meta) if meta else [])).select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("had"))
-        old = F.coalesce("had", F.lit(False))
-        met = self.spark.table(stage).hint("merge").join(had, "digest", "left").select("digest", F.when(old, F.col("old_id")).otherwise(F.col("own_id")).alias("keep_id"), "own_row", "n", old.alias("old"))
-        found = known(scratch(self.spark, "found"), "digest BINARY, keep_id BIGINT, own_row BIGINT, n BIGINT, old BOOLEAN", buckets)
-        self._write(met, found, buckets)
-        found = self.spark.table(found)
-
-        both = lookup(own, found.withColumn("group_size", F.col("n")), "digest", total)
-        kept = ~F.col("old") & (F.col("row") == F.col("own_row"))
-        both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")).write.parquet(f"{self.path}/results/{attempt}")
-        self._write(found.where("NOT old").select("digest", "keep_id", "n", F.lit(attempt).alias("attempt")), index, buckets)
-        self._publish(meta[-1]["seq"] + 1 if meta else 0, folder, buckets, attempt, batch)
-        files = len(self.spark.read.schema(DIGESTS).parquet(f"{self.path}/{folder}").inputFiles())
+        with self.table.tables() as known:
+            index = known(f"{self.table.path}/{folder}", buckets)
+            stage = known(scratch(self.spark, "groups"), buckets, "digest BINARY, own_id BIGINT, own_row BIGINT, n BIGINT")
+            self.table.write(groups.repartition(buckets, "digest"), stage, buckets)
+
+            # One read of the index tells which digests it has and who stands for them. What is found lies in the same buckets.
+            had = self.table.held(self.spark.table(index), meta).select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("had"))
+            old = F.coalesce("had", F.lit(False))
+            met = self.spark.table(stage).hint("merge").join(had, "digest", "left").select("digest", F.when(old, F.col("old_id")).otherwise(F.col("own_id")).alias("keep_id"), "own_row", "n", old.alias("old"))
+            found = known(scratch(self.spark, "found"), buckets, "digest BINARY, keep_id BIGINT, own_row BIGINT, n BIGINT, old BOOLEAN")
+            self.table.write(met, found, buckets)
+            found = self.spark.table(found)
+
+            both = lookup(own, found.withColumn("group_size", F.col("n")), "digest", total)
+            kept = ~F.col("old") & (F.col("row") == F.col("own_row"))
+            result = both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+            result.write.parquet(f"{self.table.path}/results/{attempt}")
+            self.table.write(found.where("NOT old").select("digest", "keep_id", "n", F.lit(attempt).alias("attempt")), index, buckets)
+        self.table.publish(meta, folder, buckets, attempt, batch)
+        files = self.table.files(self.table.meta())
         if files > FILES * buckets or not self.given and files > buckets and self._buckets_for(self.rows().count()) > 2 * buckets:
             self.compact()
 
