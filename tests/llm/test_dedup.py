@@ -275,6 +275,27 @@ def test_near_copies_inside_a_family_are_found(spark, docs_of, monkeypatch, cell
     assert 20 < len(set(want)) < 110 and [got[k] for k in range(len(rows))] == want
 
 
+@pytest.mark.parametrize("side", [256, 16])
+def test_texts_near_a_large_group_are_not_paired_with_each_member(spark, docs_of, monkeypatch, side):
+    """Sixty texts about a group of a hundred near copies, some in reach of a few members only: all links, and few pairs to compare."""
+    monkeypatch.setattr(near_copies, "SIDE", side)
+    rng = np.random.default_rng(3)
+    w = [f"w{k}" for k in range(300)]
+    core = [edited(rng, w, 0.003) for _ in range(100)]
+    rows = core + [edited(rng, core[k].split(), 0.028) for k in range(60)]
+    similar, compared = near_copies.similar, []
+
+    def counting(docs, pairs, *rest):
+        compared.append(pairs.count())
+        return similar(docs, pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "similar", counting)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs_of(list(enumerate(rows)))).collect()}
+    want = roots(rows, lambda a, b: jaccard(a, b) >= 0.8)
+    assert 5 < len(set(want)) < 55 and [got[k] for k in range(len(rows))] == want
+    assert sum(compared[1:]) < 3000, compared
+
+
 def test_short_near_copies_are_found(spark, docs_of):
     """Of n words and one word more: n - 4 of n - 3 shingles are shared."""
     words = [f"{k}-{j}" for k in range(120) for j in range(8 + k % 3)]

@@ -10,7 +10,10 @@ of the shingles by their lowest bits, exclude pairs that can't be similar enough
 That joins large groups with few comparisons, but it may miss pairs. So an exact join follows, by prefixes: all
 shingles have one order, and two texts that are similar enough share one of the first of each (of n, all but similarity * n, and one
 more). Texts that share such a shingle, and have enough left from there on, are compared as sets, unless they are in one large
-group already or were compared before. Every pair of the similarity is found, in whatever order the shingles are; the order only
+group already or were compared before. A text that shares one with members of a large group is not paired with each of them: it is noted
+once beside the group, and its sketch is held against those of all members within tasks. It is compared with the likeliest member of
+each block of them, and only if that doesn't link it, with every other that is plausible.
+Every pair of the similarity is found, in whatever order the shingles are; the order only
 saves work: shingles that are frequent in one of SAMPLE texts come last, so a passage that many texts share is seldom among the
 first. Every link of either part is one that the shingle sets have.
 
@@ -39,6 +42,8 @@ COPIES, MET, NEAR, BOTH = 4, 64, 12, 24
 #: Only work depends on these: frequent shingles are those met OFTEN times in one of SAMPLE texts, FREQUENT of them at most; a group of
 #: LARGE texts or more isn't compared within itself again, if the members of all such are MEMBERS at most (else of larger ones only).
 SAMPLE, OFTEN, FREQUENT, LARGE, MEMBERS = 8, 3, 500_000, 8, 1_000_000
+#: Of the sketches that meet in one task a side has about SIDE, unless that makes more than SIDES blocks, and SIDE_MOST then.
+SIDE, SIDES, SIDE_MOST = 256, 64, 4096
 LITTLE = 1e-6
 #: Counts of a sketch.
 SKETCH = 256
@@ -242,9 +247,10 @@ def pairs_of(run: np.ndarray, c: np.ndarray, size: np.ndarray, left: np.ndarray,
 
 
 def cell_pairs(cells: DataFrame, keys: list[str], similarity: float, groups) -> DataFrame:
-    """u, v to compare, of rows sorted by keys. The rows of a run of more than CELL come back instead, with v null, if keys are cells."""
-    most, kind = simhash.CELL, "u long, v long, cell long, size int, left int"
-    names = ["u", "v", "cell", "size", "left"]
+    """u, v to compare, of rows sorted by keys; where one is in a large group, the other as u and the group's root instead, v null.
+    The rows of a run of more than CELL come back instead, with v and root null, if keys are cells."""
+    most, kind = simhash.CELL, "u long, v long, cell long, size int, left int, root long"
+    names = ["u", "v", "cell", "size", "left", "root"]
 
     def found(key, cell, c, size, left):
         change = (key[1:] != key[:-1]).any(1)
@@ -253,31 +259,38 @@ def cell_pairs(cells: DataFrame, keys: list[str], similarity: float, groups) ->
         if len(keys) == 1:
             own = (many > most)[run]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[own]), pa.nulls(int(own.sum()), pa.int64()), pa.array(cell[own]), pa.array(size[own]), pa.array(left[own])], names)
+                none = pa.nulls(int(own.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c[own]), none, pa.array(cell[own]), pa.array(size[own]), pa.array(left[own]), none], names)
         keep = np.flatnonzero((many > 1)[run] & ((many <= most)[run] | (len(keys) > 1)))
         run, c, size, left = run[keep], c[keep], size[keep], left[keep]
         if not len(c):
             return
         members, roots = groups.value
-        group = c.copy()
+        group, large = c.copy(), np.zeros(len(c), bool)
         if len(members):
             at = np.minimum(np.searchsorted(members, c), len(members) - 1)
-            group = np.where(members[at] == c, roots[at], c)
-        ready, have = [], 0
+            large = members[at] == c
+            group = np.where(large, roots[at], c)
+        ready, near, have = [], [], 0
         for i, j in pairs_of(run, c, size, left, group, similarity):
-            ready.append((c[i], c[j]))
+            i, j = np.where(large[i] & ~large[j], (j, i), (i, j))
+            into = large[j]
+            ready.append((np.minimum(c[i], c[j])[~into], np.maximum(c[i], c[j])[~into]))
+            near.append((c[i][into], group[j][into]))
             have += len(i)
             if have > RUN:
-                yield linked(ready)
-                ready, have = [], 0
+                yield from linked(ready, near)
+                ready, near, have = [], [], 0
         if have:
-            yield linked(ready)
+            yield from linked(ready, near)
 
-    def linked(ready):
-        u, v = (np.concatenate(x) for x in zip(*ready))
-        both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-        none = [pa.nulls(len(both), t) for t in (pa.int64(), pa.int32(), pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), *none], names)
+    def linked(ready, near):
+        for found, of_root in ((ready, False), (near, True)):
+            both = np.unique(np.stack([np.concatenate(x) for x in zip(*found)], 1), axis=0)
+            if len(both):
+                none = [pa.nulls(len(both), t) for t in (pa.int64(), pa.int32(), pa.int32())]
+                u, v = (pa.array(both[:, k].copy()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([u, none[0], *none, v] if of_root else [u, v, *none, none[0]], names)
 
     def run(batches):
         held, n = [], 0
@@ -299,28 +312,68 @@ def cell_pairs(cells: DataFrame, keys: list[str], similarity: float, groups) ->
     return cells.mapInArrow(run, kind)
 
 
-def exact_candidates(docs: DataFrame, rooted: DataFrame, words: int, similarity: float) -> DataFrame:
-    """rooted: c, root. Distinct pairs (u, v) that hold all of the similarity but those within a large group."""
+def exact_candidates(docs: DataFrame, rooted: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rooted: c, root. Distinct pairs (u, v) that hold, with what is near large groups, all of the similarity but those within a large group.
+
+    Also the members (root, c) of large groups, and texts near such a group: distinct (u, root). Which member u may be similar to is open.
+    """
     spark = docs.sparkSession
     per_root = written(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LARGE), "groups")
     least = least_of(per_root.groupBy("n").agg(F.sum("n").alias("times")), MEMBERS, LARGE)
-    table = rooted.join(per_root.where(F.col("n") >= least).select("root"), "root").select("c", "root").toArrow()
+    members = written(rooted.join(per_root.where(F.col("n") >= least).select("root"), "root").select("root", "c"), "members")
+    table = members.toArrow()
     c, root = (table.column(k).to_numpy() for k in ("c", "root"))
     order = np.argsort(c)
     groups = spark.sparkContext.broadcast((c[order], root[order]))
     cells = prefixes(docs, words, similarity).repartition("cell").sortWithinPartitions("cell")
     first = written(cell_pairs(cells, ["cell"], similarity, groups), "prefix-pairs")
-    pairs = first.where("v IS NOT NULL").select("u", "v")
-    large = first.where("v IS NULL").select(F.lit(0).alias("space"), "cell", "size", "left", F.col("u").alias("c"))
+    found = first.select("u", "v", "root")
+    large = first.where("v IS NULL AND root IS NULL").select(F.lit(0).alias("space"), "cell", "size", "left", F.col("u").alias("c"))
     if large.limit(1).count():
         dealt = blocked(large.distinct(), "size", "left", "c")
-        pairs = pairs.unionByName(written(cell_pairs(dealt, ["space", "cell", "a", "b"], similarity, groups), "prefix-pairs").select("u", "v"))
-    return pairs.distinct()
+        found = found.unionByName(written(cell_pairs(dealt, ["space", "cell", "a", "b"], similarity, groups), "prefix-pairs").select("u", "v", "root"))
+    return found.where("v IS NOT NULL").select("u", "v").distinct(), members, written(found.where("root IS NOT NULL").select("u", "root").distinct(), "near-groups")
+
+
+def in_groups(near: DataFrame, members: DataFrame, sketches: DataFrame, similarity: float, best: bool = False) -> DataFrame:
+    """near: u, root. Pairs (u, v) of u with those members of the group that it can be similar to, by sketches; best: with one a block.
+
+    Both sides are dealt into blocks, and every two blocks of a group meet in one task; pairs that sketches exclude make no rows.
+    """
+    blocks = lambda n: F.greatest(F.least(F.ceil(n / SIDE), F.lit(SIDES)), F.ceil(n / SIDE_MOST)).cast("int")
+    asked = near.groupBy("root").agg(blocks(F.count(F.lit(1))).alias("of_u"))
+    shape = written(members.groupBy("root").agg(blocks(F.count(F.lit(1))).alias("of_v")).join(asked, "root"), "shape")
+    both = near.select("root", F.col("u").alias("c"), F.lit(True).alias("asks")).unionByName(members.select("root", "c", F.lit(False).alias("asks")))
+    both = both.join(F.broadcast(shape), "root").join(sketches, "c")
+    own = lambda of: F.array(F.pmod(F.xxhash64("c"), F.col(of)).cast("int"))
+    every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    both = both.withColumn("a", F.explode(F.when(F.col("asks"), own("of_u")).otherwise(every("of_u"))))
+    both = both.withColumn("b", F.explode(F.when(F.col("asks"), every("of_v")).otherwise(own("of_v"))))
+
+    def run(table: pa.Table) -> pa.Table:
+        c, size = table.column("c").to_numpy(), table.column("size").to_numpy()
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        counts = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        v, n, y = c[~asks], size[~asks], counts[~asks]
+        found = [(v[:0], v[:0])]
+        for u, m, x in zip(c[asks], size[asks], counts[asks]):
+            may = np.flatnonzero((np.minimum(m, n) * (1 + similarity) >= similarity * (m + n) * (1 - LITTLE)) & (v != u))
+            small = np.minimum(y[may], x)
+            most = np.where((small == 255).any(1), np.inf, small.sum(1, dtype=np.int64))
+            ok = most * (1 + similarity) >= similarity * (m + n[may]) * (1 - LITTLE)
+            may, most = may[ok], most[ok]
+            if best and len(may):
+                may = may[[np.argmax(most / (m + n[may]))]]
+            found.append((np.minimum(u, v[may]), np.maximum(u, v[may])))
+        u, v = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return both.select("root", "a", "b", "c", "asks", "size", "sketch").groupBy("root", "a", "b").applyInArrow(run, "u long, v long").distinct()
 
 
-def similar(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) whose sets of shingles are of the similarity. Sketches exclude most of the others before sets are moved."""
-    pairs = written(plausible(pairs, sketches, similarity), "plausible")
+def similar(docs: DataFrame, pairs: DataFrame, sketches: DataFrame | None, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets of shingles are of the similarity. Sketches, if given, exclude most of the others before sets are moved."""
+    pairs = written(plausible(pairs, sketches, similarity), "plausible") if sketches else pairs
     sets = written(shingles(docs, pairs, words).dropDuplicates(["c"]), "shingles")
     side = lambda k, f: sets.select(F.col("c").alias(k), F.col("s").alias(f))
     both = pairs.join(side("u", "x").hint("merge"), "u").join(side("v", "y").hint("merge"), "v")
@@ -354,9 +407,21 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     of_root = lambda root: written(classes.select("c", "doc_id", "n").join(root, F.col("c") == F.col("u"), "left").select("c", "doc_id", "n", F.coalesce("root", "c").alias("root")), "rooted")
     root = written(components(close), "roots")
 
-    missed = exact_candidates(docs, of_root(root), words, similarity).join(pairs, ["u", "v"], "left_anti")
-    more = similar(docs, written(missed, "missed"), sketches, words, similarity)
-    rooted = of_root(written(components(root.select("u", F.col("root").alias("v")).unionByName(more)), "roots"))
+    missed, members, near = exact_candidates(docs, of_root(root), words, similarity)
+    missed = written(missed.join(pairs, ["u", "v"], "left_anti"), "missed")
+    likely = written(plausible(missed, sketches, similarity).unionByName(in_groups(near, members, sketches, similarity, best=True).join(pairs, ["u", "v"], "left_anti")).distinct(), "plausible")
+    more = written(similar(docs, likely, None, words, similarity), "more")
+    root = written(components(root.select("u", F.col("root").alias("v")).unionByName(more)), "roots")
+    # What is still apart from a group that it is near.
+    now = of_root(root).select(F.col("c").alias("__c"), F.col("root").alias("now"))
+    of_group = near.select("root").distinct().join(now, F.col("root") == F.col("__c")).select("root", F.col("now").alias("of_group"))
+    apart = near.join(F.broadcast(of_group), "root").join(now, F.col("u") == F.col("__c")).where("now <> of_group").select("u", "root")
+    apart = written(apart, "apart")
+    if apart.limit(1).count():
+        rest = in_groups(apart, members, sketches, similarity).join(pairs, ["u", "v"], "left_anti").join(likely, ["u", "v"], "left_anti")
+        last = similar(docs, written(rest, "plausible"), None, words, similarity)
+        root = written(components(root.select("u", F.col("root").alias("v")).unionByName(last)), "roots")
+    rooted = of_root(root)
     per_root = written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
     of_class = lookup(rooted.select("c", "root", F.col("n").alias("rows")), per_root, "root", classes.count())
     of_class = written(of_class.select("c", F.col("rows").alias("n"), "component_id"), "of-classes")
