@@ -304,3 +304,22 @@ def test_training_is_taken_up_again(spark, tmp_path, monkeypatch):
     assert all((again.p[k] == whole.p[k]).all() for k in whole.p)
     assert run(make(), "b", 6) == want  # nothing is left to do
     assert run(make(), "c", 0) == []
+
+
+def test_batches_scored_together_are_those_scored_alone(spark):
+    """Widths differ, a batch has one row and one no labels; and few bytes are still dealt to more than one task."""
+    rng = np.random.default_rng(0)
+    m = seq2seq.Seq2Seq(9, 9, hidden=3, layers=2, embedding=4)
+    ids = lambda n: [int(x) for x in rng.integers(4, 9, n)]
+    lists = [[([*ids(rng.integers(0, 9)), 2], [1, *ids(rng.integers(0, 12)), 2]) for _ in range(n)] for n in (4, 1, 3, 4)] + [[([2], [1]), ([4, 2], [1])]]
+    batches = [(seq2seq.matrix([a for a, _ in x]), seq2seq.matrix([b for _, b in x])) for x in lists]
+    for ratio in (0.0, 0.5, 1.0):
+        got = m.score(batches, [np.random.default_rng(k).random(max(0, b.shape[1] - 2)) < ratio for k, (_, b) in enumerate(batches)])
+        for k, ((a, b), (loss, greedy)) in enumerate(zip(batches, got)):
+            logits = m.forward(a, b, ratio, np.random.default_rng(k))
+            want = m.loss(logits, b[:, 1:])[0]
+            assert (loss is None and want is None) or abs(loss - want) < 1e-12
+            assert (greedy == logits.argmax(2)).all()
+    rows = [(k, j, a, b) for k, (s, t) in enumerate(batches) for j, (a, b) in enumerate(zip(s.tolist(), t.tolist()))]
+    scored = seq2seq.score_batches(spark.createDataFrame(rows, "batch_id long, pos_in_batch long, src array<int>, tgt array<int>"), m)
+    assert scored.rdd.getNumPartitions() > 1 and sorted(r["batch_id"] for r in scored.collect()) == [0, 1, 2, 3, 4]
