@@ -361,3 +361,14 @@ def test_hot_words_are_not_shuffled(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert got == {r["doc_id"]: r["tokens"] for r in encode.encode_batch(texts, m).collect()} and len(got) == 62
     assert "BroadcastHashJoin" in plan and "NOT (word" in plan and "SortMergeJoin" in plan
+
+
+def test_encoding_holds_little(spark):
+    """Batches of words and tokens are small, and remembered words share one string for each token."""
+    m = encode.Model([("a", "b"), ("ab", "c")], ["a", "b", "c", "</w>", "ab", "abc"])
+    first, second = m.remembered("abcx"), m.remembered("xabc")
+    assert first == ["abc", "<ukn>", "</w>"] and second == ["<ukn>", "abc", "</w>"] and first[0] is second[1]
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20)
+    texts = spark.createDataFrame([(k, "abc ab ") for k in range(3)], "doc_id long, text string")
+    assert {tuple(r["tokens"]) for r in encode.encode_column(texts, m).collect()} == {("abc", "</w>", "ab", "</w>")}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 20
