@@ -141,6 +141,51 @@ def test_sharded_is_brute_force(spark, monkeypatch, held, guessed, rewrite):
     assert t.rules == brute(freqs, 14)
 
 
+@pytest.mark.parametrize("few", [0, 64])
+def test_the_driver_gets_changes_of_its_own_pairs(spark, monkeypatch, few):
+    """Of pairs that its table lacks, and of new pairs too rare for it, nothing; whether shards are added up by Spark or not."""
+    monkeypatch.setattr(shards, "FEW", few)
+    monkeypatch.setattr(train, "REWRITE", 2)
+    freqs = {"abcabc": 9, "bcabca": 7, "aaaaaaa": 3, "aaaa": 5, "ab": 30, "bc": 29, "cab": 11, "abab": 2, "xyz": 4, "bcbcbc": 6, "ccc": 2, "aab": 5, "axbycz": 1}
+    c = spark.createDataFrame(list(freqs.items()), "word string, freq long")
+    t, whole, got = train.Trainer(c, held=4, shard=20), shards.deltas, []
+
+    def noted(state, rules, steps, many, again=(), *a):
+        changes = whole(state, rules, steps, many, again, *a)
+        old = {k for k in range(len(t.names)) if k in t.exist}
+        got.extend((p[:2] in t.count, p[0] in old and p[1] in old, p[2], t.floor, many) for k, x in enumerate(changes) if k not in again for p in x)
+        return changes
+
+    monkeypatch.setattr(shards, "deltas", noted)
+    while len(t.rules) < 9 and t.step(9 - len(t.rules)):
+        pass
+    assert t.rules == brute(freqs, 9) and {x[4] for x in got} == {few == 0} and any(x[3] > 1 for x in got)
+    assert all(held for held, old, n, floor, _ in got if old and floor > 1)
+    assert few or all(n < 0 or n >= floor for _, _, n, floor, _ in got)
+
+
+def test_sums_of_many_shards_are_spark_s_after_they_are_written_anew(spark, monkeypatch):
+    """Many shards in few files are many still."""
+    monkeypatch.setattr(shards, "FEW", 8)
+    c = spark.range(400).select(F.hex(F.xxhash64("id")).alias("word"), F.lit(1).cast("long").alias("freq"))
+    t = train.Trainer(c, shard=200)
+    n = t.state.count()
+    t._write(shards.applied(t.state.coalesce(2), []))
+    assert t.state.count() == n > 8 and len(t.state.inputFiles()) <= 2 and t.many
+
+
+def test_the_driver_holds_what_the_rules_left_need(spark, monkeypatch):
+    """All pairs of the first count fit, but those made since don't; the rules stay the same."""
+    monkeypatch.setattr(train, "NEEDED", 3)
+    freqs = {"abcabc": 9, "bcabca": 7, "aaaaaaa": 3, "aaaa": 5, "ab": 30, "bc": 29, "cab": 11, "abab": 2, "xyz": 4, "bcbcbc": 6, "ccc": 2, "aab": 5}
+    t = train.Trainer(spark.createDataFrame(list(freqs.items()), "word string, freq long"), shard=20)
+    assert t.floor == 1
+    sizes = []
+    while len(t.rules) < 14 and t.step(min(3, 14 - len(t.rules))):
+        sizes.append((t.floor, len(t.count)))
+    assert t.rules == brute(freqs, 14) and max(f for f, _ in sizes) > 1 and min(n for _, n in sizes) < 8
+
+
 def test_shards_stay_small_as_words_grow(spark):
     """Ten times as many words are more shards, not larger ones; so what a task holds stays the same."""
     sizes = []
