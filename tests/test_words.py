@@ -408,6 +408,17 @@ def test_hot_words_are_not_shuffled(spark, monkeypatch):
     assert "BroadcastHashJoin" in plan and "NOT (word" in plan and "SortMergeJoin" in plan
 
 
+def test_words_are_joined_once_a_chunk(spark, monkeypatch):
+    """A word in every text is one row of the join for each chunk; texts of any layout, odd keys and missing encodings."""
+    texts = written(spark.range(0, 3000, 1, 3).select(F.col("id").alias("doc_id"), F.concat(F.lit("the cat the "), F.concat(F.lit("w"), F.col("id") % 7)).alias("text")), "texts")
+    chunks = encode.in_chunks(texts)
+    rows = chunks.select(F.size("vocabulary").alias("v"), F.size("at").alias("at")).agg(F.sum("v").alias("v"), F.sum("at").alias("at")).head()
+    assert rows["at"] == 4 * 3000 and rows["v"] <= 9 * chunks.select("chunk").distinct().count() <= 9 * 3
+    odd = spark.createDataFrame([("b", "x the"), (None, "the gone the"), ("a", None), ("c", "")], "name string, text string")
+    encoded = spark.createDataFrame([("the", ["th", "e"]), ("x", [])], "word string, tokens array<string>")
+    assert {r["name"]: r["tokens"] for r in encode.encode_texts(odd, encoded, "name").collect()} == {"b": ["th", "e"], None: ["th", "e", "th", "e"], "a": [], "c": []}
+
+
 def test_encoding_holds_little(spark):
     """Batches of words and tokens are small, and remembered words share one string for each token."""
     m = encode.Model([("a", "b"), ("ab", "c")], ["a", "b", "c", "</w>", "ab", "abc"])

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from ..bucketed import Bucketed
 from ..store import written
-from .counts import distinct_words
-from .encode import Model, encode_texts, encode_words
+from .encode import Model, encode_chunks, encode_words, in_chunks
 
 BUCKET_WORDS, LEAST_BUCKETS, MOST_BUCKETS, FILES = 1_000_000, 8, 100_000, 8
 
@@ -64,5 +63,6 @@ class EncodingCache:
 
     def encode(self, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """key, tokens of every text, by a join with the table, after it was filled with the texts' words."""
-        self.fill(distinct_words(texts, text))
-        return encode_texts(texts, self.table.rows().select("word", "tokens"), key, text)
+        chunks = in_chunks(texts, key, text)
+        self.fill(chunks.select(F.explode("vocabulary").alias("word")))
+        return encode_chunks(chunks, self.table.rows().select("word", "tokens"), key)
