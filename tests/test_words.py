@@ -391,6 +391,17 @@ def test_a_cache_encodes_only_what_it_lacks(spark, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("weft_")]
 
 
+def test_buckets_of_a_cache_stay_small_as_it_grows(spark, monkeypatch):
+    """A first small batch doesn't fix the number of buckets; which batch encoded a word stays known."""
+    monkeypatch.setattr(cache, "BUCKET_WORDS", 20)
+    monkeypatch.setattr(cache, "LEAST_BUCKETS", 2)
+    kept = cache.EncodingCache(spark, scratch(spark, "cache"), Model([], [*"0123456789w"]))
+    of = lambda a, b: spark.range(a, b).select(F.concat(F.lit("w"), F.col("id")).alias("word"))
+    assert kept.fill(of(0, 10), "one") == 10 and kept.fill(of(5, 200), "two") == 190 and kept.fill(of(0, 201), "three") == 1
+    assert kept.table.meta()[-1]["buckets"] >= 10
+    assert {(r["word"], r["batch"]) for r in kept.rows().collect()} == {(f"w{k}", "one" if k < 10 else "two" if k < 200 else "three") for k in range(201)} and kept.rows().count() == 201
+
+
 def test_hot_words_are_not_shuffled(spark, monkeypatch):
     """A word in every place: none of its places are in the join by word, with adaptive execution off."""
     monkeypatch.setattr(encode, "HOT_PLACES", 100)

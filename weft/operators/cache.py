@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..bucketed import Bucketed
-from ..store import written
+from ..store import scratch, written
 from .encode import Model, encode_chunks, encode_words, in_chunks
 
-BUCKET_WORDS, LEAST_BUCKETS, MOST_BUCKETS, FILES = 1_000_000, 8, 100_000, 8
+#: A task holds a bucket's words while it sorts them; a table with twice as many is dealt into more buckets before it grows.
+BUCKET_WORDS, LEAST_BUCKETS, MOST_BUCKETS, FILES = 100_000, 8, 100_000, 8
 
 
 def model_digest(model: Model, drop: bool) -> str:
@@ -37,18 +38,26 @@ class EncodingCache:
 
     def rows(self) -> DataFrame:
         """word, tokens, batch (of fill, that encoded the word; null once the table was written anew)."""
-        names = self.spark.createDataFrame([(r["attempt"], r["batch"]) for r in self.table.meta()], "attempt string, batch string")
+        meta = self.table.meta()
+        names = self.spark.createDataFrame([(r["attempt"], r["batch"]) for r in meta if r["folder"] == meta[-1]["folder"]], "attempt string, batch string")
         return self.table.rows().join(F.broadcast(names), "attempt").select("word", "tokens", "batch")
 
     def fill(self, words: DataFrame, batch: str | None = None) -> int:
         """words: word. Encodes those that the table lacks, and returns how many. The table is read in place, without a shuffle."""
         meta, attempt = self.table.meta(), uuid.uuid4().hex
-        distinct = words.select("word").where("word IS NOT NULL").distinct()
-        folder, buckets = (meta[-1]["folder"], meta[-1]["buckets"]) if meta else (f"table-{attempt}", self._buckets_for(distinct.count()))
+        asked = written(words.select("word").where("word IS NOT NULL").distinct(), "asked")
+        n = asked.count()
+        if meta and self._buckets_for(n + self.table.rows().count()) > 2 * meta[-1]["buckets"]:
+            self.table.spread(self._buckets_for(n + self.table.rows().count()))
+            meta = self.table.meta()
+        folder, buckets = (meta[-1]["folder"], meta[-1]["buckets"]) if meta else (f"table-{attempt}", self._buckets_for(n))
         with self.table.tables() as known:
             held = known(f"{self.table.path}/{folder}", buckets)
             had = self.table.held(self.spark.table(held), meta).select("word")
-            new = written(distinct.repartition(buckets, "word").hint("merge").join(had, "word", "left_anti"), "unseen")
+            # In buckets as the table is, so a task of the join has one bucket of each; a shuffle would deal them out anew, by its own sizes.
+            own = known(scratch(self.spark, "asked"), buckets, "word STRING")
+            self.table.write(asked.repartition(buckets, "word"), own, buckets)
+            new = written(self.spark.table(own).hint("merge").join(had, "word", "left_anti"), "unseen")
             n = new.count()
             if n:
                 encoded = encode_words(new, self.model, self.drop).withColumn("attempt", F.lit(attempt))
