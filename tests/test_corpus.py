@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 
 import numpy as np
 import pytest
@@ -323,3 +324,13 @@ def test_batches_scored_together_are_those_scored_alone(spark):
     rows = [(k, j, a, b) for k, (s, t) in enumerate(batches) for j, (a, b) in enumerate(zip(s.tolist(), t.tolist()))]
     scored = seq2seq.score_batches(spark.createDataFrame(rows, "batch_id long, pos_in_batch long, src array<int>, tgt array<int>"), m)
     assert scored.rdd.getNumPartitions() > 1 and sorted(r["batch_id"] for r in scored.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_a_shared_step_waits_for_nothing(spark, tmp_path):
+    """Sixty steps of few rows: far less than a second each, which every exchange of a barrier stage takes. More steps than a part has."""
+    _, table = _training_pairs(spark)
+    m = seq2seq.Seq2Seq(8, 8, hidden=3, layers=1, embedding=3, seed=2)
+    fit = lambda m, path, epochs: synchronous.fit_synchronous(m, table, str(tmp_path / path), epochs=epochs, size=1, rate=0.02, share=1.8, seed=3, shards=2)
+    assert fit(seq2seq.Seq2Seq(8, 8, hidden=3, layers=1, embedding=3, seed=2), "warm", 0) == []
+    began = time.time()
+    assert fit(m, "g", 1)[0]["train_loss"] > 0 and time.time() - began < 45
