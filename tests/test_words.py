@@ -5,6 +5,7 @@ import json
 import time
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import regex
@@ -439,3 +440,28 @@ def test_encoding_holds_little(spark):
     texts = spark.createDataFrame([(k, "abc ab ") for k in range(3)], "doc_id long, text string")
     assert {tuple(r["tokens"]) for r in encode.encode_column(texts, m).collect()} == {("abc", "</w>", "ab", "</w>")}
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 20
+
+
+@pytest.mark.parametrize("name", ["encode_documents_cached"])
+def test_cache_and_strict_ids_learn_all_rules(spark, tmp_path, name):
+    """With rules of production size, as a plain program and the query's SQL have it."""
+    rng, langs = np.random.default_rng(3), ["en", "fr"]
+    texts = {k: " ".join("".join(rng.choice([*"abc"], rng.integers(1, 9))) for _ in range(rng.integers(0, 60))) for k in range(8)}
+    spark.createDataFrame([(k, t, langs[k % 2]) for k, t in texts.items()], "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    freqs = Counter(w for t in texts.values() for w in t.split())
+    rules = plain_rules(freqs, word_queries.PRODUCTION)
+    assert len(rules) > 100
+    m = Model([r[:2] for r in rules], [])
+    m.known = {*"abc"}
+    tokens = {k: [x for w in t.split() for x in m.encode_word(w)] for k, t in texts.items()}
+    digest = lambda x: hashlib.md5(" ".join(map(str, x)).encode()).hexdigest()
+    number = {t: k + 4 for k, t in enumerate(sorted({*"abc", "</w>"} | {a + b for a, b, _ in rules}))}
+    want = {
+        "encode_documents_cached": {(k, len(t), digest(t)) for k, t in tokens.items()},
+        "token_ids_strict": {(k, len(t), digest(number[x] for x in t)) for k, t in tokens.items()},
+        "encoding_cache": {(w, " ".join(m.encode_word(w)), min(langs[k % 2] for k, t in texts.items() if w in t.split())) for w in freqs},
+    }[name]
+    assert {tuple(r) for r in word_queries.QUERIES[name](spark, str(tmp_path)).collect()} == want
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert set(c.execute(word_queries.SQL[name]).fetchall()) == want
