@@ -442,7 +442,7 @@ def test_encoding_holds_little(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 20
 
 
-@pytest.mark.parametrize("name", ["encode_documents_cached", "encoding_cache"])
+@pytest.mark.parametrize("name", ["encode_documents_cached", "encoding_cache", "token_ids_strict"])
 def test_cache_and_strict_ids_learn_all_rules(spark, tmp_path, name):
     """With rules of production size, as a plain program and the query's SQL have it."""
     rng, langs = np.random.default_rng(3), ["en", "fr"]
