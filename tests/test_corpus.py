@@ -334,3 +334,24 @@ def test_a_shared_step_waits_for_nothing(spark, tmp_path):
     assert fit(seq2seq.Seq2Seq(8, 8, hidden=3, layers=1, embedding=3, seed=2), "warm", 0) == []
     began = time.time()
     assert fit(m, "g", 1)[0]["train_loss"] > 0 and time.time() - began < 45
+
+
+@pytest.mark.parametrize("layers", [1, 2, 3])
+def test_stacked_steps_are_those_by_layer(layers):
+    """Loss and gradients, with rows of many widths, one without labels and one without a source; and a row takes part up to its last label."""
+    rng = np.random.default_rng(layers)
+    m = seq2seq.Seq2Seq(9, 8, hidden=3, layers=layers, embedding=4)
+    ids = lambda n, most: [int(x) for x in rng.integers(4, most, n)]
+    source, target = seq2seq.matrix([ids(k, 9) for k in (5, 1, 0, 7, 3)]), seq2seq.matrix([[1, *ids(k, 8), 2] for k in (4, 0, 9, 2, 2)])
+    target[1] = 0
+    for ratio in (1.0, 0.5, 0.0):
+        loss, grads = m.step(source, target, ratio, np.random.default_rng(3))
+        want, plain = m.step_by_layer(source, target, ratio, np.random.default_rng(3))
+        assert abs(loss - want) < 1e-12 and max(np.abs(grads[k] - plain[k]).max() for k in plain) < 1e-12
+    assert m.step(source, target * 0, 0.5, rng)[0] is None
+    calls, step = [], seq2seq.Cell.step
+    with pytest.MonkeyPatch.context() as x:
+        x.setattr(seq2seq.Cell, "step", lambda self, z, *a: calls.append(len(z)) or step(self, z, *a))
+        m.step(source, target, 1.0, rng)
+    steps = sum(calls[layers * source.shape[1] :])
+    assert len(calls) == layers * source.shape[1] + target.shape[1] - 1 + layers - 1 and steps < 5 * (target.shape[1] - 1)
